@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing, sharding
 from .bpe import bpe
+from .fingerprints import fingerprints
 from .language_id import identify
 from .near_dedup import near_duplicates
 
@@ -20,6 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Shards of the registered query; the table has the first prime of 100 slots for each.
+SHARDS = 64
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    return sharding.shard(table(spark, sf_dir, "documents"), SHARDS)
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of three-word shingle sets with ``100 * |A & B| >= 85 * |A | B|``."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, num=85, den=100)
@@ -30,14 +41,24 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded, as digests."""
     return bpe(table(spark, sf_dir, "documents"), VOCABULARY, digests=True)
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate and draw of every document, with flattened source, language and topic shares as targets."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_near_duplicates, op5_language_id, op9_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op3_near_duplicates, op5_language_id, op8_fingerprints, op9_bpe, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_sharding": sharding.oracle(SHARDS, sharding.slots_for(SHARDS)), "op10_mixing": mixing.oracle()}
