@@ -1,16 +1,58 @@
-"""A training-corpus pipeline over the ``documents`` table: stages are added as their operators are."""
+"""A training-corpus pipeline over ``documents``: language, near-duplicates, mixture, tokens.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and read again as the
+next stage's ``docs``. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evigraph.llm.bpe import bpe
+from evigraph.llm.catalog import VOCABULARY
+from evigraph.llm.language_id import UNKNOWN, identify
+from evigraph.llm.mixing import mix
+from evigraph.llm.near_dedup import near_duplicates
+from evigraph.llm.tables import cut
+
+#: A text whose best cosine is lower has the letter statistics of no language; whole prose, however short, lies above.
+LEAST_SCORE = 0.1
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language go: no letters, null, or a cosine below ``LEAST_SCORE``."""
+    row = docs.select("*", F.struct(*docs.columns).alias("_row"))
+    found = identify(row, keep=("_row",))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: links share 80 % of their five-word shingles. Repeated rows become one."""
+    kept = near_duplicates(docs, words=5, num=80, den=100).where("kept").select("doc_id").distinct()
+    rows = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return rows.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are sampled so that sources, languages and topics take flattened shares of the tokens."""
+    return mix(docs, carry=True).where("kept").select("_row.*")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and the text that they decode to."""
+    return bpe(docs, VOCABULARY)
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("mixing", mixing), ("bpe", tokens)]
 
-STAGES: list = []
+#: The first stage learns and scores vectors, the second searches by sketches: SQL does not express them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over ``documents``."""
+    """All stages in order over ``documents``, each written to the shared folder and read again but for the last."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

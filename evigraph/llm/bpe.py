@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import rows_of
+from .tables import rows_of, ship, slices
 
 #: Fixed values of the vocabulary file's normaliser and splitter.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -275,7 +275,7 @@ def tokenizer(spec: str) -> Tokenizer:
 
 def _encoded(batches: Iterator[pa.RecordBatch], spec: str, whole: bool) -> Iterator[pa.RecordBatch]:
     t = tokenizer(spec)
-    for batch in batches:
+    for batch in slices(batches):
         keep = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "_text"]
         names = [name for name in batch.schema.names if name != "_text"]
         n, ids, decoded = [], [], []
@@ -296,6 +296,7 @@ def bpe(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: s
     Cases: null or empty text has no tokens and empty strings; repeated rows and null ids pass through; no rows, no result;
     other columns of ``docs`` are not read. Texts of any length are encoded in chunks between white space.
     """
+    ship(docs.sparkSession)
     with open(vocab_path, encoding="utf-8") as f:
         spec = f.read()
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")

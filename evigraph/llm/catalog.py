@@ -57,7 +57,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_near_duplicates, op5_language_id, op8_fingerprints, op9_bpe, op10_mixing)}
+    from corpus_pipeline import run  # it takes the vocabulary from here
+
+    return {"pipeline": run} | {f.__name__: f for f in (op1_sharding, op3_near_duplicates, op5_language_id, op8_fingerprints, op9_bpe, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import rows_of
+from .tables import rows_of, ship, slices
 
 #: Symbols: 0 stands between words, 1 to 26 are a to z, all other letters share 27 to 63 by their code point.
 SYMBOLS, OTHER = 64, 37
@@ -96,7 +96,7 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", si
 
 def _predict(batches: Iterator[pa.RecordBatch], langs: list[str], prototypes: np.ndarray, size: int, seed: int, block: int = 128) -> Iterator[pa.RecordBatch]:
     p = prototypes.astype(np.float32)
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column(batch.schema.get_field_index("_text")).to_pylist()
         pred, score = [], []
         for at in range(0, len(texts), block):
@@ -136,6 +136,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     goes to the language that sorts first; repeated rows pass through; other columns are not read. Letters that
     differ by a multiple of 37 beyond a-z share a vector.
     """
+    ship(docs.sparkSession)
     langs, prototypes = learn(docs.where(~held_out(id_col)), text_col=text_col, lang_col=lang_col, size=size, seed=seed)
     base = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), *keep, F.col(text_col).cast("string").alias("_text"))
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "_text")

@@ -62,8 +62,9 @@ def rates(cells: list[tuple], exponent: float, rounds: int, targets: list[dict[s
     return [(*c[:3], float(r)) for c, r in zip(full, rate / rate.max(), strict=True)] + [(*c[:3], 1.0) for c in cells if c[3] <= 0]
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, tokens: Column | None = None, exponent: float = 0.8, targets: list[dict[str, float]] | None = None, rounds: int = 25, seed: int = 17) -> DataFrame:
-    """Each row's cell, rate and draw: ``id, source, lang, topic, n_tokens, rate, kept``.
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, tokens: Column | None = None, exponent: float = 0.8, targets: list[dict[str, float]] | None = None, rounds: int = 25, seed: int = 17, carry: bool = False) -> DataFrame:
+    """Each row's cell, rate and draw: ``id, source, lang, topic, n_tokens, rate, kept``; with ``carry`` also its whole
+    input row as the struct ``_row``.
 
     Token sums by cell are pre-aggregated in the tasks, so a hot source is no hot task; the driver gets one row for each
     cell and rakes them; the rates come back as a join that Spark broadcasts where it is small. A row is kept if
@@ -77,14 +78,14 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     topic = topic_of(text) if topic is None else topic
     tokens = token_count(text) if tokens is None else tokens
     label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
-    base = docs.select(F.col(id_col), label(source_col).alias("source"), label(lang_col).alias("lang"), F.coalesce(topic.cast("string"), F.lit(NONE)).alias("topic"), tokens.alias("n_tokens"))
+    base = docs.select(F.col(id_col), label(source_col).alias("source"), label(lang_col).alias("lang"), F.coalesce(topic.cast("string"), F.lit(NONE)).alias("topic"), tokens.alias("n_tokens"), *([F.struct(*docs.columns).alias("_row")] if carry else []))
     cells = base.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"))
     found = [tuple(r) for r in cells.limit(MOST_CELLS + 1).collect()]
     if len(found) > MOST_CELLS:
         raise ValueError(f"more than {MOST_CELLS} cells: use coarser labels")
     table = spark.createDataFrame(rates(sorted(found), exponent, rounds, targets), "source string, lang string, topic string, rate double")
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    return base.join(table, ["source", "lang", "topic"]).select(F.col(id_col), "source", "lang", "topic", "n_tokens", F.round("rate", 6).alias("rate"), (draw < F.col("rate")).alias("kept"))
+    return base.join(table, ["source", "lang", "topic"]).select(F.col(id_col), "source", "lang", "topic", "n_tokens", F.round("rate", 6).alias("rate"), (draw < F.col("rate")).alias("kept"), *(["_row"] if carry else []))
 
 
 def oracle(exponent: float = 0.8, rounds: int = 25, seed: int = 17) -> str:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shingles import one_permutation, probe_table, shingle_set
-from .tables import connected_components, cut, drop, rows_of
+from .tables import connected_components, cut, drop, rows_of, ship, slices
 
 #: 128 bins in 32 bands of 4: a pair at similarity 0.85 misses every band with probability 5e-11, at 0.8 with 5e-8.
 BINS, ROWS = 128, 4
@@ -26,7 +26,7 @@ BINS, ROWS = 128, 4
 
 def _sketches(batches: Iterator[pa.RecordBatch], k: int, bins: int, rows: int) -> Iterator[pa.RecordBatch]:
     probes = probe_table(bins)
-    for batch in batches:
+    for batch in slices(batches):
         ids, n, key, bands = [], [], [], []
         for (text,) in rows_of(batch, "text"):
             s = shingle_set(text, k)
@@ -44,7 +44,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int, bins: int, rows: int) -
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = [(cid, s) for cid, key, text in rows_of(batch, "cid", "set_key", "text") if xxhash.xxh3_128_digest((s := shingle_set(text, k)).tobytes()) == key]
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))], ["cid", "items"])
 
@@ -71,7 +71,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     without id joins its group but never names it, and is kept only if no member has an id. Other columns of ``docs``
     are not read.
     """
-    spark = docs.sparkSession
+    ship(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = base.withColumn("fetch_id", F.coalesce("doc_id", F.xxhash64("text")))
     sketch = cut(base.mapInArrow(lambda it: _sketches(it, words, bins, rows), "doc_id long, fetch_id long, n_shingles long, set_key binary, bands array<long>"), "sketch")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +22,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this subpackage to the Python workers once for each context, so that they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_evigraph_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="evigraph-"), "evigraph_llm.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        z.write(os.path.join(os.path.dirname(here), "__init__.py"), "evigraph/__init__.py")
+        for name in sorted(os.listdir(here)):
+            if name.endswith(".py"):
+                z.write(os.path.join(here, name), f"evigraph/llm/{name}")
+    sc.addPyFile(path)
+    sc._evigraph_shipped = True
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -52,6 +70,13 @@ def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller parts, so that what a task makes of one part stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Components of an undirected graph given as ``u, v`` (long); returns ``node, label`` with the smallest member.
 
