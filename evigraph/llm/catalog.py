@@ -12,7 +12,10 @@ from .bpe import bpe
 from .fingerprints import fingerprints
 from .language_id import identify
 from .near_dedup import near_duplicates
+from .tables import shared_path
+from .token_files import read_ids, write_ids
 
+from .vector_search import nearest
 
 #: The vocabulary file of the registered queries; the operators take any path.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +34,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20, among all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of three-word shingle sets with ``100 * |A & B| >= 85 * |A | B|``."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, num=85, den=100)
@@ -41,6 +50,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written to a file set and read back, as digests."""
+    path = shared_path(spark, "token-files")
+    write_ids(table(spark, sf_dir, "documents"), path, VOCABULARY)
+    return read_ids(spark, path, digests=True)
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return fingerprints(table(spark, sf_dir, "documents"))
@@ -59,7 +75,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from corpus_pipeline import run  # it takes the vocabulary from here
 
-    return {"pipeline": run} | {f.__name__: f for f in (op1_sharding, op3_near_duplicates, op5_language_id, op8_fingerprints, op9_bpe, op10_mixing)}
+    return {"pipeline": run} | {f.__name__: f for f in (op1_sharding, op2_vector_search, op3_near_duplicates, op5_language_id, op7_token_files, op8_fingerprints, op9_bpe, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

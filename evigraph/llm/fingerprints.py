@@ -13,7 +13,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .native import constants, let, split_words, word_shingles
+from .native import constants, let, range_bounds, range_of, split_words, word_shingles
 
 BINS, BITS, WORDS = 256, 8, 5
 #: Looks at drawn bins before an empty bin ranks all filled ones by the same kind of draw.
@@ -71,19 +71,6 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(fit)
 
 
-def _range_of(key: Column, bounds: list[int]) -> Column:
-    """How many of the sorted ``bounds`` are below ``key``, found in two steps of about the square root of their number."""
-    if not bounds:
-        return F.lit(0)
-    g = max(1, round(len(bounds) ** 0.5))
-    groups = [bounds[i : i + g] for i in range(0, len(bounds), g)]
-    as_longs = lambda v: F.split(F.lit(",".join(map(str, v))), ",").cast("array<bigint>")
-    lists = F.split(F.lit(";".join(",".join(map(str, x)) for x in groups)), ";")
-    coarse = F.size(F.filter(as_longs([x[-1] for x in groups]), lambda b: b < key))
-    fine = lambda c: c * g + F.when(c >= len(groups), F.lit(len(bounds) - len(groups) * g)).otherwise(F.size(F.filter(F.split(F.get(lists, c), ",").cast("array<bigint>"), lambda b: b < key)))
-    return F.coalesce(let(coarse, fine), F.lit(0))
-
-
 def with_next(docs: DataFrame, carried: list[str], key: str = "doc_id") -> DataFrame:
     """Each row with the ``carried`` columns of the row that follows it in descending order of ``key``, as ``next_*``.
 
@@ -93,13 +80,8 @@ def with_next(docs: DataFrame, carried: list[str], key: str = "doc_id") -> DataF
     last row's ``next_*`` are null.
     """
     spark = docs.sparkSession
-    n = docs.count()
-    ranges = max(1, min(MOST_RANGES, -(-n // RANGE_ROWS)))
-    cuts = [i / ranges for i in range(1, ranges)]
-    bounds = []
-    if cuts:
-        bounds = sorted(set(docs.agg(F.percentile_approx(key, F.array(*[F.lit(c) for c in cuts]), 10 * ranges).alias("p")).first()["p"] or []))
-    dealt = docs.withColumn("_range", _range_of(F.col(key), bounds))
+    bounds = range_bounds(docs, key, RANGE_ROWS, MOST_RANGES)
+    dealt = docs.withColumn("_range", range_of(F.col(key), bounds))
     heads = sorted((r["_range"], r["m"]) for r in dealt.groupBy("_range").agg(F.max(key).alias("m")).collect() if r["m"] is not None)
     goes = [(m, heads[(i + 1) % len(heads)][0]) for i, (_, m) in enumerate(heads)]
     table = F.broadcast(constants(spark, _head=[m for m, _ in goes], _to=[r for _, r in goes]))

@@ -42,3 +42,27 @@ def constants(spark: SparkSession, **columns: list[int]) -> DataFrame:
     """A small table of whole numbers given in the plan itself."""
     n = len(next(iter(columns.values())))
     return spark.range(n).select(*[F.get(longs(v), F.col("id").cast("int")).alias(k) for k, v in columns.items()])
+
+
+def range_bounds(df: DataFrame, key: str, rows: int, most: int) -> list[int]:
+    """Bounds that deal the keys to ranges of about ``rows`` rows, ``most`` ranges at most; found by one pass over the keys."""
+    ranges = max(1, min(most, -(-df.count() // rows)))
+    if ranges == 1:
+        return []
+    cuts = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    return sorted(set(df.agg(F.percentile_approx(key, cuts, 10 * ranges).alias("p")).first()["p"] or []))
+
+
+def range_of(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted ``bounds`` are below ``key``, found in two steps of about the square root of their number.
+
+    None for a null key.
+    """
+    if not bounds:
+        return F.lit(0)
+    g = max(1, round(len(bounds) ** 0.5))
+    groups = [bounds[i : i + g] for i in range(0, len(bounds), g)]
+    lists = F.split(F.lit(";".join(",".join(map(str, x)) for x in groups)), ";")
+    coarse = F.size(F.filter(longs([x[-1] for x in groups]), lambda b: b < key))
+    fine = lambda c: c * g + F.when(c >= len(groups), F.lit(len(bounds) - len(groups) * g)).otherwise(F.size(F.filter(F.split(F.get(lists, c), ",").cast("array<bigint>"), lambda b: b < key)))
+    return F.coalesce(let(coarse, fine), F.lit(0))

@@ -38,7 +38,21 @@ def ship(spark: SparkSession) -> None:
     sc._evigraph_shipped = True
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+def _forget_later(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder; what is written there goes when the JVM ends."""
+    path = f"{shared_dir(spark)}/evigraph-tables/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+    _forget_later(spark, path)
+    return path
+
+
+def cut(df: DataFrame, name: str = "cut", compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     The written table survives the loss of any executor and is computed once, unlike a cached or a
@@ -46,10 +60,8 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/evigraph-tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    df.write.option("compression", compression).parquet(path)
+    _forget_later(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._evigraph_path = path
     return out
