@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import mixing, sharding
 from .bpe import bpe
 from .fingerprints import fingerprints
+from .html_text import main_text
 from .language_id import identify
 from .near_dedup import near_duplicates
 from .tables import shared_path
@@ -50,6 +51,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids written to a file set and read back, as digests."""
     path = shared_path(spark, "token-files")
@@ -75,7 +81,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from corpus_pipeline import run  # it takes the vocabulary from here
 
-    return {"pipeline": run} | {f.__name__: f for f in (op1_sharding, op2_vector_search, op3_near_duplicates, op5_language_id, op7_token_files, op8_fingerprints, op9_bpe, op10_mixing)}
+    return {"pipeline": run} | {f.__name__: f for f in (op1_sharding, op2_vector_search, op3_near_duplicates, op5_language_id, op6_html_text, op7_token_files, op8_fingerprints, op9_bpe, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
