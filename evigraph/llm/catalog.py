@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import license_scan, mixing, sharding
 from .bpe import bpe
 from .fingerprints import fingerprints
 from .html_text import main_text
@@ -46,6 +46,11 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, num=85, den=100)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses that documents state."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents, learned from those that are not held out."""
     return identify(table(spark, sf_dir, "documents"))
@@ -81,8 +86,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from corpus_pipeline import run  # it takes the vocabulary from here
 
-    return {"pipeline": run} | {f.__name__: f for f in (op1_sharding, op2_vector_search, op3_near_duplicates, op5_language_id, op6_html_text, op7_token_files, op8_fingerprints, op9_bpe, op10_mixing)}
+    return {"pipeline": run} | {f.__name__: f for f in (op1_sharding, op2_vector_search, op3_near_duplicates, op4_license_scan, op5_language_id, op6_html_text, op7_token_files, op8_fingerprints, op9_bpe, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.oracle(SHARDS, sharding.slots_for(SHARDS)), "op10_mixing": mixing.oracle()}
+    return {"op1_sharding": sharding.oracle(SHARDS, sharding.slots_for(SHARDS)), "op4_license_scan": license_scan.oracle(), "op10_mixing": mixing.oracle()}
