@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import ship
+
+__all__ = ["connected_components", "cut", "drop", "rows_of", "shared_dir", "shared_path", "ship", "slices"]
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
@@ -22,22 +24,6 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this subpackage to the Python workers once for each context, so that they need not have it installed."""
-    sc = spark.sparkContext
-    if getattr(sc, "_evigraph_shipped", False):
-        return
-    here = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="evigraph-"), "evigraph_llm.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        z.write(os.path.join(os.path.dirname(here), "__init__.py"), "evigraph/__init__.py")
-        for name in sorted(os.listdir(here)):
-            if name.endswith(".py"):
-                z.write(os.path.join(here, name), f"evigraph/llm/{name}")
-    sc.addPyFile(path)
-    sc._evigraph_shipped = True
-
-
 def _forget_later(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
