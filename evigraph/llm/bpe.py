@@ -32,12 +32,13 @@ from pyspark.sql import functions as F
 from .tables import rows_of, ship, slices
 
 #: Fixed values of the vocabulary file's normaliser and splitter.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 #: Added to the last symbol of a word, beyond all byte symbols.
 LAST = 0x2000
-#: From here on letters were still added in recent Unicode versions.
-RARE = "\u0530"
+#: Characters where Unicode versions differ in what is a letter (U+2000 to U+2BFF are signs), and those beyond Latin.
+YOUNG = re.compile("[\u0530-\u1fff\u2c00-\U0010ffff]")
+BEYOND_LATIN = re.compile("[\u0250-\U0010ffff]")
 #: White space to Python's ``str.split`` but not to the splitter.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: White space to the splitter (Unicode White_Space).
@@ -193,41 +194,49 @@ class Splitter:
 
     def __init__(self, specials: dict[str, int]):
         self.specials = specials
-        self.find = regex.compile(SPLIT.replace(r"\s", SPACE)).findall
-        self.find_rare = _rare_splitter()
         self.special = re.compile("(" + "|".join(re.escape(t) for t in sorted(specials, key=len, reverse=True)) + ")") if specials else None
-
-    def pieces(self, text: str) -> Iterator[str | int]:
+        self.ascii, self.latin, self.rare = _splitter(0x80), _splitter(0x250), _splitter(0x40000)
+        self.others = regex.compile(SPLIT.replace(r"\s", SPACE)).findall
+
+    def find(self, low: str) -> list[str]:
+        """The words of normalised text, by the pattern for the characters that it has."""
+        if low.isascii():
+            return self.ascii(low)
+        if not BEYOND_LATIN.search(low):
+            return self.latin(low)
+        return self.rare(low) if YOUNG.search(low) else self.others(low)
+
+    def pieces(self, text: str) -> list[str | int]:
         """Words of a text in order, and the ids of special tokens that stand in it."""
+        out: list[str | int] = []
         for i, part in enumerate(self.special.split(text) if self.special and "<" in text else [text]):
             if i % 2:
-                yield self.specials[part]
+                out.append(self.specials[part])
             elif part:
-                part = lower(unicodedata.normalize("NFC", part))
-                yield from (self.find if max(part) < RARE else self.find_rare)(part)
+                out += self.find(lower(part if part.isascii() else unicodedata.normalize("NFC", part)))
+        return out
 
     def chunks(self, text: str) -> list[str]:
         """Parts of a text that can be split on their own: no word and no special token has white space in it."""
         return regex.split(f"[{SPACE}]+", text) if NOT_SPACE.search(text) else text.split()
 
 
-@lru_cache(1)
-def _rare_splitter():
-    """:data:`SPLIT` with the letters and digits of the Unicode version of ``unicodedata``: ``regex`` knows later ones."""
-    letters, digits = [], []
-    for cp in range(0x40000):
-        kind = unicodedata.category(chr(cp))[0]
-        if kind in "LN":
-            into = letters if kind == "L" else digits
+@lru_cache(4)
+def _splitter(below: int):
+    """:data:`SPLIT` for texts of characters ``below`` a code point, with the letters and digits of ``unicodedata``.
+
+    Words come first in the pattern: nothing before them in :data:`SPLIT` begins with a letter.
+    """
+    classes: dict[str, list[list[int]]] = {"L": [], "N": []}
+    for cp in range(below):
+        into = classes.get(unicodedata.category(chr(cp))[0])
+        if into is not None:
             if into and into[-1][1] == cp - 1:
                 into[-1][1] = cp
             else:
                 into.append([cp, cp])
-    one = {k: "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in v) for k, v in ((r"\p{L}", letters), (r"\p{N}", digits))}
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+".replace(r"\s", SPACE)
-    for k, v in one.items():
-        pattern = pattern.replace(k, v)
-    return re.compile(pattern).findall
+    letter, digit = ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in classes[k]) for k in "LN")
+    return re.compile(rf"[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d|[{digit}]|[^{SPACE}{letter}{digit}]+").findall
 
 
 def lower(text: str) -> str:
@@ -238,29 +247,26 @@ def lower(text: str) -> str:
 class Tokenizer:
     """Encodes and decodes whole texts by the automaton of one vocabulary file's content."""
 
-    def __init__(self, spec: str, chunk_memo: int = 300_000, word_memo: int = 500_000):
+    def __init__(self, spec: str, word_memo: int = 500_000):
         data = json.loads(spec)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in data["model"]["merges"]]
         self.automaton = Automaton(data["model"]["vocab"], merges)
-        self.added = {t["content"]: t["id"] for t in data["added_tokens"]}
-        self.names = {i: t for t, i in self.added.items()}
-        self.split = Splitter(self.added)
+        added = {t["content"]: t["id"] for t in data["added_tokens"]}
+        self.split = Splitter(added)
         self.table = str.maketrans(dict(enumerate(byte_symbols())))
+        self.names = {i: t for t, i in added.items()}
         self.words: Memo = Memo(self._word, word_memo)
-        self.chunks: Memo = Memo(self._chunk, chunk_memo)
 
-    def _word(self, word: str) -> tuple[int, str, str]:
+    def _word(self, word: str | int) -> tuple[int, str, str]:
+        if isinstance(word, int):
+            return 1, str(word), self.names[word]
         symbols = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table)
         ids = self.automaton.encode(symbols[:-1] + chr(ord(symbols[-1]) + LAST))
         return len(ids), " ".join(map(str, ids)), self.automaton.decode(ids)
 
-    def _chunk(self, chunk: str) -> tuple[int, str, str]:
-        found = [(1, str(p), self.names[p]) if isinstance(p, int) else self.words[p] for p in self.split.pieces(chunk)]
-        return sum(n for n, _, _ in found), " ".join(x for _, x, _ in found), " ".join(x for _, _, x in found)
-
     def encode(self, text: str | None) -> tuple[int, str, str]:
         """The number of tokens, the ids as decimals joined by one space, and the decoded text."""
-        found = [x for x in map(self.chunks.__getitem__, self.split.chunks(text or "")) if x[0]]
+        found = list(map(self.words.__getitem__, self.split.pieces(text or "")))
         if not found:
             return 0, "", ""
         n, ids, labels = zip(*found, strict=True)
@@ -294,7 +300,7 @@ def bpe(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: s
     fixed) is read by the driver and travels with the tasks. Each row stands alone: no shuffle.
 
     Cases: null or empty text has no tokens and empty strings; repeated rows and null ids pass through; no rows, no result;
-    other columns of ``docs`` are not read. Texts of any length are encoded in chunks between white space.
+    other columns of ``docs`` are not read. Results of words are remembered, in bounded number.
     """
     ship(docs.sparkSession)
     with open(vocab_path, encoding="utf-8") as f:

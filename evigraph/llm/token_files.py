@@ -15,13 +15,14 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import RARE, Memo, Splitter, lower
+from .bpe import NOT_SPACE, YOUNG, Memo, Splitter, lower
 from .native import constants, range_bounds, range_of
 from .tables import cut, drop, rows_of, ship, slices
 
@@ -135,11 +136,12 @@ class Code:
 class LibraryIds:
     """Ids of texts from the ``tokenizers`` library, which sees each word once while its result is remembered.
 
-    Parts between white space are independent for the vocabulary's normaliser and splitter. Parts whose words could look
-    different to the library on their own (special tokens, unstable normal forms) go to it as they are.
+    Texts in stable normal form are split into the vocabulary's words as a whole. Of other texts, parts between white
+    space are taken one by one, for these are independent to the normaliser and splitter; parts whose words could look
+    different to the library on their own (special tokens, unstable normal forms, young letters) go to it as they are.
     """
 
-    def __init__(self, spec: str, chunk_memo: int = 300_000, word_memo: int = 500_000):
+    def __init__(self, spec: str, chunk_memo: int = 50_000, word_memo: int = 700_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
@@ -172,40 +174,28 @@ class LibraryIds:
                 out += map(self._alone, part)
         return out
 
-    def _learn(self, missing: set[str]) -> None:
-        plain: dict[str, list[str]] = {}
-        for chunk in missing:
-            low = lower(chunk)
-            if "<|" not in chunk and (chunk.isascii() or (max(low) < RARE and self._stable(chunk, low))):
-                plain[chunk] = self.split.find(low)
-            else:
-                self.chunks[chunk] = self._alone(chunk)
-        new = list({w for words in plain.values() for w in words if w not in self.words})
-        known = dict(zip(new, self._many(new), strict=True)) if new else {}
-        if len(self.words) + len(known) > self.words.most:
-            self.words.clear()
-        self.words.update(known)
-        words = self.words
-        for chunk, parts in plain.items():
-            self.chunks[chunk] = b"".join([known.get(w) or words[w] for w in parts])
-
-    @staticmethod
-    def _stable(chunk: str, low: str) -> bool:
-        from unicodedata import is_normalized
-
-        return is_normalized("NFC", chunk) and is_normalized("NFC", low) and lower(low) == low
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian bytes of :attr:`kind`."""
-        parts = [self.split.chunks(t) if t else [] for t in texts]
-        seen = {c for p in parts for c in p}
-        missing = seen - self.chunks.keys()
-        if len(self.chunks) + len(missing) > self.chunks.most:
-            self.chunks.clear()
-            missing = seen
-        self._learn(missing)
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        parts = [self._words_of(t) if t else [] for t in texts]
+        self._remember({w for p in parts if p is not None for w in p} - self.words.keys())
+        get = self.words.__getitem__
+        return [self._by_chunks(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
+
+    def _words_of(self, text: str) -> list[str] | None:
+        """The words of a text that is safe to split as a whole, else None."""
+        if not text.isascii() and (YOUNG.search(text) or not is_normalized("NFC", text)):
+            return None
+        low = lower(text)
+        return None if "<|" in text or NOT_SPACE.search(text) or not (low.isascii() or is_normalized("NFC", low)) else self.split.find(low)
+
+    def _remember(self, new: set[str]) -> None:
+        if len(self.words) + len(new) > self.words.most:
+            self.words.clear()  # words of this batch that were known are asked for one by one
+        new = list(new)
+        self.words.update(zip(new, self._many(new), strict=True))
+
+    def _by_chunks(self, text: str) -> bytes:
+        return b"".join(map(self.chunks.__getitem__, self.split.chunks(text)))
 
 
 @lru_cache(2)
