@@ -1,0 +1,157 @@
+"""Language, fingerprints, licenses, mixing, sharding."""
+
+import hashlib
+import random
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from evigraph.llm import license_scan, mixing, sharding
+from evigraph.llm.catalog import oracle_sql, queries
+from evigraph.llm.fingerprints import fingerprints
+from evigraph.llm.language_id import identify
+from evigraph.llm.native import constants, range_bounds, range_of
+
+DOCS = "doc_id long, text string, lang string, source string, slot int, shard string, _row int, score double, bins int"
+FOLDER = "/root/testdata/sf0.01"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(d, t, la, s, 1, "x", 2, 0.5, 3) for d, t, la, s in rows], DOCS)
+
+
+ODD = [(1, None, "en", "a"), (2, "", None, None), (3, "...", "en", "a"), (4, "x", "de", None), (None, "the cat and the dog", "en", "a"), (5, "the cat and the dog", "en", "a"), (5, "the cat and the dog", "en", "a"), (6, "w " * 20_000, "en", "b")]
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_against_sql(compare, name):
+    compare(queries()[name], oracle_sql()[name], FOLDER)
+
+
+def test_language_accuracy(spark):
+    rows = {r[0]: r[1] for r in duckdb.sql(f"SELECT doc_id, lang FROM '{FOLDER}/documents.parquet'").fetchall()}
+    got = queries()["op5_language_id"](spark, FOLDER).collect()
+    assert len(got) == len(rows) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    held = [r for r in got if r["held_out"]]
+    assert np.mean([r["lang_pred"] == rows[r["doc_id"]] for r in held]) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_language_cases(spark):
+    got = identify(docs(spark, ODD)).collect()
+    by = [(r["doc_id"], r["lang_pred"]) for r in got]
+    assert len(got) == len(ODD) and (1, "und") in by and (2, "und") in by and (3, "und") in by and (5, "en") in by
+    assert identify(docs(spark, [])).count() == 0
+    assert {r["lang_pred"] for r in identify(docs(spark, [(1, "abc", None, None)])).collect()} == {"und"}
+
+
+def test_labels_are_no_input(spark):
+    rows = [(i, t, la, "s") for i, (t, la) in enumerate([("the cat sat on the mat", "en"), ("der hund und die katze", "de")] * 20)]
+    a = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify(docs(spark, rows)).collect()}
+    held = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    b = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify(docs(spark, [(i, t, "xx" if i in held else la, "z") for i, t, la, _ in rows])).collect()}
+    assert a == b and held
+
+
+def _sets(t):
+    w = t.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def test_fingerprints_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(3 * i, " ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(rng.choice((0, 1, 4, 30, 300)))), "", "") for i in range(60)]
+    got = {r["doc_id"]: r for r in fingerprints(docs(spark, rows)).collect()}
+    order = sorted(rows, reverse=True)
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    errors = []
+    for i, (d, t, *_) in enumerate(order):
+        nxt = order[(i + 1) % len(order)][1]
+        k = len(t) // 3
+        edited = t[: len(t) - k] + nxt[:k]
+        r = got[d]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        errors += [r["near_edited"] - jaccard(_sets(t), _sets(edited)), r["near_next"] - jaccard(_sets(t), _sets(nxt))]
+        assert len(r["fingerprint"]) in (0, 512)
+    assert np.sqrt(np.mean(np.square(errors))) < 0.08
+    same = {}
+    for d, t, *_ in rows:
+        assert same.setdefault(t, got[d]["fingerprint"]) == got[d]["fingerprint"]
+
+
+def test_fingerprint_cases(spark):
+    got = fingerprints(docs(spark, ODD)).collect()
+    assert len(got) == len(ODD) and {r["fingerprint"] for r in got if r["doc_id"] in (1, 2)} == {""}
+    one = fingerprints(docs(spark, [(1, "a b c d e f", "", "")])).collect()[0]
+    assert one["near_next"] == 1.0
+    assert fingerprints(docs(spark, [])).count() == 0
+    assert fingerprints(docs(spark, [(None, "a b", "", ""), (None, "c d", "", "")])).count() == 2
+
+
+def test_ranges(spark):
+    rng = random.Random(1)
+    keys = [rng.choice((5, 5, rng.randrange(10**6))) for _ in range(500)]
+    df = spark.createDataFrame([(k,) for k in keys] + [(None,)], "k long")
+    bounds = range_bounds(df, "k", 20, 4096)
+    got = {r["k"]: r["r"] for r in df.select("k", range_of(F.col("k"), bounds).alias("r")).collect()}
+    assert all(got[k] == sum(b < k for b in bounds) for k in keys) and got[None] == 0
+    assert [tuple(r) for r in constants(spark, a=[1, 2], b=[3, 4]).orderBy("a").collect()] == [(1, 3), (2, 4)]
+
+
+def test_license_cases(spark):
+    rng = random.Random(2)
+    filler = lambda n: " ".join(f"f{rng.randrange(10**5)}" for _ in range(n))
+    mit = license_scan.LICENSES["mit-grant"]
+    worn = mit.split()
+    worn[10] = worn[60] = "changed"
+    rows = [(1, f"{filler(333)} {mit} {filler(50)}"), (2, f"{filler(77)} {' '.join(worn)}"), (3, " ".join(mit.split()[:40])), (4, "released under the mit license"), (5, f"{filler(900)}\nLICENSED UNDER CC-BY-NC 4.0\n{filler(3)}"), (6, None), (7, ""), (8, "Released under the MIT"), (None, "Released under the MIT License.")]
+    got = {(r["doc_id"], r["license"]): r for r in license_scan.scan(docs(spark, [(d, t, "", "") for d, t in rows])).collect()}
+    assert set(got) == {(1, "mit-grant"), (2, "mit-grant"), (4, "mit-statement"), (5, "cc-by-nc-4.0-statement"), (None, "mit-statement")}
+    assert got[(1, "mit-grant")]["containment"] == 1.0 and got[(1, "mit-grant")]["at_word"] == 334 and 0.8 <= got[(2, "mit-grant")]["containment"] < 1
+    assert license_scan.scan(docs(spark, ODD)).count() == 0 == license_scan.scan(docs(spark, [])).count()
+    with pytest.raises(ValueError):
+        license_scan.scan(docs(spark, []), templates={"short": "two words"})
+
+
+def test_sharding_tables():
+    names = [f"s{i}" for i in range(10)]
+    t = sharding.fill(names, 1009)
+    sizes = np.bincount(t)
+    assert sizes.max() - sizes.min() <= 1 and len(t) == 1009
+    fewer = sharding.fill(names[:-1], 1009)
+    moved = sum(a != b for a, b in zip(t, fewer, strict=True) if a != 9)
+    assert moved < 0.1 * 1009
+    for bad in (([], 7), (["a", "a"], 7), (["a"], 8), (names, 7)):
+        with pytest.raises(ValueError):
+            sharding.fill(*bad)
+
+
+def test_sharding_cases(spark):
+    got = sharding.shard(docs(spark, ODD), ["x", "y"], size=101).collect()
+    assert len(got) == len(ODD) and {r["shard"] for r in got} <= {"x", "y"} and len({r["slot"] for r in got if r["doc_id"] == 5}) == 1
+    assert sharding.shard(docs(spark, []), 3).count() == 0
+
+
+def test_raking_meets_targets():
+    rng = random.Random(6)
+    cells = [(f"s{i}", f"l{j}", f"t{k}", rng.randrange(1, 1000)) for i in range(4) for j in range(3) for k in range(2)]
+    targets = [{f"s{i}": i + 1 for i in range(4)}, {"l0": 5, "l1": 3, "l2": 2}, {"t0": 1, "t1": 1}]
+    got = mixing.rates(cells, 1.0, 60, targets)
+    tokens = {c[:3]: c[3] for c in cells}
+    for d, target in enumerate(targets):
+        kept = {}
+        for *c, r in got:
+            kept[c[d]] = kept.get(c[d], 0) + r * tokens[tuple(c)]
+        for name, share in target.items():
+            assert abs(kept[name] / sum(kept.values()) - share / sum(target.values())) < 1e-6
+    assert max(r for *_, r in got) == 1.0
+
+
+def test_mixing_cases(spark):
+    got = mixing.mix(docs(spark, ODD), carry=True).collect()
+    assert len(got) == len(ODD) and {r["source"] for r in got} == {"a", "b", "(none)"} and all(0 <= r["rate"] <= 1 for r in got)
+    assert [r["n_tokens"] for r in got if r["doc_id"] in (1, 2)] == [0, 0] and all(r["_row"]["_row"] == 2 for r in got)
+    assert mixing.mix(docs(spark, [])).count() == 0
