@@ -240,7 +240,7 @@ def template(tokens: tuple[tuple[str, int, int, int, int, int], ...], pages: int
     for t in sorted((t for t in valid if "|" not in t[0]), key=lambda t: t[0].count(">")):
         if t[0].rpartition(">")[0] in nested:
             nested[t[0]] = t
-    texts = frozenset(t[0] for t in valid if "|" in t[0] and t[0].partition("|")[0] in nested) if pages >= 2 * LEAST_PAGES else frozenset()
+    texts = frozenset(t[0] for t in valid if "|" in t[0]) if pages >= 2 * LEAST_PAGES else frozenset()
     whole = max((t[4] for p, t in nested.items() if p), default=0)
     best = ""
     for p, t in nested.items():
@@ -291,11 +291,11 @@ def _below(e: Element | None, top: Element) -> bool:
 
 
 def extract(page: str | None, path: str = "", texts: frozenset[str] = frozenset()) -> str:
-    """Main text of one page under a host's template."""
+    """Main text of one page under a host's template. Nothing in an ``article`` or ``main`` is taken for the template's."""
     root = parse(page or "")
     measure(root)
     main = main_element(root, path)
-    return "\n\n".join(blocks(main, texts)) if main else ""
+    return "\n\n".join(blocks(main, frozenset() if main.name in ("article", "main") else texts)) if main else ""
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
