@@ -16,15 +16,17 @@ from evigraph.llm.mixing import mix
 from evigraph.llm.near_dedup import near_duplicates
 from evigraph.llm.tables import cut
 
-#: A text whose best cosine is lower has the letter statistics of no language; whole prose, however short, lies above.
-LEAST_SCORE = 0.1
+#: A text of so many characters or more whose best cosine is lower has the letter statistics of no language that was
+#: learned. Shorter texts have too few trigrams for the cosine to tell, and stay.
+LEAST_SCORE, LEAST_CHARS = 0.1, 200
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go: no letters, null, or a cosine below ``LEAST_SCORE``."""
+    """Documents without a recognisable language go: null, no letters, or long with a cosine below ``LEAST_SCORE``."""
     row = docs.select("*", F.struct(*docs.columns).alias("_row"))
     found = identify(row, keep=("_row",))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
+    strange = (F.col("score") < LEAST_SCORE) & (F.length("_row.text") >= LEAST_CHARS)
+    return found.where((F.col("lang_pred") != UNKNOWN) & ~strange).select("_row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
