@@ -9,7 +9,7 @@ from ..schemas import LABEL_TYPES, UNKNOWN_TYPE
 
 WORD = "(?iU)\\b({})\\b"
 CITATION_URL = "https://pubmed.ncbi.nlm.nih.gov/"
-#: (pattern that decides, types it changes, new type); the first pattern that matches decides alone.
+# Pattern that decides, types it changes, new type. The first pattern that matches decides alone.
 CORRECTIONS = (
     ("inhibitors?|inhibition", ("gene", "sequence_feature", "cell_type", "disease", "organism", "anatomy", "cellular_component", "biological_process", "substance"), "chemical"),
     ("antibod(?:y|ies)", ("gene", "sequence_feature", "biological_process", "cell_type"), "chemical"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import AgentConfig
@@ -17,7 +17,14 @@ from ..operators.graph import Graph
 from ..schemas import LABEL_TYPES
 
 TYPE_WORDS = {"gene": "gene", "disease": "disease", "drug": "chemical", "chemical": "chemical", "compound": "chemical", "process": "biological_process", "cell": "cell_type", "organism": "organism", "tissue": "anatomy", "organ": "anatomy"}
+# The lines of a result block.
 RULE = "━" * 52
+TITLE = "RESULT {} (ISOLATED - DO NOT MIX WITH OTHER RESULTS)"
+NAME = "ENTITY NAME (use this exact name): "
+DOCUMENTS, SENTENCES, DOCUMENT_IDS = "Documents: ", "Sentences: ", "Document IDs: [{}]"
+EVIDENCE = "Evidence ({} samples from {} co-occurring sentences - describe ONLY what these say):"
+END = "END RESULT {}"
+NOTHING = "No results found in knowledge graph."
 BAD_PAIR = "Error: name two entities, divided by a comma."
 
 #: Tools by name: what they ask of the graph.
@@ -60,42 +67,33 @@ def route(question: str) -> tuple[str, dict]:
     return "FindEntityNeighbors", {"entity": entity, "entity_type": kind}
 
 
+def _filled(template: str, *values: Column) -> Column:
+    return F.format_string(template.replace("{}", "%s"), *values)
+
+
 def blocks(rows: DataFrame, order: list, most_ids: int = 10) -> DataFrame:
     """``pos, block``: each result as text of its own, in order."""
     name = F.coalesce(*[F.col(c) for c in ("neighbor_name", "entity_a_name", "entity_b_name") if c in rows.columns])
     ranked = rows.withColumn("pos", F.row_number().over(Window.orderBy(*order)))  # no more rows than a question returns
-    n = F.col("pos").cast("string")
-    ids = F.slice("sample_doc_ids", 1, most_ids)
-    shown = F.size("evidence_sentences")
-    evidence = F.concat(
-        F.array(F.lit(""), F.concat(F.lit("Evidence ("), shown.cast("string"), F.lit(" samples from "), F.col("sent_count").cast("string"), F.lit(" co-occurring sentences - describe ONLY what these say):"))),
-        F.transform("evidence_sentences", lambda s, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit('. "'), s, F.lit('"'))),
-    )
-    nothing = F.array().cast("array<string>")
+    n, blank, nothing = F.col("pos").cast("string"), F.lit(""), F.array().cast("array<string>")
+    ids, shown = F.slice("sample_doc_ids", 1, most_ids), F.size("evidence_sentences")
+    quoted = F.transform("evidence_sentences", lambda s, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit('. "'), s, F.lit('"')))
     lines = F.concat(
-        F.array(F.lit(RULE), F.concat(F.lit("RESULT "), n, F.lit(" (ISOLATED - DO NOT MIX WITH OTHER RESULTS)")), F.lit(RULE), F.lit(""), F.concat(F.lit("ENTITY NAME (use this exact name): "), name), F.lit("")),
-        F.array(F.concat(F.lit("Documents: "), F.col("docs_count").cast("string")), F.concat(F.lit("Sentences: "), F.col("sent_count").cast("string"))),
-        F.when(F.size(ids) > 0, F.array(F.concat(F.lit("Document IDs: ["), F.array_join(ids, ", "), F.lit("]")))).otherwise(nothing),
-        F.when(shown > 0, evidence).otherwise(nothing), F.array(F.lit(""), F.concat(F.lit("END RESULT "), n), F.lit("")),
+        F.array(F.lit(RULE), _filled(TITLE, n), F.lit(RULE), blank, F.concat(F.lit(NAME), name), blank, F.concat(F.lit(DOCUMENTS), F.col("docs_count").cast("string")), F.concat(F.lit(SENTENCES), F.col("sent_count").cast("string"))),
+        F.when(F.size(ids) > 0, F.array(_filled(DOCUMENT_IDS, F.array_join(ids, ", ")))).otherwise(nothing),
+        F.when(shown > 0, F.concat(F.array(blank, _filled(EVIDENCE, shown.cast("string"), F.col("sent_count").cast("string"))), quoted)).otherwise(nothing),
+        F.array(blank, _filled(END, n), blank),
     )
     return ranked.select("pos", F.array_join(lines, "\n").alias("block"))
 
 
-def format_results(rows: list[dict], most_ids: int = 10) -> str:
-    """The same text for rows that are with the driver already."""
-    if not rows:
-        return "No results found in knowledge graph."
-    out = []
-    for i, r in enumerate(rows, 1):
-        name = next((r[k] for k in ("neighbor_name", "entity_a_name", "entity_b_name") if r.get(k)), None)
-        lines = [RULE, f"RESULT {i} (ISOLATED - DO NOT MIX WITH OTHER RESULTS)", RULE, "", f"ENTITY NAME (use this exact name): {name}", "", f"Documents: {r['docs_count']}", f"Sentences: {r['sent_count']}"]
-        if r["sample_doc_ids"]:
-            lines.append(f"Document IDs: [{', '.join(map(str, r['sample_doc_ids'][:most_ids]))}]")
-        if r["evidence_sentences"]:
-            lines += ["", f"Evidence ({len(r['evidence_sentences'])} samples from {r['sent_count']} co-occurring sentences - describe ONLY what these say):"]
-            lines += [f'  {k}. "{s}"' for k, s in enumerate(r["evidence_sentences"], 1)]
-        out.append("\n".join([*lines, "", f"END RESULT {i}", ""]))
-    return "\n".join(out)
+def result_text(i: int, r: dict, most_ids: int = 10) -> str:
+    """The block of a result that is with the driver already."""
+    ids, evidence = r["sample_doc_ids"][:most_ids], r["evidence_sentences"]
+    lines = [RULE, TITLE.format(i), RULE, "", NAME + str(r.get("neighbor_name") or r.get("entity_a_name")), "", f"{DOCUMENTS}{r['docs_count']}", f"{SENTENCES}{r['sent_count']}"]
+    lines += [DOCUMENT_IDS.format(", ".join(map(str, ids)))] if ids else []
+    lines += ["", EVIDENCE.format(len(evidence), r["sent_count"]), *(f'  {k}. "{s}"' for k, s in enumerate(evidence, 1))] if evidence else []
+    return "\n".join([*lines, "", END.format(i), ""])
 
 
 def cited(ids: list[str], answer: str) -> list[str]:
@@ -110,21 +108,22 @@ def ask(g: Graph, question: str, history: list[dict] | None = None, config: Agen
     try:
         tool, arguments = route(question)
         rows = [r.asDict() for r in TOOLS[tool](g, config, **arguments).collect()]  # as many as a question returns
+        output = "\n".join(result_text(i, r, config.max_doc_ids_per_result) for i, r in enumerate(rows, 1)) or NOTHING
     except Exception as e:
         return {"question": question, "answer": f"The question failed: {e}", "doc_ids": [], "error": str(e)}
     ids = list(dict.fromkeys(str(d) for r in rows for d in r["sample_doc_ids"][: config.max_doc_ids_per_result]))
     name = lambda r: r.get("neighbor_name") or r.get("entity_a_name")
     total = sum(r["docs_count"] for r in rows)
     bullets = [f"- **{name(r)}** -- {r['docs_count']} documents; {(r['evidence_sentences'] or ['no evidence sentence'])[0]} [{', '.join(r['sample_doc_ids'])}]" for r in rows]
-    answer = "\n\n".join((f"1. BRIEF SUMMARY\n{len(rows)} results with {total} documents in all." if rows else "1. BRIEF SUMMARY\nNo results found in knowledge graph.", f"2. SELECTION RATIONALE\nAll results of {tool} with at least {config.min_evidence} documents, strongest first.", "3. DETAILED RESULTS\n" + "\n".join(bullets)))
-    return {"question": question, "answer": answer, "doc_ids": cited(ids, answer), "messages": [*messages, {"role": "assistant", "content": answer}], "tool": tool, "tool_output": format_results(rows, config.max_doc_ids_per_result)}
+    answer = "\n\n".join((f"1. BRIEF SUMMARY\n{len(rows)} results with {total} documents in all." if rows else f"1. BRIEF SUMMARY\n{NOTHING}", f"2. SELECTION RATIONALE\nAll results of {tool} with at least {config.min_evidence} documents, strongest first.", "3. DETAILED RESULTS\n" + "\n".join(bullets)))
+    return {"question": question, "answer": answer, "doc_ids": cited(ids, answer), "messages": [*messages, {"role": "assistant", "content": answer}], "tool": tool, "tool_output": output}
 
 
 def grounding(answer: str, tool_output: str) -> dict:
     """Bulleted names of an answer against the names that the tool gave, without regard to case and hyphens."""
     plain = lambda s: s.lower().replace("-", " ").strip()
     named = re.findall(r"(?m)^- \*\*(.+?)\*\*", answer)
-    known = {plain(x) for x in re.findall(r"(?m)^ENTITY NAME \(use this exact name\): (.+)$", tool_output)}
+    known = {plain(x) for x in re.findall(r"(?m)^" + re.escape(NAME) + "(.+)$", tool_output)}
     invented = [x for x in named if plain(x) not in known]
     return {"named": len(named), "available": len(known), "invented": invented}
 

@@ -47,7 +47,10 @@ def test_answers(spark):
     assert r["tool"] == "FindEntityNeighbors" and r["doc_ids"] and len(r["messages"]) == 12
     assert agent.grounding(r["answer"], r["tool_output"])["invented"] == []
     assert agent.grounding("- **Other** -- x", r["tool_output"])["invented"] == ["Other"]
-    assert agent.format_results([]) == "No results found in knowledge graph."
+    rows = agent.TOOLS["FindEntityNeighbors"](g, AgentConfig(min_evidence=2), entity="blue")
+    listed = agent.blocks(rows, [F.desc("docs_count"), "neighbor_name", "neighbor_id"]).orderBy("pos").collect()
+    assert r["tool_output"] == "\n".join(x["block"] for x in listed)
+    assert agent.ask(g, "What is nobody related to?")["tool_output"] == "No results found in knowledge graph."
     broken = agent.ask(g._replace() if hasattr(g, "_replace") else None, "What is blue related to?")
     assert "messages" not in broken and broken["doc_ids"] == []
 
