@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Cells that the driver rakes at most (24 bytes of numbers each); their number depends on the labels, not on the rows.
 MOST_CELLS = 2_000_000
+#: Up to so many cells (about 20 MB) the rates are broadcast; beyond, Spark joins by shuffle and splits hot cells.
+BROADCAST_CELLS = 200_000
 NONE = "(none)"
 
 
@@ -67,7 +69,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     input row as the struct ``_row``.
 
     Token sums by cell are pre-aggregated in the tasks, so a hot source is no hot task; the driver gets one row for each
-    cell and rakes them; the rates come back as a join that Spark broadcasts where it is small. A row is kept if
+    cell and rakes them; the rates come back as a join, broadcast up to a counted size. A row is kept if
     its draw, 52 bits of MD5 of seed and id, is below its rate: the same rows whatever the order or the cluster.
 
     Cases: null source or language is the value ``(none)``; null or empty text has no tokens and, if its whole cell has
@@ -84,6 +86,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     if len(found) > MOST_CELLS:
         raise ValueError(f"more than {MOST_CELLS} cells: use coarser labels")
     table = spark.createDataFrame(rates(sorted(found), exponent, rounds, targets), "source string, lang string, topic string, rate double")
+    if len(found) <= BROADCAST_CELLS:
+        table = F.broadcast(table)
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
     return base.join(table, ["source", "lang", "topic"]).select(F.col(id_col), "source", "lang", "topic", "n_tokens", F.round("rate", 6).alias("rate"), (draw < F.col("rate")).alias("kept"), *(["_row"] if carry else []))
 
