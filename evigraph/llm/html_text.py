@@ -1,11 +1,12 @@
 """Main text of web pages by template deduction over the pages of each host.
 
-Tokens of a page are its elements, told apart by their path, and its short texts, told apart by path and content. Each token's
+Tokens of a page are its elements, told apart by their path, and its texts, told apart by path and hash. Each token's
 occurrences over the pages of a host form a vector; tokens with equal vectors form an equivalence class. Vectors are
 summed to fingerprints where pages are read, so that no host's pages ever meet in one task. Classes whose
-tokens stand once on nearly every page, and whose elements nest in one another, make up the host's template. What
-remains between the template's tokens are slots; the deepest container of the template that holds most of
-the text outside menus, notices and the like is where a page's text is taken from.
+tokens stand once on each of their pages make up the host's template: those on nearly every page, and those on fewer
+that have elements of their own, as another form of page has. What remains between the template's tokens are slots, inside an
+``article`` too; the deepest nested container of nearly every page that holds most of the text outside menus, notices and the like
+is where a page's text is taken from.
 """
 
 from __future__ import annotations
@@ -35,10 +36,11 @@ SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 SCOPE = frozenset("html body table article section div main ul ol dl nav aside header footer form blockquote td th li".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
-#: A text is a token of the template's search if it has so many characters at most.
-SHORT = 80
-#: A token belongs to the template if it is on this part of a host's pages; hosts with fewer pages show no template.
-SUPPORT, LEAST_PAGES = 0.9, 4
+#: A class belongs to the template if it is on this part of a host's pages; if on no more than a form's part of them, only with
+#: elements of its own. Classes and hosts with fewer pages show no template.
+SUPPORT, FORM, LEAST_PAGES = 0.9, 0.1, 4
+#: Tokens of a class at least.
+LEAST_TOKENS = 3
 
 
 class Element:
@@ -153,6 +155,11 @@ def walk(e: Element) -> Iterator[tuple[Element, str | None]]:
             stack += [(x, k) for k in reversed(x.kids)]
 
 
+def text_token(path: str, text: str) -> str:
+    """The token of a text: of one size whatever its length."""
+    return f"{path}|{xxhash.xxh3_64_hexdigest(text.encode('utf-8', 'surrogatepass'))}"
+
+
 def blocks(main: Element, template: frozenset[str]) -> list[str]:
     """Texts of the blocks below ``main`` in page order, without parts set apart and texts of the template."""
     out: list[str] = []
@@ -171,7 +178,7 @@ def blocks(main: Element, template: frozenset[str]) -> list[str]:
             flush()
         elif isinstance(x, tuple):
             owner, text = x
-            if not template or f"{owner}|{' '.join(text.split())}" not in template:
+            if not template or text_token(owner, " ".join(text.split())) not in template:
                 line.append(text)
         elif x.apart and x is not main:
             line.append(" ")
@@ -209,8 +216,10 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         x[0] += 1
                         x[1] += e.text
                         x[2] += e.link
-                elif len(text) <= 4 * SHORT and 0 < len(t := " ".join(text.split())) <= SHORT:
-                    own.setdefault(f"{e.path}|{t}", [0, 0, 0])[0] += 1
+                elif t := " ".join(text.split()):
+                    x = own.setdefault(text_token(e.path, t), [0, 0, 0])
+                    x[0] += 1
+                    x[1] += len(text.strip()) if e.text else 0  # nothing below a part set apart counts
             for token, (times, chars, link) in own.items():
                 s = sums.setdefault((host, token), [0, 0, 0, 0, 0])
                 s[0] += 1
@@ -228,26 +237,27 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def template(tokens: tuple[tuple[str, int, int, int, int, int], ...], pages: int) -> tuple[str, frozenset[str]]:
     """The path of the main container and the texts of a host's template, from tokens ``(token, pages, times, vector, text, link)``.
 
-    A class is valid if it has three tokens or more, each once on a page; an element belongs to the template if its parent
-    does. No template (few pages, no valid class) gives an empty path.
+    A class is valid if it has three tokens or more, each once on a page, and is on nearly all pages or has elements; an
+    element on nearly all pages belongs to the template if its parent does. No template (no valid class) gives an empty path.
     """
     classes: dict[tuple[int, int], list] = {}
     for t in tokens:
         if t[0] and t[1] == t[2]:
             classes.setdefault((t[1], t[3]), []).append(t)
-    valid = [t for members in classes.values() if len(members) >= 3 for t in members]
+    valid = [t for members in classes.values() if len(members) >= LEAST_TOKENS and (members[0][1] >= SUPPORT * pages or any("|" not in t[0] for t in members)) for t in members]
     nested: dict[str, tuple] = {"": ()}
-    for t in sorted((t for t in valid if "|" not in t[0]), key=lambda t: t[0].count(">")):
+    for t in sorted((t for t in valid if "|" not in t[0] and t[1] >= SUPPORT * pages), key=lambda t: t[0].count(">")):
         if t[0].rpartition(">")[0] in nested:
             nested[t[0]] = t
-    texts = frozenset(t[0] for t in valid if "|" in t[0]) if pages >= 2 * LEAST_PAGES else frozenset()
-    whole = max((t[4] for p, t in nested.items() if p), default=0)
+    fixed = [(t[0].partition("|")[0] + ">", t[4]) for t in valid if "|" in t[0]]
+    rest = {p: t[4] - sum(n for at, n in fixed if at.startswith(f"{p}>")) for p, t in nested.items() if p}
+    whole = max(rest.values(), default=0)
     best = ""
-    for p, t in nested.items():
+    for p, own in rest.items():
         kind = p.rpartition(">")[2].partition(".")[0]
-        if p and kind in HOLDER and t[4] >= 0.6 * whole and t[5] <= 0.5 * t[4] and t[4] > 0 and p.count(">") > best.count(">"):
+        if kind in HOLDER and own >= 0.6 * whole and nested[p][5] <= 0.5 * nested[p][4] and own > 0 and p.count(">") > best.count(">"):
             best = p
-    return best, texts
+    return best, frozenset(t[0] for t in valid if "|" in t[0])
 
 
 def main_element(root: Element, path: str) -> Element | None:
@@ -291,11 +301,19 @@ def _below(e: Element | None, top: Element) -> bool:
 
 
 def extract(page: str | None, path: str = "", texts: frozenset[str] = frozenset()) -> str:
-    """Main text of one page under a host's template. Nothing in an ``article`` or ``main`` is taken for the template's."""
+    """Main text of one page under a host's template.
+
+    An ``article`` or ``main`` that the template would leave empty is kept: it is one of many copies, not a part of the template.
+    """
     root = parse(page or "")
     measure(root)
     main = main_element(root, path)
-    return "\n\n".join(blocks(main, frozenset() if main.name in ("article", "main") else texts)) if main else ""
+    if not main:
+        return ""
+    out = blocks(main, texts)
+    if not out and main.name in ("article", "main"):
+        out = blocks(main, frozenset())
+    return "\n\n".join(out)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,8 +328,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The main text of every page: ``page_id, url, text, n_chars``; blocks in page order, two line ends between them.
 
-    Templates come from all pages of a host. Only tokens on nearly all of a host's pages are gathered, so a template is no
-    larger than a page; Spark broadcasts templates where they are small and joins them by host elsewhere, splitting a
+    Templates come from all pages of a host. Only classes on a tenth of a host's pages or more are gathered, so a template is no
+    larger than ten pages; Spark broadcasts templates where they are small and joins them by host elsewhere, splitting a
     host with many pages.
 
     Cases: null or empty html, or html without text, has empty text; a null url is a host of its own; null and repeated ids and
@@ -323,8 +341,10 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
     read = base.select("host", F.concat_ws(" ", F.col("page_id").cast("string"), "url").alias("key"), "html")
     sums = read.mapInArrow(_profiles, "host string, token string, pages long, times long, vector long, text long, link long")
-    tokens = sums.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("times").alias("times"), F.bit_xor("vector").alias("vector"), F.sum("text").alias("text"), F.sum("link").alias("link")).where(F.col("pages") >= LEAST_PAGES * SUPPORT)
-    most = tokens.groupBy("host").agg(F.max("pages").alias("all"))
-    common = tokens.join(most, "host").where((F.col("all") >= LEAST_PAGES) & (F.col("pages") >= SUPPORT * F.col("all")))
-    found = common.groupBy("host").agg(F.max("all").alias("pages"), F.collect_list(F.struct("token", F.col("pages").alias("n"), "times", "vector", "text", "link")).alias("tokens"))
+    tokens = sums.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("times").alias("times"), F.bit_xor("vector").alias("vector"), F.sum("text").alias("text"), F.sum("link").alias("link")).where((F.col("pages") >= LEAST_PAGES) & (F.col("pages") == F.col("times")))
+    most = tokens.where("token = ''").select("host", F.col("pages").alias("all"))
+    row = F.struct("token", F.col("pages").alias("n"), "times", "vector", "text", "link")
+    classes = tokens.where("token <> ''").groupBy("host", "pages", "vector").agg(F.collect_list(row).alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
+    common = classes.join(most, "host").where(F.col("pages") >= FORM * F.col("all"))
+    found = common.groupBy("host").agg(F.max("all").alias("pages"), F.flatten(F.collect_list("tokens")).alias("tokens"))
     return base.join(found, "host", "left").select("page_id", "url", "html", "tokens", "pages").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")

@@ -38,6 +38,18 @@ def test_template_without_article(spark):
         assert got[i] == "\n\n".join([f"Title {i}", *b])  # the line that is on all pages is the template's
 
 
+def test_template_inside_article(spark):
+    long = "We and our partners store information on your device to measure what you read. " * 3
+    notice = f"<p>Get the weekly letter</p><div><p>{long}</p></div>"
+    rows = [(i, f"http://news.example/{i}", f"<html><body><article><h1>Title {i}</h1><p>Body {i} of all</p>{notice}</article></body></html>") for i in range(4)]
+    forms = [(10 + i, f"http://two.example/{i}", f"<body><article><h1>T {i}</h1><p>Text {i}</p>{'<div><b>Buy</b><i>now at our shop</i></div>' if i % 3 == 0 else ''}<p>more {i}</p></article></body>") for i in range(15)]
+    copies = [(30 + i, f"http://copies.example/{i}", "<body><article><h1>Same</h1><p>One text</p></article></body>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in main_text(pages(spark, rows + forms + copies)).collect()}
+    assert [got[i] for i in range(4)] == [f"Title {i}\n\nBody {i} of all" for i in range(4)]
+    assert [got[10 + i] for i in range(15)] == [f"T {i}\n\nText {i}\n\nmore {i}" for i in range(15)]  # a third of the pages have the advert
+    assert {got[30 + i] for i in range(6)} == {"Same\n\nOne text"}
+
+
 def test_page_cases(spark):
     rows = [(1, None, None), (2, "http://a.b/", ""), (3, "http://a.b/", "<p>x"), (3, "http://a.b/", "<p>x"), (None, "nonsense", "<article><p>" + "long text " * 50_000), (4, "HTTP://A.b:80/q", "<title>t</title>")]
     got = main_text(pages(spark, rows)).collect()
