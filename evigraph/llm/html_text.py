@@ -24,8 +24,14 @@ from pyspark.sql import functions as F
 from .tables import rows_of, ship, slices
 
 #: Elements that never hold article text, and words in class or id names of such parts.
-APART = frozenset("head nav header footer aside form script style noscript template iframe svg button select option textarea menu dialog object canvas audio video figcaption title".split())
+APART = frozenset("head nav header footer aside form script style noscript template iframe svg button select option textarea menu dialog object canvas audio video title".split())
 APART_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|nav\w*|menu\w*|breadcrumb\w*|header|masthead|topbar|footer\w*|foot|bottom|comment\w*|disqus\w*|replies|respond|reader-?\w*|cookie\w*|consent|notice\w*|alert|popup|modal|overlay|newsletter|subscribe\w*|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|widget\w*|pagination|pager|toolbar|skip\w*|legal|copyright|disclaimer|tags?|taxonomy|search\w*|form)(?=$|[\s_-])", re.IGNORECASE)
+#: Names that are wholly of such words set an element apart. A name with such a word among others does so only to elements that
+#: neither hold the main article nor lie inside one. Names of headings, and ids of other elements than these, are often made from article text and count
+#: as the latter do.
+NAME = re.compile(rf"(?:{APART_NAMES.pattern})+", re.IGNORECASE)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ID_HOLDERS = frozenset("div ul ol table".split())
 APART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript textarea title iframe template".split())
@@ -44,30 +50,32 @@ LEAST_TOKENS = 3
 
 
 class Element:
-    __slots__ = ("apart", "name", "parent", "path", "text", "link", "kids")
+    __slots__ = ("apart", "loose", "name", "parent", "path", "text", "link", "kids")
 
-    def __init__(self, name: str, path: str, parent: Element | None, apart: bool):
-        self.name, self.path, self.parent, self.apart = name, path, parent, apart
+    def __init__(self, name: str, path: str, parent: Element | None, apart: bool, loose: bool = False):
+        self.name, self.path, self.parent, self.apart, self.loose = name, path, parent, apart, loose
         self.text = self.link = 0
         self.kids: list[Element | str] = []
 
 
-def _apart(name: str, attributes: str) -> tuple[bool, str]:
-    """Whether an element is set apart from article text, and the name it has in paths."""
-    apart, label = name in APART, name
+def _apart(name: str, attributes: str) -> tuple[bool, bool, str]:
+    """Whether an element is set apart from article text, whether a part of its names says so, and the name it has in paths."""
+    apart, loose, label = name in APART, False, name
     if attributes.strip():
         for key, *values in NAMES.findall(attributes):
             value, key = "".join(values), key.lower()
             if key in ("class", "id"):
-                if name not in ("body", "html", "article", "main"):
-                    apart |= bool(APART_NAMES.search(value))
+                if name not in ("body", "html", "article", "main") and APART_NAMES.search(value):
+                    loose = True
+                    if name not in HEADINGS and (key == "class" or name in ID_HOLDERS):
+                        apart |= any(NAME.fullmatch(n) for n in value.split())
                 if value and key == "class":
                     label = f"{name}.{value.split()[0]}"
             elif key == "role":
                 apart |= value.lower() in APART_ROLES
             elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE)):
                 apart |= name not in ("html", "body")
-    return apart, label
+    return apart, loose and not apart, label
 
 
 def parse(page: str) -> Element:
@@ -96,7 +104,7 @@ def parse(page: str) -> Element:
             continue
         if name in ("article", "main"):  # an unclosed part that is set apart does not swallow the article
             up = now
-            while up.parent and not up.apart:
+            while up.parent and not up.apart and not up.loose:
                 up = up.parent
             if up.parent and up.name not in ("aside", "nav", "footer") and not _closed_later(page, at, up.name):
                 now = up.parent
@@ -106,8 +114,8 @@ def parse(page: str) -> Element:
                 up = up.parent
             if up.parent and ((up.name == "p" and name in CLOSES_P) or up.name in SAME.get(name, ())):
                 now = up.parent
-        apart, label = _apart(name, m[3] or "")
-        child = Element(name, f"{now.path}>{label}", now, apart)
+        apart, loose, label = _apart(name, m[3] or "")
+        child = Element(name, f"{now.path}>{label}", now, apart, loose)
         now.kids.append(child)
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
@@ -132,6 +140,7 @@ def measure(e: Element, apart: bool = False, link: bool = False) -> None:
                     e.text += kid.text
                     e.link += kid.link
             continue
+        e.text = e.link = 0
         apart, link = apart or e.apart, link or e.name == "a"
         stack.append((e, apart, link, True))
         for kid in e.kids:
@@ -155,6 +164,30 @@ def walk(e: Element) -> Iterator[tuple[Element, str | None]]:
             stack += [(x, k) for k in reversed(x.kids)]
 
 
+def settle(root: Element) -> None:
+    """Sets elements apart by parts of their names, and sizes all elements.
+
+    An element with such a name stays if it lies in an article or holds the main article: the longest, with half of the page's
+    text at least. On a page without articles it stays if it holds half of the page's text.
+    """
+    measure(root)
+    elements = [e for e, text in walk(root) if text is None and e.loose]
+    if not elements:
+        return
+    articles = [e for e, text in walk(root) if text is None and e.name in ("article", "main") and e.text and not _is_apart(e)]
+    main = max(articles, key=lambda e: e.text, default=None)
+    held = set()
+    while main and (held or 2 * main.text >= root.text):
+        held.add(id(main))
+        main = main.parent
+    for e in elements:
+        up = e.parent
+        while up and up.name not in ("article", "main"):
+            up = up.parent
+        e.apart = not (up or id(e) in held or (not articles and 2 * e.text >= root.text > 0))
+    measure(root)
+
+
 def text_token(path: str, text: str) -> str:
     """The token of a text: of one size whatever its length."""
     return f"{path}|{xxhash.xxh3_64_hexdigest(text.encode('utf-8', 'surrogatepass'))}"
@@ -207,7 +240,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         for host, key, page in rows_of(batch, "host", "key", "html"):
             root = parse(page or "")
-            measure(root)
+            settle(root)
             own: dict[str, list[int]] = {"": [1, 0, 0]}
             for e, text in walk(root):
                 if text is None:
@@ -306,10 +339,14 @@ def extract(page: str | None, path: str = "", texts: frozenset[str] = frozenset(
     An ``article`` or ``main`` that the template would leave empty is kept: it is one of many copies, not a part of the template.
     """
     root = parse(page or "")
-    measure(root)
+    settle(root)
     main = main_element(root, path)
     if not main:
         return ""
+    if main.parent and main.name not in ("body", "html"):  # parts of names do not count in the main text's own element
+        for e, text in walk(main):
+            if text is None and e.loose:
+                e.apart = False
     out = blocks(main, texts)
     if not out and main.name in ("article", "main"):
         out = blocks(main, frozenset())

@@ -50,6 +50,17 @@ def test_template_inside_article(spark):
     assert {got[30 + i] for i in range(6)} == {"Same\n\nOne text"}
 
 
+def test_names_of_article_parts():
+    parts = ['<section id="related-work"><p>one</p></section>', '<p class="side-effects">two</p>', '<h2 class="section-header">three</h2>', '<h2 id="copyright">four</h2>', "<figure><img><figcaption>five</figcaption></figure>", '<div class="social-share"><p>x</p></div>', '<div id="comments">y</div>']
+    words = "one\n\ntwo\n\nthree\n\nfour\n\nfive"
+    assert extract(f"<body><article>{''.join(parts)}</article></body>") == words
+    for wrapper in ("layout has-sidebar", "no-sidebar"):
+        assert extract(f'<body><div class="{wrapper}"><article>{"".join(parts)}</article></div><div class="post-footer">z</div></body>') == words
+    assert extract(f'<body><div class="top-menu">menu</div><div class="layout has-sidebar"><p>{"long text " * 9}</p><h2 class="section-header">more</h2></div></body>') == ("long text " * 9).strip() + "\n\nmore"
+    assert extract('<body><div class="content"><p>A page of its own text.</p></div><ol class="comment-list"><li><article>I agree</article></li></ol></body>') == "A page of its own text."
+    assert extract('<body><article><p>A page of its own text.</p></article><div class="related-posts"><article>And one more</article></div></body>') == "A page of its own text."
+
+
 def test_page_cases(spark):
     rows = [(1, None, None), (2, "http://a.b/", ""), (3, "http://a.b/", "<p>x"), (3, "http://a.b/", "<p>x"), (None, "nonsense", "<article><p>" + "long text " * 50_000), (4, "HTTP://A.b:80/q", "<title>t</title>")]
     got = main_text(pages(spark, rows)).collect()
