@@ -65,9 +65,17 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of the English documents: words of four letters or more that 20 to 200 documents have, each with a model and label."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    return _terms(table(spark, sf_dir, "documents").where("lang = 'en'"), "df BETWEEN 20 AND 200")
+
+
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of all documents: words of four letters or more that 20 documents have, however many more do."""
+    return _terms(table(spark, sf_dir, "documents"), "df >= 20")
+
+
+def _terms(docs: DataFrame, frequent: str) -> DataFrame:
     words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("term")).where(F.length("term") >= 4)
-    terms = words.groupBy("term").agg(F.count("*").alias("df")).where("df BETWEEN 20 AND 200")
+    terms = words.groupBy("term").agg(F.count("*").alias("df")).where(frequent)
     kind = F.length("term") % 3
     label = F.element_at(F.array(F.lit("GGP"), F.lit("DISEASE"), F.lit("CHEBI")), kind + 1)
     return terms.select("term", F.element_at(F.array(F.lit("bionlp"), F.lit("bc5cdr"), F.lit("craft")), kind + 1).alias("source_model"), label.alias("source_label"))

@@ -129,6 +129,17 @@ def gazetteer_mentions(spark, sf):
     return found.groupBy("doc_id", F.lower("text").alias("term"), "source_model", "entity_type").agg(F.count("*").alias("mentions"))
 
 
+@query()
+def sentence_split_all(spark, sf):
+    return mentions.sentence_rows(table(spark, sf, "documents"))
+
+
+@query()
+def gazetteer_mentions_all(spark, sf):
+    found = mentions.annotate(table(spark, sf, "documents"), bindings.dictionary(spark, sf))
+    return found.groupBy("doc_id", F.lower("text").alias("term"), "source_model", "entity_type").agg(F.count("*").alias("mentions"))
+
+
 @query(f"""{STORE} SELECT doc_id, lower(text) AS name, start_pos // 5 AS bucket, count(*) AS kept FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(text), start_pos // 5 ORDER BY CASE source_model WHEN 'bionlp' THEN 3 WHEN 'craft' THEN 2 ELSE 1 END DESC, sentence_id) AS r FROM found) WHERE r = 1 GROUP BY ALL""")
 def mention_dedup_priority(spark, sf):
     kept = mentions.deduplicate(bindings.found(spark, sf), NerConfig().model_priorities)
@@ -214,7 +225,16 @@ def resolve_entity_id(spark, sf):
 
 @query("""SELECT w AS text, count(*) AS mentions FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents WHERE lang = 'en') WHERE length(w) > 2 GROUP BY 1""")
 def short_mention_filter(spark, sf):
-    w = table(spark, sf, "documents").where("lang = 'en'").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("text"))
+    return _usable_words(table(spark, sf, "documents").where("lang = 'en'"))
+
+
+@query()
+def short_mention_filter_all(spark, sf):
+    return _usable_words(table(spark, sf, "documents"))
+
+
+def _usable_words(docs):
+    w = docs.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("text"))
     none = {c: F.lit(None).cast("string") for c in ("umls_cui", "chebi_id", "go_id", "mesh_id")}
     return mentions.identified(w.withColumns(none)).groupBy("text").agg(F.count("*").alias("mentions"))
 
