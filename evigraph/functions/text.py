@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..schemas import LABEL_TYPES, UNKNOWN_TYPE
 
 WORD = "(?iU)\\b({})\\b"
+SENTENCE = "[^.!?\n]+[.!?]*"
 CITATION_URL = "https://pubmed.ncbi.nlm.nih.gov/"
 # Pattern that decides, types it changes, new type. The first pattern that matches decides alone.
 CORRECTIONS = (
@@ -69,7 +70,7 @@ def linkify(text: Column, ids: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences of a text: runs up to full stops, exclamation or question marks, or line ends."""
-    return F.regexp_extract_all(text, F.lit("[^.!?\n]+[.!?]*"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
 
 
 def query_kind(question: Column) -> Column:
