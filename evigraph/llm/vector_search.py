@@ -188,7 +188,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", v
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     base, asked = (df.where(F.size("embedding") == sizes["d"]) for df in (base, asked.dropDuplicates(["vec_id", "embedding"])))
     same = Window.partitionBy("embedding").orderBy("vec_id")
-    members = base.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1)
+    members = base.withColumn("r", F.dense_rank().over(same)).where(F.col("r") <= k + 1)
     members = cut(members.groupBy("embedding").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).withColumn("node", F.monotonically_increasing_id()), "members")
     shards = max(LEAST_SHARDS, -(-members.count() // shard_rows))
     nodes = members.select("node", "embedding", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"))

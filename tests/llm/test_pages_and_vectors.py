@@ -80,6 +80,14 @@ def test_equal_vectors_and_ties(spark):
     assert nearest(df.where("vec_id < 2"), df.where("vec_id < 1"), k=5).count() == 1
 
 
+def test_repeated_rows_of_equal_vectors(spark):
+    rows = [(0, [1.0, 0.0])] * 7 + [(i, [1.0, 0.0]) for i in range(1, 12)] * 2 + [(50, [0.5, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = nearest(df, df.where("vec_id IN (0, 3, 11)"), k=6).orderBy("query_id", "rank").collect()
+    for q in (0, 3, 11):
+        assert [(r["vec_id"], r["score"]) for r in got if r["query_id"] == q] == [(i, 1.0) for i in range(8) if i != q][:6]
+
+
 def test_recall(spark):
     rng = np.random.default_rng(1)
     x = (rng.normal(size=(40, 24))[rng.integers(0, 40, 3000)] + 0.7 * rng.normal(size=(3000, 24))).astype(np.float32) * rng.uniform(0.5, 2, (3000, 1)).astype(np.float32)
