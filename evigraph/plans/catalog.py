@@ -93,6 +93,14 @@ def upsert_documents(spark, sf):
     return documents.upsert(old, new, "pmid")
 
 
+@query("""SELECT DISTINCT (2 * doc_id)::VARCHAR AS pmid, 'new' AS version FROM documents UNION ALL SELECT doc_id::VARCHAR, 'old' FROM documents WHERE doc_id NOT IN (SELECT 2 * doc_id FROM documents)""")
+def upsert_documents_all(spark, sf):
+    """All documents are the old side; the new side has every id doubled, so it replaces some rows and adds others."""
+    d = table(spark, sf, "documents")
+    old = d.select(F.col("doc_id").cast("string").alias("pmid"), F.lit("old").alias("version"))
+    return documents.upsert(old, d.select((2 * F.col("doc_id")).cast("string").alias("pmid"), F.lit("new").alias("version")), "pmid")
+
+
 @query("""SELECT doc_id::VARCHAR AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def resume_unprocessed_anti(spark, sf):
     done = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id"))
@@ -478,7 +486,15 @@ def cited_id_filter(spark, sf):
 
 @query("""SELECT doc_id, replace(replace('see ' || doc_id || ' and ' || (doc_id + 1) || '.', doc_id::VARCHAR || ' ', '[' || doc_id || '](https://pubmed.ncbi.nlm.nih.gov/' || doc_id || ') '), ' ' || (doc_id + 1) || '.', ' [' || (doc_id + 1) || '](https://pubmed.ncbi.nlm.nih.gov/' || (doc_id + 1) || ').') AS linked FROM documents WHERE doc_id > 100000000 OR doc_id > 500""")
 def citation_links(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id > 500")
+    return _cited(table(spark, sf, "documents").where("doc_id > 500"))
+
+
+@query("""SELECT doc_id, 'see [' || doc_id || '](https://pubmed.ncbi.nlm.nih.gov/' || doc_id || ') and [' || (doc_id + 1) || '](https://pubmed.ncbi.nlm.nih.gov/' || (doc_id + 1) || ').' AS linked FROM documents""")
+def citation_links_all(spark, sf):
+    return _cited(table(spark, sf, "documents"))
+
+
+def _cited(d):
     a, b = F.col("doc_id").cast("string"), (F.col("doc_id") + 1).cast("string")
     return d.select("doc_id", text.linkify(F.concat(F.lit("see "), a, F.lit(" and "), b, F.lit(".")), F.array(a, b)).alias("linked"))
 
