@@ -21,8 +21,8 @@ from .tables import cut, ship
 
 #: Arcs of a node, width of the searches that build the graph, and how much nearer a kept neighbour must be to cover another.
 DEGREE, WIDTH, ALPHA = 32, 64, 1.2
-#: Width of a query's beam in each shard; vectors of a shard, at least so many shards; queries of one task.
-BEAM, SHARD_ROWS, LEAST_SHARDS, QUERY_ROWS = 64, 50_000, 12, 8192
+#: Width of a query's beam in each shard, wide enough for a recall of 0.99 in a full shard; vectors of a shard, at least so many shards; queries of one task.
+BEAM, SHARD_ROWS, LEAST_SHARDS, QUERY_ROWS = 256, 10_000, 12, 8192
 
 
 def beam_search(vectors: np.ndarray, arcs: np.ndarray, entry: int, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from evigraph.llm.html_text import extract, main_text
-from evigraph.llm.vector_search import beam_search, build, nearest, raised
+from evigraph.llm.vector_search import BEAM, SHARD_ROWS, beam_search, build, nearest, raised
 
 PAGE = "page_id long, url string, html string, host string, tokens int, text string"
 
@@ -103,6 +103,18 @@ def test_recall(spark):
     assert np.mean(recall) > 0.95
 
 
+def test_recall_of_a_full_shard():
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(SHARD_ROWS, 64)) @ rng.normal(size=(64, 64))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q, x = x[:200], x[200:]
+    arcs, entry = build(raised(x))
+    found, _ = beam_search(raised(x), arcs, entry, np.concatenate([q, np.zeros((200, 1), np.float32)], 1), BEAM)
+    best = np.argsort(-(q @ x.T), 1)[:, :20]
+    recall = np.mean([len(set(b) & set(f)) / 20 for b, f in zip(best.tolist(), found.tolist())])
+    assert recall > 0.99
+
+
 def test_graph_of_few():
     for n in (1, 2, 3, 40):
         x = raised(np.random.default_rng(n).normal(size=(n, 5)).astype(np.float32))
