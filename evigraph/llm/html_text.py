@@ -1,12 +1,14 @@
 """Main text of web pages by template deduction over the pages of each host.
 
-Tokens of a page are its elements, told apart by their path, and its texts, told apart by path and hash. Each token's
-occurrences over the pages of a host form a vector; tokens with equal vectors form an equivalence class. Vectors are
-summed to fingerprints where pages are read, so that no host's pages ever meet in one task. Classes whose
-tokens stand once on each of their pages make up the host's template: those on nearly every page, and those on fewer
-that have elements of their own, as another form of page has. What remains between the template's tokens are slots, inside an
-``article`` too; the deepest nested container of nearly every page that holds most of the text outside menus, notices and the like
-is where a page's text is taken from.
+Tokens of a page are its elements, told apart by their place (the path of names with the number among like siblings), and
+its texts, told apart by path and hash. Each token's occurrences over the pages of a host form a vector; tokens
+with equal vectors form an equivalence class. Vectors are summed to fingerprints where pages are read, so that no
+host's pages ever meet in one task. Classes whose tokens stand once on each of their pages make up the host's template:
+those on nearly every page, and those on fewer that have elements of their own, as another form of page has. Elements
+of the template that stand in elements of the template are nested; what remains between its tokens are slots. The deepest
+nested container that holds most of what the slots of the host hold is the main slot: a page's text is what this page has
+in it, less the template's texts. Names of elements and classes only break ties: parts that say of themselves that they are a menu,
+a form or reader comments do not count as slots. Hosts with too few pages to deduce a template are read by these names alone.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import rows_of, ship, slices
+from .tables import cut, drop, rows_of, ship, slices
 
 #: Elements that never hold article text, and words in class or id names of such parts.
 APART = frozenset("head nav header footer aside form script style noscript template iframe svg button select option textarea menu dialog object canvas audio video title".split())
@@ -32,6 +34,8 @@ APART_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|pr
 NAME = re.compile(rf"(?:{APART_NAMES.pattern})+", re.IGNORECASE)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ID_HOLDERS = frozenset("div ul ol table".split())
+#: Words that set an element apart inside an article too. The others there may well name a part of the article.
+PLAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|sidebar\w*|nav\w*|menu\w*|breadcrumb\w*|comment\w*|disqus\w*|cookie\w*|consent|popup|modal|overlay|newsletter|subscribe\w*|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|pagination|pager|toolbar)(?=$|[\s_-])", re.IGNORECASE)
 APART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript textarea title iframe template".split())
@@ -47,19 +51,43 @@ NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([
 SUPPORT, FORM, LEAST_PAGES = 0.9, 0.1, 4
 #: Tokens of a class at least.
 LEAST_TOKENS = 3
+#: The main slot holds this part of what all slots of the host hold, and links make up no more than ``MOST_LINKS`` of it.
+MAIN_PART, MOST_LINKS = 0.6, 0.5
+#: A page of which the texts of a form leave less than this part is one of many copies of an article: they stay.
+COPY_PART = 0.25
+#: Templates of up to so many texts in all (8 bytes each, and 64 bytes a host) are broadcast.
+BROADCAST_TEXTS = 2_000_000
+ELEMENT, HOLDER_ELEMENT, TEXT, PAGE = range(4)
 
 
 class Element:
-    __slots__ = ("apart", "loose", "name", "parent", "path", "text", "link", "kids")
+    __slots__ = ("apart", "depth", "hidden", "inside", "kids", "link", "loose", "name", "parent", "path", "seen", "spot", "text", "within")
 
-    def __init__(self, name: str, path: str, parent: Element | None, apart: bool, loose: bool = False):
-        self.name, self.path, self.parent, self.apart, self.loose = name, path, parent, apart, loose
+    def __init__(self, name: str, label: str, parent: Element | None, apart: bool, loose: bool = False):
+        self.name, self.parent, self.apart, self.loose = name, parent, apart, loose
         self.text = self.link = 0
+        self.hidden = False
         self.kids: list[Element | str] = []
+        self.seen: dict[str, int] | None = None
+        if parent is None:
+            self.path = self.spot = self.depth = 0
+            self.inside = self.within = False
+        else:
+            if parent.seen is None:
+                parent.seen = {}
+            k = parent.seen[label] = parent.seen.get(label, -1) + 1
+            self.depth = parent.depth + 1
+            self.within = parent.within or parent.name == "article"
+            self.inside = self.within or parent.inside or parent.name == "main"
+            self.path = xxhash.xxh3_64_intdigest(label.encode("utf-8", "surrogatepass"), parent.path) >> 1 or 1
+            self.spot = xxhash.xxh3_64_intdigest(f"{k} {label}".encode("utf-8", "surrogatepass"), parent.spot) >> 1 or 1
+
 
+def _apart(name: str, attributes: str, inside: bool) -> tuple[bool, bool, str]:
+    """Whether an element is set apart from article text, whether a part of its names says so, and the name it has in paths.
 
-def _apart(name: str, attributes: str) -> tuple[bool, bool, str]:
-    """Whether an element is set apart from article text, whether a part of its names says so, and the name it has in paths."""
+    ``inside`` an article only the plain names set apart, and a header's headings stay (:func:`blocks`).
+    """
     apart, loose, label = name in APART, False, name
     if attributes.strip():
         for key, *values in NAMES.findall(attributes):
@@ -68,9 +96,9 @@ def _apart(name: str, attributes: str) -> tuple[bool, bool, str]:
                 if name not in ("body", "html", "article", "main") and APART_NAMES.search(value):
                     loose = True
                     if name not in HEADINGS and (key == "class" or name in ID_HOLDERS):
-                        apart |= any(NAME.fullmatch(n) for n in value.split())
+                        apart |= any(NAME.fullmatch(n) and (not inside or PLAIN_NAMES.search(n)) for n in value.split())
                 if value and key == "class":
-                    label = f"{name}.{value.split()[0]}"
+                    label = f"{name}.{value.split()[0]}" if value.split() else name
             elif key == "role":
                 apart |= value.lower() in APART_ROLES
             elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE)):
@@ -114,8 +142,8 @@ def parse(page: str) -> Element:
                 up = up.parent
             if up.parent and ((up.name == "p" and name in CLOSES_P) or up.name in SAME.get(name, ())):
                 now = up.parent
-        apart, loose, label = _apart(name, m[3] or "")
-        child = Element(name, f"{now.path}>{label}", now, apart, loose)
+        apart, loose, label = _apart(name, m[3] or "", now.inside or now.name in ("article", "main"))
+        child = Element(name, label, now, apart, loose)
         now.kids.append(child)
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
@@ -130,7 +158,7 @@ def _closed_later(page: str, at: int, name: str) -> bool:
 
 
 def measure(e: Element, apart: bool = False, link: bool = False) -> None:
-    """Sets on each element the characters of article-like text and of links below it."""
+    """Sets on each element whether it is in a part set apart, and the characters of article-like text and of links below it."""
     stack = [(e, apart, link, False)]
     while stack:
         e, apart, link, done = stack.pop()
@@ -141,7 +169,8 @@ def measure(e: Element, apart: bool = False, link: bool = False) -> None:
                     e.link += kid.link
             continue
         e.text = e.link = 0
-        apart, link = apart or e.apart, link or e.name == "a"
+        e.hidden = apart = apart or e.apart
+        link = link or e.name == "a"
         stack.append((e, apart, link, True))
         for kid in e.kids:
             if isinstance(kid, Element):
@@ -174,7 +203,7 @@ def settle(root: Element) -> None:
     elements = [e for e, text in walk(root) if text is None and e.loose]
     if not elements:
         return
-    articles = [e for e, text in walk(root) if text is None and e.name in ("article", "main") and e.text and not _is_apart(e)]
+    articles = [e for e, text in walk(root) if text is None and e.name in ("article", "main") and e.text and not e.hidden]
     main = max(articles, key=lambda e: e.text, default=None)
     held = set()
     while main and (held or 2 * main.text >= root.text):
@@ -188,13 +217,16 @@ def settle(root: Element) -> None:
     measure(root)
 
 
-def text_token(path: str, text: str) -> str:
+def text_token(path: int, text: str) -> int:
     """The token of a text: of one size whatever its length."""
-    return f"{path}|{xxhash.xxh3_64_hexdigest(text.encode('utf-8', 'surrogatepass'))}"
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), path) >> 1
+
 
+def blocks(main: Element, template: frozenset[int]) -> list[str]:
+    """Texts of the blocks below ``main`` in page order, without parts set apart and texts of the template.
 
-def blocks(main: Element, template: frozenset[str]) -> list[str]:
-    """Texts of the blocks below ``main`` in page order, without parts set apart and texts of the template."""
+    Of a header inside an article the headings stay.
+    """
     out: list[str] = []
     line: list[str] = []
 
@@ -204,7 +236,7 @@ def blocks(main: Element, template: frozenset[str]) -> list[str]:
         if text:
             out.append(text)
 
-    stack: list[Element | str | None] = [main]
+    stack: list[Element | tuple[int, str] | None] = [main]
     while stack:
         x = stack.pop()
         if x is None:
@@ -215,6 +247,8 @@ def blocks(main: Element, template: frozenset[str]) -> list[str]:
                 line.append(text)
         elif x.apart and x is not main:
             line.append(" ")
+            if x.name == "header" and x.inside:
+                stack += reversed([e for e, text in walk(x) if text is None and e.name in HEADINGS])
         elif x.name == "br":
             line.append("\n")
         else:
@@ -227,84 +261,119 @@ def blocks(main: Element, template: frozenset[str]) -> list[str]:
     return out
 
 
+def tokens_of(root: Element) -> dict[tuple[int, int], list[int]]:
+    """The tokens of a page: ``(token, kind)`` with parent's place, depth, times, text and link characters."""
+    own: dict[tuple[int, int], list[int]] = {(0, PAGE): [0, 0, 1, 0, 0]}
+    for e, text in walk(root):
+        if text is None:
+            if e.parent:
+                own[e.spot, HOLDER_ELEMENT if e.name in HOLDER else ELEMENT] = [e.parent.spot, e.depth, 1, e.text, e.link]
+        elif t := " ".join(text.split()):
+            x = own.setdefault((text_token(e.path, t), TEXT), [e.spot, e.depth, 0, 0, 0])
+            x[0] = min(x[0], e.spot)
+            x[2] += 1
+            x[3] += len(text.strip()) if e.text else 0  # nothing below a part set apart counts
+    return own
+
+
+PROFILE = {"host": "string", "token": "long", "kind": "int", "up": "long", "depth": "int", "pages": "long", "times": "long", "v1": "long", "v2": "long", "seen1": "long", "seen2": "long", "text": "long", "link": "long"}
+
+
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial sums of each token by host: pages, occurrences, vector fingerprint, text and link characters."""
-    sums: dict[tuple[str, str], list[int]] = {}
-    names = ["host", "token", "pages", "times", "vector", "text", "link"]
+    """Partial sums of each token by host: pages, occurrences, two halves of the vector's fingerprint, marks of distinct pages, sizes.
+
+    The marks are bit sets: a page sets the same bit of each however often its row is repeated.
+    """
+    sums: dict[tuple[str, int, int], list[int]] = {}
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * 8]
 
     def rows():
         keys, values = list(sums), list(sums.values())
-        cols = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string())]
-        return pa.RecordBatch.from_arrays(cols + [pa.array([v[i] for v in values], pa.int64()) for i in range(5)], names)
+        cols = [[k[i] for k in keys] for i in range(3)] + [[v[i] for v in values] for i in range(10)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], list(PROFILE))
 
     for batch in slices(batches):
         for host, key, page in rows_of(batch, "host", "key", "html"):
-            root = parse(page or "")
+            page = page or ""
+            root = parse(page)
             settle(root)
-            own: dict[str, list[int]] = {"": [1, 0, 0]}
-            for e, text in walk(root):
-                if text is None:
-                    if e.parent:
-                        x = own.setdefault(e.path, [0, 0, 0])
-                        x[0] += 1
-                        x[1] += e.text
-                        x[2] += e.link
-                elif t := " ".join(text.split()):
-                    x = own.setdefault(text_token(e.path, t), [0, 0, 0])
-                    x[0] += 1
-                    x[1] += len(text.strip()) if e.text else 0  # nothing below a part set apart counts
-            for token, (times, chars, link) in own.items():
-                s = sums.setdefault((host, token), [0, 0, 0, 0, 0])
-                s[0] += 1
-                s[1] += times
-                s[2] ^= xxhash.xxh3_64_intdigest(f"{key}:{times}".encode()) >> 1
-                s[3] += chars
-                s[4] += link
+            name = f"{key} {xxhash.xxh3_128_hexdigest(page.encode('utf-8', 'surrogatepass'))}"
+            mark = xxhash.xxh3_64_intdigest(name.encode("utf-8", "surrogatepass"))
+            m1, m2 = 1 << mark % 63, 1 << (mark >> 32) % 61
+            for (token, kind), (up, depth, times, chars, link) in tokens_of(root).items():
+                v = xxhash.xxh3_64_intdigest(times.to_bytes(8, "little"), mark)
+                s = sums.get((host, token, kind))
+                if s is None:
+                    sums[host, token, kind] = [up, depth, 1, times, v >> 32, v & 0xFFFFFFFF, m1, m2, chars, link]
+                else:
+                    if up < s[0]:
+                        s[0] = up
+                    s[2] += 1
+                    s[3] += times
+                    s[4] += v >> 32
+                    s[5] += v & 0xFFFFFFFF
+                    s[6] |= m1
+                    s[7] |= m2
+                    s[8] += chars
+                    s[9] += link
             if len(sums) >= 100_000:
                 yield rows()
                 sums.clear()
     yield rows()
 
 
-@lru_cache(64)
-def template(tokens: tuple[tuple[str, int, int, int, int, int], ...], pages: int) -> tuple[str, frozenset[str]]:
-    """The path of the main container and the texts of a host's template, from tokens ``(token, pages, times, vector, text, link)``.
+def template(tokens: list[tuple[int, ...]], pages: int) -> tuple[int, list[int], list[int]]:
+    """The place of the main slot of a host, its template's texts and those of forms that part of the pages have.
 
-    A class is valid if it has three tokens or more, each once on a page, and is on nearly all pages or has elements; an
-    element on nearly all pages belongs to the template if its parent does. No template (no valid class) gives an empty path.
+    ``tokens`` are ``(token, kind, up, depth, pages, v1, v2, text, link)``, each once on each of its pages. A class is valid if it
+    has three tokens or more and is on nearly all pages or has elements; an element on nearly all pages is nested
+    if its parent is. No nested container gives the place 0.
     """
-    classes: dict[tuple[int, int], list] = {}
+    classes: dict[tuple[int, int, int], list] = {}
     for t in tokens:
-        if t[0] and t[1] == t[2]:
-            classes.setdefault((t[1], t[3]), []).append(t)
-    valid = [t for members in classes.values() if len(members) >= LEAST_TOKENS and (members[0][1] >= SUPPORT * pages or any("|" not in t[0] for t in members)) for t in members]
-    nested: dict[str, tuple] = {"": ()}
-    for t in sorted((t for t in valid if "|" not in t[0] and t[1] >= SUPPORT * pages), key=lambda t: t[0].count(">")):
-        if t[0].rpartition(">")[0] in nested:
-            nested[t[0]] = t
-    fixed = [(t[0].partition("|")[0] + ">", t[4]) for t in valid if "|" in t[0]]
-    rest = {p: t[4] - sum(n for at, n in fixed if at.startswith(f"{p}>")) for p, t in nested.items() if p}
-    whole = max(rest.values(), default=0)
-    best = ""
-    for p, own in rest.items():
-        kind = p.rpartition(">")[2].partition(".")[0]
-        if kind in HOLDER and own >= 0.6 * whole and nested[p][5] <= 0.5 * nested[p][4] and own > 0 and p.count(">") > best.count(">"):
-            best = p
-    return best, frozenset(t[0] for t in valid if "|" in t[0])
-
-
-def main_element(root: Element, path: str) -> Element | None:
-    """The element at the template's path; else the longest article, else ``main``, else the holder with most text of its own."""
-    elements = [e for e, text in walk(root) if text is None and e.parent and not _is_apart(e)]
-    if path:
-        at = [e for e in elements if e.path == path]
-        if at and at[0].text:
-            inner = [e for e in elements if e.name == "article" and _below(e, at[0])]
-            return at[0] if at[0].name == "article" or not inner else max(inner, key=lambda e: e.text)
-    for name in ("article", "main"):
-        at = [e for e in elements if e.name == name and e.text]
-        if at:
-            return max(at, key=lambda e: e.text)
+        classes.setdefault(t[4:7], []).append(t)
+    valid = [t for members in classes.values() if len(members) >= LEAST_TOKENS and (members[0][4] >= SUPPORT * pages or any(t[1] != TEXT for t in members)) for t in members]
+    fixed = [t for t in valid if t[1] == TEXT]
+    nested = {0}
+    for t in sorted((t for t in valid if t[1] != TEXT and t[4] >= SUPPORT * pages), key=lambda t: t[3]):
+        if t[2] in nested:
+            nested.add(t[0])
+    place = {t[0]: t for t in tokens if t[1] != TEXT}
+    rest = {p: t[7] for p, t in place.items()}
+    for t in fixed:
+        at = t[2]
+        while at in rest:
+            rest[at] -= t[7]
+            at = place[at][2]
+    whole = max((rest[p] for p in nested if p in rest), default=0)
+    best, depth = 0, 0
+    for p in sorted(nested & rest.keys()):
+        t = place[p]
+        if t[1] == HOLDER_ELEMENT and rest[p] >= MAIN_PART * whole and rest[p] > 0 and t[8] <= MOST_LINKS * t[7] and t[3] > depth:
+            best, depth = p, t[3]
+    return best, sorted(t[0] for t in fixed if t[4] >= SUPPORT * pages), sorted(t[0] for t in fixed if t[4] < SUPPORT * pages)
+
+
+def main_parts(root: Element, spot: int) -> list[Element]:
+    """The elements that hold a page's main text, in page order.
+
+    Under a template the element at the place of the main slot; if that is an article, with the articles beside it, and if
+    articles hold most of it, these. Without one, or where a page lacks that place: all articles, else ``main``, else the
+    holder with most text of its own.
+    """
+    elements = [e for e, text in walk(root) if text is None and e.parent and not e.hidden]
+    articles = [e for e in elements if e.name == "article" and e.text and not e.within]
+    at = next((e for e in elements if e.spot == spot and e.text), None) if spot else None
+    if at:
+        if at.name == "article":
+            return [e for e in articles if e.parent is at.parent and not e.loose] or [at]
+        inner = [e for e in articles if _below(e, at)]
+        return inner if sum(e.text for e in inner) >= MAIN_PART * at.text else [at]
+    if articles:
+        return articles
+    mains = [e for e in elements if e.name == "main" and e.text]
+    if mains:
+        return [max(mains, key=lambda e: e.text)]
     own: dict[int, int] = {}
     for e in elements:
         if e.name == "p" or e.name in HOLDER:
@@ -314,15 +383,7 @@ def main_element(root: Element, path: str) -> Element | None:
             direct = e.text - e.link if e.name == "p" else sum(len(k.strip()) for k in e.kids if isinstance(k, str))
             own[id(up)] = own.get(id(up), 0) + direct
     holders = [e for e in elements if own.get(id(e))]
-    return max(holders, key=lambda e: own[id(e)]) if holders else (root if root.text else None)
-
-
-def _is_apart(e: Element | None) -> bool:
-    while e:
-        if e.apart:
-            return True
-        e = e.parent
-    return False
+    return [max(holders, key=lambda e: own[id(e)])] if holders else [root] if root.text else []
 
 
 def _below(e: Element | None, top: Element) -> bool:
@@ -333,55 +394,88 @@ def _below(e: Element | None, top: Element) -> bool:
     return False
 
 
-def extract(page: str | None, path: str = "", texts: frozenset[str] = frozenset()) -> str:
+def extract(page: str | None, spot: int = 0, texts: frozenset[int] = frozenset(), forms: frozenset[int] = frozenset()) -> str:
     """Main text of one page under a host's template.
 
     An ``article`` or ``main`` that the template would leave empty is kept: it is one of many copies, not a part of the template.
+    So is a page's text of which the ``forms`` would leave less than :data:`COPY_PART`.
     """
     root = parse(page or "")
     settle(root)
-    main = main_element(root, path)
-    if not main:
-        return ""
-    if main.parent and main.name not in ("body", "html"):  # parts of names do not count in the main text's own element
-        for e, text in walk(main):
-            if text is None and e.loose:
-                e.apart = False
-    out = blocks(main, texts)
-    if not out and main.name in ("article", "main"):
-        out = blocks(main, frozenset())
+    mains = main_parts(root, spot)
+    for main in mains:
+        if main.parent and main.name not in ("body", "html"):  # parts of names do not count in the main text's own element
+            for e, text in walk(main):
+                if text is None and e.loose:
+                    e.apart = False
+    out = [b for m in mains for b in blocks(m, texts)]
+    if forms:
+        less = [b for m in mains for b in blocks(m, texts | forms)]
+        if sum(map(len, less)) >= COPY_PART * sum(map(len, out)):
+            out = less
+    if not out and any(m.name in ("article", "main") for m in mains):
+        out = [b for m in mains for b in blocks(m, frozenset())]
     return "\n\n".join(out)
 
 
+def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 64):
+        out = {"host": [], "spot": [], "texts": [], "forms": []}
+        for host, pages, tokens in rows_of(batch, "host", "pages", "tokens"):
+            found = template([tuple(t.values()) for t in tokens], pages)
+            for name, value in zip(out, (host, *found), strict=True):
+                out[name].append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(out["host"], pa.string()), pa.array(out["spot"], pa.int64()), pa.array(out["texts"], pa.list_(pa.int64())), pa.array(out["forms"], pa.list_(pa.int64()))], list(out))
+
+
+@lru_cache(64)
+def _texts_set(texts: tuple[int, ...]) -> frozenset[int]:
+    return frozenset(texts)
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 256):
         out = []
-        for page, tokens, pages in rows_of(batch, "html", "tokens", "pages"):
-            path, texts = template(tuple(sorted(tuple(t.values()) for t in tokens)), pages) if tokens else ("", frozenset())
-            out.append(extract(page, path, texts))
+        for page, spot, texts, forms in rows_of(batch, "html", "spot", "texts", "forms"):
+            out.append(extract(page, spot or 0, _texts_set(tuple(texts or ())), _texts_set(tuple(forms or ()))))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
+def deduced(pages: DataFrame) -> DataFrame:
+    """The template of each host of ``host, key, html``: ``host, spot, texts, forms``; hosts without one have no row.
+
+    Only tokens on a tenth of a host's pages or more are gathered, so a host's are no more than those of ten pages.
+    """
+    profile = ", ".join(f"{n} {t}" for n, t in PROFILE.items())
+    add = [F.sum(c).alias(c) for c in ("pages", "times", "v1", "v2", "text", "link")] + [F.bit_or(c).alias(c) for c in ("seen1", "seen2")]
+    sums = pages.mapInArrow(_profiles, profile).groupBy("host", "token", "kind").agg(F.min("up").alias("up"), F.min("depth").alias("depth"), *add)
+    often = F.greatest(F.bit_count("seen1"), F.bit_count("seen2")) >= LEAST_PAGES
+    tokens = cut(sums.where(often & (F.col("pages") == F.col("times"))).drop("times", "seen1", "seen2"), "page-tokens")
+    most = tokens.where(F.col("kind") == PAGE).select("host", F.col("pages").alias("all"))
+    common = tokens.where(F.col("kind") != PAGE).join(most, "host").where(F.col("pages") >= FORM * F.col("all"))
+    row = F.struct("token", "kind", "up", "depth", "pages", "v1", "v2", "text", "link")
+    found = common.groupBy("host").agg(F.max("all").alias("pages"), F.collect_list(row).alias("tokens")).select("host", "pages", "tokens")
+    out = cut(found.mapInArrow(_templates, "host string, spot long, texts array<long>, forms array<long>"), "templates")
+    drop(tokens)
+    return out
+
+
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The main text of every page: ``page_id, url, text, n_chars``; blocks in page order, two line ends between them.
 
-    Templates come from all pages of a host. Only classes on a tenth of a host's pages or more are gathered, so a template is no
-    larger than ten pages; Spark broadcasts templates where they are small and joins them by host elsewhere, splitting a
-    host with many pages.
+    Templates come from all pages of a host, deduced in one pass that shuffles sums of tokens, never pages. They are
+    broadcast up to a counted size; beyond it pages and the written templates are joined by host, two plain shuffles, of
+    which Spark splits the hot hosts.
 
     Cases: null or empty html, or html without text, has empty text; a null url is a host of its own; null and repeated ids and
-    rows pass through; hosts with fewer than four pages have no template and are read by their elements alone; other
-    columns are not read.
+    rows pass through, and repeated rows count as one page where pages are counted; hosts with fewer than four distinct
+    pages have no template and are read by their elements alone; other columns are not read.
     """
     ship(pages.sparkSession)
     host = F.coalesce(F.regexp_extract(F.lower(F.col(url_col).cast("string")), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1), F.lit(""))
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
-    read = base.select("host", F.concat_ws(" ", F.col("page_id").cast("string"), "url").alias("key"), "html")
-    sums = read.mapInArrow(_profiles, "host string, token string, pages long, times long, vector long, text long, link long")
-    tokens = sums.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("times").alias("times"), F.bit_xor("vector").alias("vector"), F.sum("text").alias("text"), F.sum("link").alias("link")).where((F.col("pages") >= LEAST_PAGES) & (F.col("pages") == F.col("times")))
-    most = tokens.where("token = ''").select("host", F.col("pages").alias("all"))
-    row = F.struct("token", F.col("pages").alias("n"), "times", "vector", "text", "link")
-    classes = tokens.where("token <> ''").groupBy("host", "pages", "vector").agg(F.collect_list(row).alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
-    common = classes.join(most, "host").where(F.col("pages") >= FORM * F.col("all"))
-    found = common.groupBy("host").agg(F.max("all").alias("pages"), F.flatten(F.collect_list("tokens")).alias("tokens"))
-    return base.join(found, "host", "left").select("page_id", "url", "html", "tokens", "pages").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    found = deduced(base.select("host", F.concat_ws(" ", F.col("page_id").cast("string"), "url").alias("key"), "html"))
+    size = found.agg(F.sum(F.size("texts") + F.size("forms") + 8).alias("n")).first()["n"] or 0
+    if size <= BROADCAST_TEXTS:
+        found = F.broadcast(found)
+    return base.join(found, "host", "left").select("page_id", "url", "html", "spot", "texts", "forms").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")

@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,11 +70,29 @@ def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in smaller parts, so that what a task makes of one part stays small."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller parts, so that what a task makes of one part stays small: up to ``rows`` rows, and no more
+    than ``most_bytes`` of strings and lists unless one row alone has more."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        n = batch.num_rows
+        if batch.nbytes <= most_bytes:
+            cuts = range(0, n, rows)
+        else:
+            size = np.zeros(n, np.int64)
+            for column in batch.columns:
+                if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+                    size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+                elif pa.types.is_list(column.type):
+                    size += 8 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            cuts, begin, held = [], 0, 0
+            for i, b in enumerate(size.tolist()):
+                if i == 0 or i - begin >= rows or held + b > most_bytes:
+                    cuts.append(i)
+                    begin, held = i, 0
+                held += b
+        ends = [*cuts[1:], n]
+        for a, b in zip(cuts, ends, strict=False):
+            yield batch.slice(a, b - a)
 
 
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
