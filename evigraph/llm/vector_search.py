@@ -5,6 +5,9 @@ for each new vector; relaxed distance pruning keeps the nearest and then only th
 by the factor ``ALPHA``; the reverse arcs are added and pruned alike. Queries run a beam search in every shard, and
 the shards' nearest are merged. Searches of a batch run side by side in numpy.
 
+How wide a beam must be depends on the vectors. So each finished graph is tried with vectors of its own shard against a
+scan of it, and the beam doubled until the recall is ``RECALL``. A shard of which the beam would have to hold a quarter is scanned.
+
 Nearness is the inner product. The graph uses Euclidean distance in one more dimension, ``sqrt(m^2 - |x|^2)`` with the
 shard's largest norm ``m``, in which the order of distances to a query is the order of inner products.
 Equal vectors are one node: copies can neither crowd out other neighbours nor cut the graph apart.
@@ -12,17 +15,22 @@ Equal vectors are one node: copies can neither crowd out other neighbours nor cu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import cut, ship
+from .tables import cut, drop, ship
 
 #: Arcs of a node, width of the searches that build the graph, and how much nearer a kept neighbour must be to cover another.
 DEGREE, WIDTH, ALPHA = 32, 64, 1.2
-#: Width of a query's beam in each shard, wide enough for a recall of 0.99 in a full shard; vectors of a shard, at least so many shards; queries of one task.
-BEAM, SHARD_ROWS, LEAST_SHARDS, QUERY_ROWS = 256, 10_000, 12, 8192
+#: The least beam, vectors of a shard, the mean recall that a shard's own vectors must reach and how many of them are tried.
+BEAM, SHARD_ROWS, RECALL, TRIED = 64, 10_000, 0.99, 200
+#: Queries searched side by side.
+BLOCK = 256
 
 
 def beam_search(vectors: np.ndarray, arcs: np.ndarray, entry: int, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +57,7 @@ def beam_search(vectors: np.ndarray, arcs: np.ndarray, entry: int, queries: np.n
         fresh = (near >= 0) & ~seen[rows[:, None], near]
         near = np.where(fresh, near, 0)
         seen[rows[:, None], near] |= fresh
-        d = squares[near] + own[rows, None] - 2 * np.einsum("qd,qrd->qr", queries[rows], vectors[near])
+        d = squares[near] + own[rows, None] - 2 * (vectors[near] @ queries[rows][:, :, None])[:, :, 0]
         d = np.where(fresh, d, np.inf).astype(np.float32)
         both = np.concatenate([dist[rows], d], 1)
         order = np.argsort(both, 1, kind="stable")[:, :width]
@@ -72,8 +80,8 @@ def robust_prune(vectors: np.ndarray, nodes: np.ndarray, found: np.ndarray, degr
     v = vectors[s]
     d = ((v - vectors[nodes][:, None]) ** 2).sum(2)
     d = np.where(s < 0, np.inf, d)
-    cross = np.einsum("bid,bjd->bij", v, v)
-    sq = np.einsum("bii->bi", cross)
+    cross = v @ v.transpose(0, 2, 1)
+    sq = (v**2).sum(2)
     cross = sq[:, :, None] + sq[:, None, :] - 2 * cross
     out = np.full((len(nodes), degree), -1, np.int64)
     rows = np.arange(len(nodes))
@@ -130,45 +138,119 @@ def raised(vectors: np.ndarray) -> np.ndarray:
     return np.concatenate([vectors, np.sqrt(np.maximum(squares.max() - squares, 0))[:, None]], 1).astype(np.float32)
 
 
-def _built(pdf: pd.DataFrame) -> pd.DataFrame:
+def ranked(scores: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``scores`` the places of its ``k`` largest, ties by the smaller name, and whether there is one."""
+    if scores.shape[1] > 4 * k:  # what is below the k-th largest cannot matter
+        least = -np.partition(-scores, k - 1, 1)[:, k - 1 : k]
+        wide = int((scores >= least).sum(1).max())
+        part = np.argpartition(-np.where(scores >= least, scores, -np.inf), min(wide, scores.shape[1] - 1), 1)[:, :wide]
+    else:
+        part = np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
+    s, n = np.take_along_axis(scores, part, 1), np.take_along_axis(names, part, 1)
+    order = np.lexsort((n, -s), axis=1)[:, :k]
+    return np.take_along_axis(part, order, 1), np.isfinite(np.take_along_axis(s, order, 1))
+
+
+class Shard:
+    """A shard's vectors and graph, to be searched."""
+
+    def __init__(self, vectors: np.ndarray, names: np.ndarray, arcs: np.ndarray, entry: int):
+        self.vectors, self.names, self.arcs, self.entry = vectors, names, arcs, entry
+        self.exact = vectors.astype(np.float64)
+        self.high = raised(vectors)
+
+    def search(self, queries: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the ``k`` nearest of each query, their inner products in double precision and whether there is one.
+
+        ``beam`` 0 scans the shard.
+        """
+        if not beam:
+            scores = queries.astype(np.float64) @ self.exact.T
+            top, ok = ranked(scores, np.broadcast_to(self.names, scores.shape), k)
+            found = top
+        else:
+            q = np.concatenate([queries.astype(np.float32), np.zeros((len(queries), 1), np.float32)], 1)
+            found, _ = beam_search(self.high, self.arcs, self.entry, q, max(beam, 2 * k))
+            scores = np.einsum("qd,qwd->qw", queries.astype(np.float64), self.exact[found])
+            scores = np.where(found < 0, -np.inf, scores)
+            top, ok = ranked(scores, self.names[found], k)
+            found = np.take_along_axis(found, top, 1)
+        if beam:
+            return found, np.take_along_axis(scores, top, 1), ok
+        exact = np.einsum("qd,qkd->qk", queries.astype(np.float64), self.exact[found])  # the same sums as of a beam's
+        return found, exact, ok
+
+    def beam_for(self, k: int, least: int) -> int:
+        """The least beam, doubled from ``least``, by which the shard's own vectors find what a scan finds; 0: scan."""
+        n = len(self.vectors)
+        at = np.unique(np.linspace(0, n - 1, min(n, TRIED)).astype(np.int64))
+        queries = self.vectors[at]
+        want, _, _ = self.search(queries, min(k, n), 0)
+        beam = max(least, 2 * k)
+        while 4 * beam < n:
+            got, _, ok = self.search(queries, min(k, n), beam)
+            hit = [len(np.intersect1d(w, g[o])) / len(w) for w, g, o in zip(want, got, ok, strict=True)]
+            if np.mean(hit) >= RECALL:
+                return beam
+            beam *= 2
+        return 0
+
+
+def _built(pdf: pd.DataFrame, k: int, beam: int) -> pd.DataFrame:
     pdf = pdf.sort_values("node")
-    vectors = np.array(pdf["embedding"].tolist(), np.float32)
+    vectors = np.array(pdf["embedding"].tolist())
     arcs, entry = build(raised(vectors))
-    return pd.DataFrame({"shard": pdf["shard"].to_numpy(), "place": np.arange(len(pdf)), "node": pdf["node"].to_numpy(), "entry": np.arange(len(pdf)) == entry, "embedding": pdf["embedding"].to_numpy(), "arcs": [a[a >= 0] for a in arcs]})
-
-
-def _searched(graph: pd.DataFrame, queries: pd.DataFrame, k: int, beam: int, block: int = 256) -> pd.DataFrame:
-    out = {"query_id": [], "node": [], "score": []}
-    if len(graph) and len(queries):
-        graph = graph.sort_values("place")
-        vectors = np.array(graph["embedding"].tolist(), np.float32)
-        high = raised(vectors)
-        arcs = np.full((len(graph), max([1, *map(len, graph["arcs"])])), -1, np.int64)
-        for i, a in enumerate(graph["arcs"]):
-            arcs[i, : len(a)] = a
-        entry, names = int(graph["entry"].to_numpy().argmax()), graph["node"].to_numpy()
-        width = max(beam, 2 * k)
-        for low in range(0, len(queries), block):
-            part = queries.iloc[low : low + block]
-            q = np.array(part["embedding"].tolist(), np.float32)
-            found, _ = beam_search(high, arcs, entry, np.concatenate([q, np.zeros((len(q), 1), np.float32)], 1), width)
-            exact = np.einsum("qd,qwd->qw", q.astype(np.float64), vectors[found].astype(np.float64))
-            exact = np.where(found < 0, -np.inf, exact)
-            order = np.argsort(-exact, 1, kind="stable")[:, : k + 1]
-            rows = np.arange(len(q))[:, None]
-            good = np.isfinite(exact[rows, order])
-            out["query_id"].append(np.repeat(part["vec_id"].to_numpy(), good.sum(1)))
-            out["node"].append(names[found[rows, order]][good])
-            out["score"].append(exact[rows, order][good])
-    return pd.DataFrame({c: np.concatenate(v) if v else np.empty(0, np.float64 if c == "score" else np.int64) for c, v in out.items()})
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, beam: int = BEAM, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    n, names = len(pdf), pdf["node"].to_numpy()
+    width = Shard(vectors, names, arcs, entry).beam_for(k, beam) if beam >= 0 else 0
+    return pd.DataFrame({"shard": pdf["shard"].to_numpy(), "kind": np.zeros(n, np.int32), "place": np.arange(n), "id": names, "entry": np.arange(n) == entry, "beam": np.full(n, width, np.int32), "embedding": pdf["embedding"].to_numpy(), "arcs": [a[a >= 0] for a in arcs]})
+
+
+def _lists(column: pa.Array) -> np.ndarray:
+    """The rows of a column of lists of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _answers(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Answers to queries that come behind the nodes of their shard; one shard and one batch are held at a time."""
+    names = ["query_id", "node", "score"]
+    nodes: list[pa.RecordBatch] = []
+    shard: Shard | None = None
+    now = beam = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        mark = batch.column(0).to_numpy().astype(np.int64) * 2 + batch.column(1).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(mark)) + 1).tolist(), len(mark)]
+        for low, high in zip(edges, edges[1:], strict=False):
+            part, of, kind = batch.slice(low, high - low), mark[low] // 2, mark[low] % 2
+            if of != now:
+                now, shard, nodes = of, None, []
+            if kind == 0:
+                nodes.append(part)
+                continue
+            if shard is None:
+                if not nodes:
+                    continue  # a shard without vectors
+                t = pa.Table.from_batches(nodes).combine_chunks()
+                lists = t["arcs"].chunk(0)
+                size = lists.value_lengths().to_numpy()
+                arcs = np.full((len(t), max(1, int(size.max()))), -1, np.int64)
+                arcs[np.repeat(np.arange(len(t)), size), np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)] = lists.flatten().to_numpy()
+                shard = Shard(_lists(t["embedding"].chunk(0)), t["id"].to_numpy(), arcs, int(np.flatnonzero(t["entry"].to_numpy())[0]))
+                beam, nodes = t["beam"][0].as_py(), []
+            ids, queries = part.column(3).to_numpy(), _lists(part.column(6))
+            for at in range(0, len(ids), BLOCK):
+                found, score, ok = shard.search(queries[at : at + BLOCK], k + 1, beam)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + BLOCK], ok.sum(1)), pa.int64()), pa.array(shard.names[found[ok]], pa.int64()), pa.array(score[ok], pa.float64())], names)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, beam: int = BEAM, shard_rows: int = SHARD_ROWS, exact: bool = False) -> DataFrame:
     """For each row of ``queries`` its ``k`` nearest rows of ``vectors`` by inner product: ``query_id, rank, vec_id, score``.
 
     The query's own id is no candidate. Ranks start at 1, ties go to the smaller id, scores are computed in double
-    precision from the original vectors. All vectors are indexed, in shards of about ``shard_rows``; each shard is one task
-    to build, each shard and block of queries one to search. Of equal vectors the ``k + 1`` smallest ids suffice.
+    precision from the original vectors. All vectors are indexed, dealt by their own values to shards of about ``shard_rows``. One
+    task builds a shard, one task reads it once and answers its queries as they stream by; every shard gets every query. Of
+    equal vectors the ``k + 1`` smallest ids suffice. ``beam`` is the least width of a beam, ``exact`` scans all shards.
 
     Cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite numbers take no part,
     as query or candidate, nor do null ids; rows repeated under one id and vector count once; fewer candidates than
@@ -176,11 +258,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", v
     """
     spark = vectors.sparkSession
     ship(spark)
+    number = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
 
     def usable(df: DataFrame) -> DataFrame:
         v = F.col("embedding")
         fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-        return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("embedding")).where(F.col("vec_id").isNotNull() & fine)
+        return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{number}>").alias("embedding")).where(F.col("vec_id").isNotNull() & fine)
 
     base, asked = usable(vectors), usable(queries)
     sizes = base.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").head()
@@ -189,15 +272,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", v
     base, asked = (df.where(F.size("embedding") == sizes["d"]) for df in (base, asked.dropDuplicates(["vec_id", "embedding"])))
     same = Window.partitionBy("embedding").orderBy("vec_id")
     members = base.withColumn("r", F.dense_rank().over(same)).where(F.col("r") <= k + 1)
-    members = cut(members.groupBy("embedding").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).withColumn("node", F.monotonically_increasing_id()), "members")
-    shards = max(LEAST_SHARDS, -(-members.count() // shard_rows))
-    nodes = members.select("node", "embedding", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"))
-    graph = cut(nodes.groupBy("shard").applyInPandas(_built, "shard int, place long, node long, entry boolean, embedding array<float>, arcs array<int>"), "graph")
-    asked = cut(asked, "queries")
-    blocks = max(1, -(-asked.count() // QUERY_ROWS))
-    left = graph.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(lambda g, q: _searched(g, q, k, beam), "query_id long, node long, score double")
+    members = members.groupBy("embedding").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
+    members = cut(members.select(F.get("ids", F.lit(0)).alias("node"), "ids", "embedding"), "members")
+    shards = max(1, -(-members.count() // shard_rows))
+    nodes = members.select("node", "embedding", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int").alias("shard"))
+    least = -1 if exact else beam
+    row = f"shard int, kind int, place long, id long, entry boolean, beam int, embedding array<{number}>, arcs array<int>"
+    graph = cut(nodes.groupBy("shard").applyInPandas(lambda pdf: _built(pdf, k, least), row), "graph")
+    each = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    lines = asked.select(each, F.lit(1).alias("kind"), F.col("vec_id").alias("place"), F.col("vec_id").alias("id"), F.lit(False).alias("entry"), F.lit(0).alias("beam"), "embedding", F.array().cast("array<int>").alias("arcs"))
+    stream = graph.unionByName(lines).repartitionById(shards, "shard").sortWithinPartitions("shard", "kind", "place")
+    found = cut(stream.mapInArrow(lambda it: _answers(it, k), "query_id long, node long, score double"), "found")
+    drop(graph)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     named = found.join(members.select("node", "ids"), "node").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id").distinct()
     return named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
