@@ -8,41 +8,47 @@ text. It is compiled from the merges by one gadget for each rule ``(u, v) -> w``
 * every state with an arc ``u`` gets an arc ``w`` to the state behind ``v``.
 
 So each rule makes one state: its parent, the arc taken away and the rank at which that happened; ``behind[t]`` is the
-state behind token ``t``. An arc ``w`` leaves a state if each token on the left spine of ``w`` was still
-there when the next one was made of it. Arcs are kept in a table that fills as they are first asked for.
-
-A prefix of a word has one tokenization, hence one last token: encoding goes through the positions of a word, finds that
-token by the arc table, and walks back from the end. Decoding emits the label of each arc.
+state behind token ``t``. An arc ``w`` leaves a state if each token on the left spine of ``w`` was still there when the next
+one was made of it. Tokens are numbered along the tree of left spines, children in order of rank: what a state lacks
+because an arc was taken away is then that token and one interval, its later children with all that is below them. When all
+gadgets are placed, the state behind each token becomes one row of the arc table: the bounds of the intervals it lacks.
+
+A prefix of a word has one tokenization, hence one last token. Encoding goes through the positions of a word and finds at
+each the one token that ends there and that the arc table lets follow the last token of the prefix before it; the path is read
+back from the end. Decoding emits the label of each arc.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import unicodedata
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import rows_of, ship, slices
 
-#: Fixed values of the vocabulary file's normaliser and splitter.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 #: Added to the last symbol of a word, beyond all byte symbols.
 LAST = 0x2000
-#: Characters where Unicode versions differ in what is a letter (U+2000 to U+2BFF are signs), and those beyond Latin.
-YOUNG = re.compile("[\u0530-\u1fff\u2c00-\U0010ffff]")
+#: A normaliser and a splitter, as vocabulary files state them, that :class:`Splitter` need not ask the library for
+#: where a text has Latin characters only (fixed values). They are the same in all versions of Unicode.
+KNOWN_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+KNOWN_SPLITTER = [{"type": "Split", "pattern": {"Regex": KNOWN_SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
 BEYOND_LATIN = re.compile("[\u0250-\U0010ffff]")
-#: White space to Python's ``str.split`` but not to the splitter.
-NOT_SPACE = re.compile("[\x1c-\x1f]")
-#: White space to the splitter (Unicode White_Space).
-SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + f"{chr(0x2000)}-{chr(0x200A)}"
+#: White space below U+0250 (Unicode White_Space).
+SPACE = "\t-\r \x85\xa0"
+#: Longer words are not remembered.
+LONG_WORD = 256
 
 
 def byte_symbols() -> list[str]:
@@ -56,7 +62,7 @@ def byte_symbols() -> list[str]:
 
 
 class Automaton:
-    """States and arcs compiled from ``merges``, a list of token pairs in order of rank, over the tokens of ``vocab``."""
+    """States and the arc table compiled from ``merges``, a list of token pairs in order of rank, over the tokens of ``vocab``."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         self.ids = vocab
@@ -68,16 +74,13 @@ class Automaton:
         self.behind = [0] * size
         self.parent, self.gone, self.when = [-1], [-1], [-1]  # of each state; state 0 has all its arcs
         self.made: set[int] = {i for t, i in vocab.items() if len(t.removesuffix(WORD_END)) == 1}
-        self.arcs: dict[int, bool] = {}
-        self._removals: list[dict[int, int] | None] = []
         for rank, (a, b) in enumerate(merges):
             self._gadget(rank, vocab[a], vocab[b], vocab[a + b])
-        self._removals = [None] * len(self.parent)
+        self._compile(size)
         self.by_symbols = {self.spelled(t): i for t, i in vocab.items() if i in self.made}
-        self.reach: dict[str, int] = {}  # the longest token that begins with these three symbols
+        self.reach: dict[str, int] = {}  # the longest token that ends with these two symbols
         for s in self.by_symbols:
-            self.reach[s[:3]] = max(len(s), self.reach.get(s[:3], 0))
-        self.arcs.clear()
+            self.reach[s[-2:]] = max(len(s), self.reach.get(s[-2:], 1))
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
         if u not in self.made or v not in self.made or not self._leaves(self.behind[u], v):
@@ -92,22 +95,8 @@ class Automaton:
         self.when.append(rank)
         self.behind[u] = len(self.parent) - 1
 
-    def _removed(self, state: int) -> dict[int, int]:
-        """The arcs taken from a state on its way, with their ranks; kept once all gadgets are placed."""
-        done = state < len(self._removals) and self._removals[state]
-        if done:
-            return done
-        out, q = {}, state
-        while q:
-            out.setdefault(self.gone[q], self.when[q])
-            q = self.parent[q]
-        if state < len(self._removals):
-            self._removals[state] = out
-        return out
-
     def _taken(self, state: int, token: int) -> int | None:
-        if self._removals:
-            return self._removed(state).get(token)
+        """The rank at which the arc ``token`` was taken from a state on its way."""
         while state:
             if self.gone[state] == token:
                 return self.when[state]
@@ -115,7 +104,7 @@ class Automaton:
         return None
 
     def _leaves(self, state: int, token: int) -> bool:
-        """Whether the arc ``token`` leaves ``state``."""
+        """Whether the arc ``token`` leaves ``state``, while gadgets are placed."""
         if self._taken(state, token) is not None:
             return False
         while self.rank[token] >= 0:
@@ -125,44 +114,68 @@ class Automaton:
                 return False
         return True
 
+    def _compile(self, size: int) -> None:
+        """Numbers the tokens along their left spines and writes the arc table, one row for each state that a token leads to."""
+        kids: list[list[int]] = [[] for _ in range(size)]
+        for w in sorted(range(size), key=self.rank.__getitem__):
+            if self.left[w] >= 0:
+                kids[self.left[w]].append(w)
+        self.number, end, n = [0] * size, [0] * size, 0
+        stack = [(t, False) for t in reversed(range(size)) if self.left[t] < 0]
+        while stack:
+            t, done = stack.pop()
+            if done:
+                end[t] = n
+                continue
+            self.number[t] = n
+            n += 1
+            stack.append((t, True))
+            stack += [(k, False) for k in reversed(kids[t])]
+
+        def lacks(token: int, rank: int) -> list[tuple[int, int]]:
+            later = next((k for k in kids[token] if self.rank[k] >= rank), None)
+            out = [(self.number[token], self.number[token] + 1)]
+            return out + [(self.number[later], end[token])] if later is not None else out
+
+        rows: dict[int, array] = {}
+        for state in set(self.behind):
+            spans, q = [], state
+            while q:
+                spans += lacks(self.gone[q], self.when[q])
+                q = self.parent[q]
+            bounds = array("i")
+            for low, high in sorted(spans):
+                if bounds and low <= bounds[-1]:
+                    bounds[-1] = max(bounds[-1], high)
+                else:
+                    bounds.extend((low, high))
+            rows[state] = bounds
+        self.table: list[array] = [rows[state] for state in self.behind]
+
     def arc(self, last: int, token: int) -> bool:
-        """Whether ``token`` may follow ``last``."""
-        key = last << 32 | token
-        found = self.arcs.get(key)
-        if found is None:
-            if len(self.arcs) > 4_000_000:  # a table of arcs already met; what is cleared is computed again
-                self.arcs.clear()
-            found = self.arcs[key] = self._leaves(self.behind[last], token)
-        return found
+        """Whether ``token`` may follow ``last``: its number lies outside all intervals that the state lacks."""
+        return not bisect_right(self.table[last], self.number[token]) & 1
 
     def encode(self, symbols: str) -> list[int]:
-        """Token ids of one pre-split word in :meth:`spelled` symbols: the one path of the automaton that spells it.
-
-        From each place the longest arcs are tried first. A place is left for good if nothing fits behind it, for
-        only one path leads there; so no place is tried twice.
-        """
-        n, by_symbols, reach, arc = len(symbols), self.by_symbols, self.reach, self.arc
-        path: list[int] = []  # token, and the place it starts at, in turn
-        at, end, dead = 0, min(n, reach.get(symbols[:3], 2)), set()
-        while at < n:
-            t = None
-            while end > at:
-                t = by_symbols.get(symbols[at:end])
-                if t is not None and end not in dead and (not path or arc(path[-2], t)):
+        """Token ids of one pre-split word in :meth:`spelled` symbols: the one path of the automaton that spells it."""
+        by_symbols, reach, table, number = self.by_symbols, self.reach, self.table, self.number
+        whole = by_symbols.get(symbols)
+        if whole is not None:  # the one path that spells a token's own symbols is its arc
+            return [whole]
+        last, start = [-1] * (len(symbols) + 1), [-1] * (len(symbols) + 1)
+        for at in range(1, len(symbols) + 1):
+            for low in range(max(0, at - reach.get(symbols[max(0, at - 2) : at], 1)), at):
+                t = by_symbols.get(symbols[low:at])
+                if t is not None and (not low or (last[low] >= 0 and not bisect_right(table[last[low]], number[t]) & 1)):
+                    last[at], start[at] = t, low
                     break
-                t = None
-                end -= 1
-            if t is not None:
-                path += (t, at)
-                at, end = end, min(n, end + reach.get(symbols[end : end + 3], 2))
-            elif path:
-                dead.add(at)
-                end = at - 1
-                at = path.pop()
-                path.pop()
-            else:
+        out, at = [], len(symbols)
+        while at:
+            if last[at] < 0:
                 raise ValueError("the vocabulary has no token for a symbol of this word")
-        return path[::2]
+            out.append(last[at])
+            at = start[at]
+        return out[::-1]
 
     @staticmethod
     def spelled(token: str) -> str:
@@ -176,74 +189,83 @@ class Automaton:
 
 
 class Memo(dict):
-    """A dict that computes what it lacks and starts anew when it holds ``most`` entries: bounded, never wrong."""
+    """A dict that computes what it lacks and starts anew when it holds ``most`` entries: bounded, never wrong.
+
+    Long words are computed each time, so that bytes are bounded too.
+    """
 
     def __init__(self, make, most: int):
         super().__init__()
         self.make, self.most = make, most
 
     def __missing__(self, key):
+        value = self.make(key)
+        if isinstance(key, str) and len(key) > LONG_WORD:
+            return value
         if len(self) >= self.most:
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
 class Splitter:
-    """Normalises and pre-splits texts as the vocabulary file says: NFC, lower case by character, then :data:`SPLIT`."""
-
-    def __init__(self, specials: dict[str, int]):
-        self.specials = specials
-        self.special = re.compile("(" + "|".join(re.escape(t) for t in sorted(specials, key=len, reverse=True)) + ")") if specials else None
-        self.ascii, self.latin, self.rare = _splitter(0x80), _splitter(0x250), _splitter(0x40000)
-        self.others = regex.compile(SPLIT.replace(r"\s", SPACE)).findall
-
-    def find(self, low: str) -> list[str]:
-        """The words of normalised text, by the pattern for the characters that it has."""
-        if low.isascii():
-            return self.ascii(low)
-        if not BEYOND_LATIN.search(low):
-            return self.latin(low)
-        return self.rare(low) if YOUNG.search(low) else self.others(low)
-
-    def pieces(self, text: str) -> list[str | int]:
-        """Words of a text in order, and the ids of special tokens that stand in it."""
-        out: list[str | int] = []
-        for i, part in enumerate(self.special.split(text) if self.special and "<" in text else [text]):
-            if i % 2:
-                out.append(self.specials[part])
-            elif part:
-                out += self.find(lower(part if part.isascii() else unicodedata.normalize("NFC", part)))
-        return out
-
-    def chunks(self, text: str) -> list[str]:
-        """Parts of a text that can be split on their own: no word and no special token has white space in it."""
-        return regex.split(f"[{SPACE}]+", text) if NOT_SPACE.search(text) else text.split()
+    """Normalises and pre-splits texts as a vocabulary file says.
+
+    The library's own normaliser and splitter, built from the file, do this. Where the file states the known ones
+    and a text is Latin (below U+0250, before and after lower case), one pattern does the same.
+    """
+
+    def __init__(self, spec: str):
+        from tokenizers import Tokenizer
+
+        data = json.loads(spec)
+        odd = [t["content"] for t in data["added_tokens"] if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]
+        if odd:
+            raise ValueError(f"added tokens that take in what stands beside them are not supported: {odd}")
+        self.specials = {t["content"]: t["id"] for t in data["added_tokens"]}
+        self.special = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
+        self.begin = os.path.commonprefix(list(self.specials)) if self.specials else ""
+        library = Tokenizer.from_str(spec)
+        self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
+        parts = lambda x, name: x[name] if x and x["type"] == "Sequence" else [x]
+        self.known = parts(data["normalizer"], "normalizers") == KNOWN_NORMALIZER and parts(data["pre_tokenizer"], "pretokenizers") == KNOWN_SPLITTER
+        self.ascii, self.latin = _latin_words(0x80), _latin_words(0x250)
+
+    def words(self, text: str) -> list[str] | None:
+        """The words of a text without special tokens, or None if it is for the library to split."""
+        if not self.known:
+            return None
+        if text.isascii():
+            return self.ascii(text.lower())
+        if BEYOND_LATIN.search(text):
+            return None
+        low = text.lower()
+        return None if BEYOND_LATIN.search(low) else self.latin(low)
+
+    def symbols(self, text: str) -> list[str]:
+        """The words of a text without special tokens in byte symbols, by the library's normaliser and splitter."""
+        low = self.normalizer.normalize_str(text) if self.normalizer else text
+        return [w for w, _ in self.pre_tokenizer.pre_tokenize_str(low)] if self.pre_tokenizer else [low] if low else []
+
+    def has_special(self, text: str) -> bool:
+        return self.special is not None and self.begin in text and self.special.search(text) is not None
 
 
 @lru_cache(4)
-def _splitter(below: int):
-    """:data:`SPLIT` for texts of characters ``below`` a code point, with the letters and digits of ``unicodedata``.
+def _latin_words(below: int):
+    """:data:`KNOWN_SPLIT` for texts of characters ``below`` a code point up to U+0250.
 
-    Words come first in the pattern: nothing before them in :data:`SPLIT` begins with a letter.
+    Words come first in the pattern: nothing before them in :data:`KNOWN_SPLIT` begins with a letter.
     """
-    classes: dict[str, list[list[int]]] = {"L": [], "N": []}
+    classes = {"L": "", "N": ""}
     for cp in range(below):
-        into = classes.get(unicodedata.category(chr(cp))[0])
-        if into is not None:
-            if into and into[-1][1] == cp - 1:
-                into[-1][1] = cp
-            else:
-                into.append([cp, cp])
-    letter, digit = ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in classes[k]) for k in "LN")
+        kind = unicodedata.category(chr(cp))[0]
+        if kind in classes:
+            classes[kind] += f"\\U{cp:08x}"
+    letter, digit = classes["L"], classes["N"]
     return re.compile(rf"[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d|[{digit}]|[^{SPACE}{letter}{digit}]+").findall
 
 
-def lower(text: str) -> str:
-    """Lower case one character at a time: a capital sigma at the end of a word is not special."""
-    return text.replace("Σ", "σ").lower()
-
-
 class Tokenizer:
     """Encodes and decodes whole texts by the automaton of one vocabulary file's content."""
 
@@ -251,22 +273,32 @@ class Tokenizer:
         data = json.loads(spec)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in data["model"]["merges"]]
         self.automaton = Automaton(data["model"]["vocab"], merges)
-        added = {t["content"]: t["id"] for t in data["added_tokens"]}
-        self.split = Splitter(added)
+        self.split = Splitter(spec)
         self.table = str.maketrans(dict(enumerate(byte_symbols())))
-        self.names = {i: t for t, i in added.items()}
+        self.names = {i: t for t, i in self.split.specials.items()}
         self.words: Memo = Memo(self._word, word_memo)
+        self.by_symbols: Memo = Memo(self._symbols, word_memo // 4)
+
+    def _word(self, word: str) -> tuple[int, str, str]:
+        return self._symbols(word.encode("utf-8").decode("latin-1").translate(self.table))
 
-    def _word(self, word: str | int) -> tuple[int, str, str]:
-        if isinstance(word, int):
-            return 1, str(word), self.names[word]
-        symbols = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table)
+    def _symbols(self, symbols: str) -> tuple[int, str, str]:
         ids = self.automaton.encode(symbols[:-1] + chr(ord(symbols[-1]) + LAST))
         return len(ids), " ".join(map(str, ids)), self.automaton.decode(ids)
 
+    def _plain(self, text: str) -> list[tuple[int, str, str]]:
+        words = self.split.words(text)
+        return list(map(self.words.__getitem__, words)) if words is not None else list(map(self.by_symbols.__getitem__, self.split.symbols(text)))
+
     def encode(self, text: str | None) -> tuple[int, str, str]:
         """The number of tokens, the ids as decimals joined by one space, and the decoded text."""
-        found = list(map(self.words.__getitem__, self.split.pieces(text or "")))
+        text = text or ""
+        if self.split.has_special(text):
+            found = []
+            for i, part in enumerate(self.split.special.split(text)):
+                found += [(1, str(self.split.specials[part]), part)] if i % 2 else self._plain(part) if part else []
+        else:
+            found = self._plain(text) if text else []
         if not found:
             return 0, "", ""
         n, ids, labels = zip(*found, strict=True)

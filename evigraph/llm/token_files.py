@@ -15,14 +15,13 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import NOT_SPACE, YOUNG, Memo, Splitter, lower
+from .bpe import LONG_WORD, Memo, Splitter
 from .native import constants, range_bounds, range_of
 from .tables import cut, drop, rows_of, ship, slices
 
@@ -134,14 +133,13 @@ class Code:
 
 
 class LibraryIds:
-    """Ids of texts from the ``tokenizers`` library, which sees each word once while its result is remembered.
+    """Ids of texts from the ``tokenizers`` library.
 
-    Texts in stable normal form are split into the vocabulary's words as a whole. Of other texts, parts between white
-    space are taken one by one, for these are independent to the normaliser and splitter; parts whose words could look
-    different to the library on their own (special tokens, unstable normal forms, young letters) go to it as they are.
+    Each text goes to the library as a whole, but for texts of which :class:`Splitter` knows the words as the library would
+    cut them: of these the library encodes each distinct word once, for as long as it is remembered.
     """
 
-    def __init__(self, spec: str, chunk_memo: int = 50_000, word_memo: int = 700_000):
+    def __init__(self, spec: str, word_memo: int = 700_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
@@ -152,8 +150,7 @@ class LibraryIds:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
-        self.split = Splitter({})
-        self.chunks: dict[str, bytes] = Memo(self._alone, chunk_memo)
+        self.split = Splitter(spec)
         self.words: dict[str, bytes] = Memo(self._alone, word_memo)
 
     def _alone(self, part: str) -> bytes:
@@ -176,17 +173,10 @@ class LibraryIds:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian bytes of :attr:`kind`."""
-        parts = [self._words_of(t) if t else [] for t in texts]
-        self._remember({w for p in parts if p is not None for w in p} - self.words.keys())
+        parts = [None if t and self.split.has_special(t) else self.split.words(t or "") for t in texts]
+        self._remember({w for p in parts if p is not None for w in p if len(w) <= LONG_WORD} - self.words.keys())
         get = self.words.__getitem__
-        return [self._by_chunks(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
-
-    def _words_of(self, text: str) -> list[str] | None:
-        """The words of a text that is safe to split as a whole, else None."""
-        if not text.isascii() and (YOUNG.search(text) or not is_normalized("NFC", text)):
-            return None
-        low = lower(text)
-        return None if "<|" in text or NOT_SPACE.search(text) or not (low.isascii() or is_normalized("NFC", low)) else self.split.find(low)
+        return [self._alone(t or "") if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
 
     def _remember(self, new: set[str]) -> None:
         if len(self.words) + len(new) > self.words.most:
@@ -194,9 +184,6 @@ class LibraryIds:
         new = list(new)
         self.words.update(zip(new, self._many(new), strict=True))
 
-    def _by_chunks(self, text: str) -> bytes:
-        return b"".join(map(self.chunks.__getitem__, self.split.chunks(text)))
-
 
 @lru_cache(2)
 def library(spec: str) -> LibraryIds:

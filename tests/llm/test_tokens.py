@@ -1,6 +1,7 @@
 """BPE automaton and token files against the tokenizers library, exact."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -8,6 +9,8 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer as Library
 from tokenizers.models import BPE
+from tokenizers.normalizers import Lowercase
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from evigraph.llm.bpe import Automaton, Tokenizer, bpe
 from evigraph.llm.catalog import VOCABULARY
@@ -29,6 +32,63 @@ def test_automaton_is_the_library():
         assert t.encode(text) == (len(e.ids), " ".join(map(str, e.ids)), LIBRARY.decode(e.ids, skip_special_tokens=False)), text
 
 
+def test_every_code_point():
+    """Each code point between two letters, alone behind a space, and doubled, against the library; ids by both operators."""
+    mine, lib = Tokenizer(SPEC), LibraryIds(SPEC)
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4096):
+        part = points[at : at + 4096]
+        batch = [f"a{c}b {c} a{c}{c}" for c in part]
+        for c, text, e, raw in zip(part, batch, LIBRARY.encode_batch_fast(batch, add_special_tokens=False), lib.encode(batch), strict=True):
+            assert mine.encode(text)[1] == " ".join(map(str, e.ids)), hex(ord(c))
+            assert np.frombuffer(raw, lib.kind).tolist() == e.ids, hex(ord(c))
+
+
+def test_other_vocabulary_files():
+    """The file's own normaliser and splitter count: here none, and one by white space alone."""
+    vocab = {c: i for i, c in enumerate("abcABC'1")} | {f"{c}</w>": i + 8 for i, c in enumerate("abcABC'1")} | {"ab": 16, "abc</w>": 17, "AB</w>": 18}
+    for normalizer, splitter in ((None, None), (None, WhitespaceSplit()), (Lowercase(), WhitespaceSplit())):
+        library = Library(BPE(vocab, [("a", "b"), ("ab", "c</w>"), ("A", "B</w>")], end_of_word_suffix="</w>"))
+        if normalizer:
+            library.normalizer = normalizer
+        if splitter:
+            library.pre_tokenizer = splitter
+        mine = Tokenizer(library.to_str())
+        for text in ("abc", "ABab'1", *(["ab abc\nAB  cab", " "] if splitter else [])):
+            assert mine.encode(text)[1] == " ".join(map(str, library.encode(text).ids)), (text, splitter)
+
+
+def test_rules_that_make_one_token():
+    """Of the rules that make one token only one can ever be used; which it is depends on their order."""
+    rng, seen = random.Random(12), 0
+    for _ in range(400):
+        vocab = {c: i for i, c in enumerate("abc")} | {f"{c}</w>": i + 3 for i, c in enumerate("abc")}
+        merges = []
+        for _ in range(25):
+            u, v = rng.choice([t for t in vocab if not t.endswith("</w>")]), rng.choice(list(vocab))
+            if (u, v) not in merges and len(u + v) < 12:
+                seen += u + v in vocab
+                vocab.setdefault(u + v, len(vocab))
+                merges.append((u, v))
+        library = Library(BPE(vocab, merges, end_of_word_suffix="</w>"))
+        mine = Automaton(vocab, merges)
+        for _ in range(100):
+            w = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 14)))
+            assert mine.encode(w[:-1] + chr(ord(w[-1]) + 0x2000)) == library.encode(w).ids, (merges, w)
+    assert seen > 50
+
+
+def test_arc_table_is_the_gadgets():
+    """The compiled intervals against the arcs told by the states' histories."""
+    data = json.loads(SPEC)
+    a = Automaton(data["model"]["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in data["model"]["merges"]])
+    rng, made = random.Random(6), sorted(a.made)
+    few = rng.sample(made, 300)
+    for last in rng.sample(made, 60):
+        for token in few + [t for t in made if a.left[t] == last][:50]:
+            assert a.arc(last, token) == a._leaves(a.behind[last], token)
+
+
 def test_any_merges():
     """Small random rule sets, runs of one letter included."""
     rng = random.Random(3)
@@ -91,7 +151,7 @@ def test_lengths_are_optimal():
 
 
 def test_library_words():
-    lib = LibraryIds(SPEC, 40, 60)
+    lib = LibraryIds(SPEC, 60)
     batch = texts(600)
     for at in range(0, len(batch), 50):
         part = batch[at : at + 50]
