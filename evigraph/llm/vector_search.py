@@ -5,8 +5,9 @@ for each new vector; relaxed distance pruning keeps the nearest and then only th
 by the factor ``ALPHA``; the reverse arcs are added and pruned alike. Queries run a beam search in every shard, and
 the shards' nearest are merged. Searches of a batch run side by side in numpy.
 
-How wide a beam must be depends on the vectors. So each finished graph is tried with vectors of its own shard against a
-scan of it, and the beam doubled until the recall is ``RECALL``. A shard of which the beam would have to hold a quarter is scanned.
+How wide a beam must be depends on the vectors. So each graph is tried, before the last vectors of its shard join it, with
+these as queries against a scan, and the beam widened by half until the recall is ``RECALL``. A shard of which the beam
+would have to hold a quarter is scanned.
 
 Nearness is the inner product. The graph uses Euclidean distance in one more dimension, ``sqrt(m^2 - |x|^2)`` with the
 shard's largest norm ``m``, in which the order of distances to a query is the order of inner products.
@@ -15,7 +16,7 @@ Equal vectors are one node: copies can neither crowd out other neighbours nor cu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,48 +28,52 @@ from .tables import cut, drop, ship
 
 #: Arcs of a node, width of the searches that build the graph, and how much nearer a kept neighbour must be to cover another.
 DEGREE, WIDTH, ALPHA = 32, 64, 1.2
-#: The least beam, vectors of a shard, the mean recall that a shard's own vectors must reach and how many of them are tried.
-BEAM, SHARD_ROWS, RECALL, TRIED = 64, 10_000, 0.99, 200
-#: Queries searched side by side.
-BLOCK = 256
+#: The least beam, vectors of a shard, the mean recall that a shard's last vectors must reach and how many these are.
+BEAM, SHARD_ROWS, RECALL, TRIED = 64, 10_000, 0.99, 100
+#: Queries searched side by side, and nodes of each that one step opens.
+BLOCK, STEP = 256, 16
 
 
 def beam_search(vectors: np.ndarray, arcs: np.ndarray, entry: int, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Nodes and squared distances of each query's ``width`` nearest nodes that a greedy search meets, nearest first.
 
-    ``arcs`` has -1 for absent arcs. Missing results are -1 at infinity.
+    Each step opens the :data:`STEP` nearest nodes of a query's beam that are still closed. ``arcs`` has -1 for absent arcs. Missing
+    results are -1 at infinity.
     """
     q, n = len(queries), len(vectors)
-    rows = np.arange(q)
-    nodes = np.full((q, width), -1, np.int64)
+    nodes = np.full((q, width), -1, np.int32)
     dist = np.full((q, width), np.inf, np.float32)
-    open_ = np.zeros((q, width), bool)
-    nodes[:, 0], open_[:, 0] = entry, True
-    dist[:, 0] = ((queries - vectors[entry]) ** 2).sum(1)
+    left = dist.copy()  # the distances of closed nodes
+    nodes[:, 0] = entry
+    squares, own = (vectors**2).sum(1), (queries**2).sum(1)
+    dist[:, 0] = left[:, 0] = ((queries - vectors[entry]) ** 2).sum(1)
     seen = np.zeros((q, n), bool)
     seen[:, entry] = True
-    squares = (vectors**2).sum(1)
-    own = (queries**2).sum(1)
+    stamp = np.empty((q, n), np.int16)
+    rows, step = np.arange(q), min(STEP, width)
     while len(rows):
-        first = open_[rows].argmax(1)
-        at = nodes[rows, first]
-        open_[rows, first] = False
-        near = arcs[at]
-        fresh = (near >= 0) & ~seen[rows[:, None], near]
-        near = np.where(fresh, near, 0)
-        seen[rows[:, None], near] |= fresh
-        d = squares[near] + own[rows, None] - 2 * (vectors[near] @ queries[rows][:, :, None])[:, :, 0]
-        d = np.where(fresh, d, np.inf).astype(np.float32)
+        at = rows[:, None]
+        first = np.argpartition(left[rows], step - 1, 1)[:, :step] if step < width else np.broadcast_to(np.arange(width), (len(rows), width))
+        opened = np.isfinite(left[at, first])
+        left[at, first] = np.inf
+        near = np.where(opened[:, :, None], arcs[nodes[at, first]], -1).reshape(len(rows), -1)
+        r, c = np.nonzero((near >= 0) & ~seen[at, near])
+        v, of = near[r, c], rows[r]
+        stamp[of, v] = c  # of a node met twice in one step one place counts
+        once = stamp[of, v] == c
+        r, c, v, of = r[once], c[once], v[once], of[once]
+        seen[of, v] = True
+        d = np.full(near.shape, np.inf, np.float32)
+        d[r, c] = squares[v] + own[of] - 2 * np.einsum("nd,nd->n", queries[of], vectors[v])
         both = np.concatenate([dist[rows], d], 1)
-        order = np.argsort(both, 1, kind="stable")[:, :width]
-        pick = np.arange(len(rows))[:, None]
-        dist[rows] = both[pick, order]
-        nodes[rows] = np.concatenate([nodes[rows], near], 1)[pick, order]
-        open_[rows] = np.concatenate([open_[rows], fresh], 1)[pick, order]
-        nodes[rows] = np.where(np.isinf(dist[rows]), -1, nodes[rows])
-        open_[rows] &= nodes[rows] >= 0
-        rows = rows[open_[rows].any(1)]
-    return nodes, dist
+        keep = np.argpartition(both, width - 1, 1)[:, :width]
+        dist[rows] = np.take_along_axis(both, keep, 1)
+        nodes[rows] = np.take_along_axis(np.concatenate([nodes[rows], near.astype(np.int32)], 1), keep, 1)
+        left[rows] = np.take_along_axis(np.concatenate([left[rows], d], 1), keep, 1)
+        rows = rows[np.isfinite(left[rows]).any(1)]
+    order = np.argsort(dist, 1, kind="stable")
+    dist = np.take_along_axis(dist, order, 1)
+    return np.where(np.isinf(dist), -1, np.take_along_axis(nodes, order, 1)).astype(np.int64), dist
 
 
 def robust_prune(vectors: np.ndarray, nodes: np.ndarray, found: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -98,16 +103,21 @@ def robust_prune(vectors: np.ndarray, nodes: np.ndarray, found: np.ndarray, degr
     return out
 
 
-def build(vectors: np.ndarray, degree: int = DEGREE, width: int = WIDTH, alpha: float = ALPHA, seed: int = 3) -> tuple[np.ndarray, int]:
-    """Arcs (-1: absent) and the entry point, the vector nearest to the mean."""
+def build(vectors: np.ndarray, degree: int = DEGREE, width: int = WIDTH, alpha: float = ALPHA, seed: int = 3, late: int = 0, pause: Callable[[np.ndarray, int, np.ndarray], None] | None = None) -> tuple[np.ndarray, int]:
+    """Arcs (-1: absent) and the entry point, the vector nearest to the mean.
+
+    ``pause`` is called with arcs, entry point and the last ``late`` vectors before these join the graph.
+    """
     n = len(vectors)
     arcs = np.full((n, degree), -1, np.int64)
     entry = int(((vectors - vectors.mean(0)) ** 2).sum(1).argmin())
     rest = np.random.Generator(np.random.PCG64(seed)).permutation(n)
     rest = rest[rest != entry]
-    at, batch = 0, 1
+    at, batch, stop = 0, 1, max(0, len(rest) - late) if pause else -1
     while at < len(rest):
-        new = rest[at : at + batch]
+        if at == stop:
+            pause(arcs, entry, rest[at:])
+        new = rest[at : min(at + batch, stop) if at < stop else at + batch]
         found, _ = beam_search(vectors, arcs, entry, vectors[new], width)
         if batch > 1:  # vectors of one batch do not see each other in the graph yet
             d = ((vectors[new] ** 2).sum(1)[None, :] - 2 * vectors[new] @ vectors[new].T).astype(np.float32)
@@ -180,29 +190,39 @@ class Shard:
         exact = np.einsum("qd,qkd->qk", queries.astype(np.float64), self.exact[found])  # the same sums as of a beam's
         return found, exact, ok
 
-    def beam_for(self, k: int, least: int) -> int:
-        """The least beam, doubled from ``least``, by which the shard's own vectors find what a scan finds; 0: scan."""
-        n = len(self.vectors)
-        at = np.unique(np.linspace(0, n - 1, min(n, TRIED)).astype(np.int64))
-        queries = self.vectors[at]
-        want, _, _ = self.search(queries, min(k, n), 0)
+    def beam_for(self, late: np.ndarray, k: int, least: int) -> int:
+        """The least beam, widened by half from ``least``, by which vectors that are not in the graph yet find what a scan finds; 0: scan."""
+        n = len(self.vectors) - len(late)
+        queries = self.vectors[late]
+        scores = queries.astype(np.float64) @ self.exact.T
+        scores[:, late] = -np.inf
+        want, _ = ranked(scores, np.broadcast_to(self.names, scores.shape), min(k, n))
         beam = max(least, 2 * k)
         while 4 * beam < n:
             got, _, ok = self.search(queries, min(k, n), beam)
-            hit = [len(np.intersect1d(w, g[o])) / len(w) for w, g, o in zip(want, got, ok, strict=True)]
-            if np.mean(hit) >= RECALL:
+            if np.mean([len(np.intersect1d(w, g[o])) / len(w) for w, g, o in zip(want, got, ok, strict=True)]) >= RECALL:
                 return beam
-            beam *= 2
+            beam += beam // 2
         return 0
 
 
+def indexed(vectors: np.ndarray, names: np.ndarray, k: int, least: int) -> tuple[Shard, int]:
+    """The shard of ``vectors`` with its graph, and its beam (0: scan)."""
+    high, beam = raised(vectors), 0
+
+    def measure(arcs: np.ndarray, entry: int, late: np.ndarray) -> None:
+        nonlocal beam
+        beam = Shard(vectors, names, arcs, entry).beam_for(late, k, least)
+
+    arcs, entry = build(high, late=min(TRIED, len(vectors) // 10), pause=measure if least >= 0 else None)
+    return Shard(vectors, names, arcs, entry), beam
+
+
 def _built(pdf: pd.DataFrame, k: int, beam: int) -> pd.DataFrame:
     pdf = pdf.sort_values("node")
-    vectors = np.array(pdf["embedding"].tolist())
-    arcs, entry = build(raised(vectors))
     n, names = len(pdf), pdf["node"].to_numpy()
-    width = Shard(vectors, names, arcs, entry).beam_for(k, beam) if beam >= 0 else 0
-    return pd.DataFrame({"shard": pdf["shard"].to_numpy(), "kind": np.zeros(n, np.int32), "place": np.arange(n), "id": names, "entry": np.arange(n) == entry, "beam": np.full(n, width, np.int32), "embedding": pdf["embedding"].to_numpy(), "arcs": [a[a >= 0] for a in arcs]})
+    shard, width = indexed(np.array(pdf["embedding"].tolist()), names, k, beam)
+    return pd.DataFrame({"shard": pdf["shard"].to_numpy(), "kind": np.zeros(n, np.int32), "place": np.arange(n), "id": names, "entry": np.arange(n) == shard.entry, "beam": np.full(n, width, np.int32), "embedding": pdf["embedding"].to_numpy(), "arcs": [a[a >= 0] for a in shard.arcs]})
 
 
 def _lists(column: pa.Array) -> np.ndarray:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from evigraph.llm.html_text import extract, main_text
-from evigraph.llm.vector_search import BEAM, SHARD_ROWS, Shard, beam_search, build, nearest, raised, ranked
+from evigraph.llm.vector_search import BEAM, SHARD_ROWS, beam_search, build, indexed, nearest, raised, ranked
 
 PAGE = "page_id long, url string, html string, host string, tokens int, text string"
 
@@ -106,9 +106,7 @@ def test_recall(spark):
 def recall_of_shard(x, queries=200):
     """Mean recall of the 20 nearest of the last ``queries`` vectors in the shard of the others, and its beam."""
     x, q = x[:-queries], x[-queries:]
-    arcs, entry = build(raised(x))
-    shard = Shard(x, np.arange(len(x)), arcs, entry)
-    beam = shard.beam_for(20, BEAM)
+    shard, beam = indexed(x, np.arange(len(x)), 20, BEAM)
     found, scores, ok = shard.search(q, 20, beam)
     best = np.argsort(-(q.astype(float) @ x.T.astype(float)), 1)[:, :20]
     assert ok.all() and np.allclose(scores, np.einsum("qd,qkd->qk", q.astype(float), x[found].astype(float)), rtol=0, atol=1e-12)
