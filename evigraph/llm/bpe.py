@@ -27,6 +27,7 @@ import re
 import unicodedata
 from array import array
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -74,6 +75,9 @@ class Automaton:
         self.behind = [0] * size
         self.parent, self.gone, self.when = [-1], [-1], [-1]  # of each state; state 0 has all its arcs
         self.made: set[int] = {i for t, i in vocab.items() if len(t.removesuffix(WORD_END)) == 1}
+        twice = [t for t, n in Counter(a + b for a, b in merges).items() if n > 1]
+        if twice:
+            raise ValueError(f"several rules make {twice[:5]}; this construction needs one rule for each token")
         for rank, (a, b) in enumerate(merges):
             self._gadget(rank, vocab[a], vocab[b], vocab[a + b])
         self._compile(size)
@@ -85,8 +89,6 @@ class Automaton:
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
         if u not in self.made or v not in self.made or not self._leaves(self.behind[u], v):
             return  # an earlier rule always takes one of the two first
-        if w in self.made:
-            raise ValueError(f"two rules make {self.labels[w]!r}; this construction needs one rule for each token")
         self.left[w], self.rank[w] = u, rank
         self.made.add(w)
         self.behind[w] = self.behind[v]
