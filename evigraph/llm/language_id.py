@@ -15,11 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import rows_of, ship, slices
+from .tables import cut, drop, rows_of, ship, slices
 
 #: Symbols: 0 stands between words, 1 to 26 are a to z, all other letters share 27 to 63 by their code point.
 SYMBOLS, OTHER = 64, 37
 UNKNOWN = "und"
+#: Languages at most: 4 MB of numbers for each thousand of them travel to the tasks.
+MOST_LANGS = 4096
+#: How many standard deviations chance is granted in ``fit``: the inner product of a trigram with a prototype has a deviation of about 1.
+SIGMAS = 3.0
 
 
 @lru_cache(1)
@@ -76,49 +80,84 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows()
 
 
-def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", size: int = 1024, seed: int = 11) -> tuple[list[str], np.ndarray]:
-    """Languages and their unit prototypes from all rows with a language.
+def _bundle(batches: Iterator[pa.RecordBatch], size: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Partial bundles by language: the sums of the bound vectors of counted trigrams, how many they are, and how many different ones."""
+    total: dict[str, np.ndarray] = {}
+    count: dict[str, list[int]] = {}
+
+    def rows():
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.int64())), *(pa.array([count[k][i] for k in total], pa.int64()) for i in (0, 1))], ["lang", "total", "n", "kinds"])
 
-    Only trigram counts by language reach the driver: no more than 64^3 for each language, whatever the input.
+    for batch in slices(batches, 8192):
+        langs = batch.column(0).dictionary_encode()
+        at, grams, n = langs.indices.to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        for i, lang in enumerate(langs.dictionary.to_pylist()):
+            if len(total) >= 64 and lang not in total:
+                yield rows()
+                total, count = {}, {}
+            mine = at == i
+            total[lang] = total.get(lang, 0) + np.rint(n[mine].astype(np.float64) @ bound(grams[mine], size, seed)).astype(np.int64)
+            c = count.setdefault(lang, [0, 0])
+            c[0] += int(n[mine].sum())
+            c[1] += int(mine.sum())
+    if total:
+        yield rows()
+
+
+def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", size: int = 1024, seed: int = 11) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Languages, their unit prototypes, their coherence and how many different trigrams they were learned from, from all rows with a language.
+
+    Trigrams are counted and bundled in the tasks; one vector of ``size`` whole numbers for each language reaches the driver,
+    and :data:`MOST_LANGS` languages at most: what is sent to all tasks is bounded by that, so more are an error. The
+    coherence of a language is the mean inner product of its trigrams with its prototype.
+
+    Cases: rows without text or language teach nothing; texts without a letter teach a language of which nothing is known, which no
+    text is like; no rows, no languages.
     """
     base = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = base.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    langs, rows = [], []
-    for lang, part in sorted(counts.groupby("lang"), key=lambda x: x[0]):
-        total = np.zeros(size)
-        for at in range(0, len(part), 8192):
-            block = part.iloc[at : at + 8192]
-            total += block["n"].to_numpy(np.float64) @ bound(block["gram"].to_numpy(), size, seed)
-        langs.append(lang)
-        rows.append(total / max(np.linalg.norm(total), 1e-12))
-    return langs, np.array(rows).reshape(len(langs), size)
-
-
-def _predict(batches: Iterator[pa.RecordBatch], langs: list[str], prototypes: np.ndarray, size: int, seed: int, block: int = 128) -> Iterator[pa.RecordBatch]:
+    counts = base.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    parts = cut(counts.mapInArrow(lambda it: _bundle(it, size, seed), "lang string, total array<long>, n long, kinds long"), "bundles")
+    found = parts.select("lang").distinct().limit(MOST_LANGS + 1).count()
+    if found > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages: these are not language names")
+    sums = parts.select("lang", F.posexplode("total")).groupBy("lang", "pos").agg(F.sum("col").alias("v"))
+    vectors = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("e")).select("lang", F.col("e.v").alias("v"))
+    rows = vectors.join(parts.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")), "lang").orderBy("lang").collect()
+    drop(parts)
+    totals = np.array([r["v"] for r in rows], np.float64).reshape(len(rows), size)
+    norms = np.linalg.norm(totals, axis=1)
+    return [r["lang"] for r in rows], totals / np.maximum(norms, 1e-12)[:, None], norms / np.maximum([r["n"] for r in rows], 1), np.array([r["kinds"] for r in rows], np.float64)
+
+
+def _predict(batches: Iterator[pa.RecordBatch], langs: list[str], prototypes: np.ndarray, coherence: np.ndarray, kinds: np.ndarray, size: int, seed: int, block: int = 128) -> Iterator[pa.RecordBatch]:
     p = prototypes.astype(np.float32)
-    for batch in slices(batches):
+    for batch in slices(batches, block):
         texts = batch.column(batch.schema.get_field_index("_text")).to_pylist()
-        pred, score = [], []
-        for at in range(0, len(texts), block):
-            grams = [trigrams(t) for t in texts[at : at + block]]
-            joined = np.concatenate(grams)
-            used = np.flatnonzero(np.bincount(joined, minlength=1)) if len(joined) else np.empty(0, np.int64)
-            local = np.zeros(SYMBOLS**3, np.int64)
-            local[used] = np.arange(len(used))
-            cell = np.repeat(np.arange(len(grams)), [len(g) for g in grams]) * len(used) + local[joined]
-            counts = np.bincount(cell, minlength=len(grams) * len(used)).reshape(len(grams), -1).astype(np.float32)
-            vectors = np.zeros((len(grams), size), np.float32)
-            for low in range(0, len(used), 4096):
-                vectors += counts[:, low : low + 4096] @ bound(used[low : low + 4096], size, seed)
-            norm = np.linalg.norm(vectors, axis=1)
-            cosine = (vectors @ p.T) / np.maximum(norm, 1e-9)[:, None] if len(langs) else np.zeros((len(grams), 1))
-            best = cosine.argmax(1)
-            for i, g in enumerate(grams):
-                known = len(g) > 0 and len(langs) > 0
-                pred.append(langs[best[i]] if known else UNKNOWN)
-                score.append(float(min(1.0, max(0.0, cosine[i, best[i]]))) if known else 0.0)
+        pred, score, fit = [], [], []
+        grams = [trigrams(t) for t in texts]
+        joined = np.concatenate(grams) if grams else np.empty(0, np.int32)
+        used = np.flatnonzero(np.bincount(joined, minlength=1)) if len(joined) else np.empty(0, np.int64)
+        local = np.zeros(SYMBOLS**3, np.int32)
+        local[used] = np.arange(len(used))
+        counts = np.zeros((len(grams), len(used)), np.float32)
+        for i, g in enumerate(grams):
+            if len(g):
+                counts[i] = np.bincount(local[g], minlength=len(used))
+        vectors = np.zeros((len(grams), size), np.float32)
+        for low in range(0, len(used), 4096):
+            vectors += counts[:, low : low + 4096] @ bound(used[low : low + 4096], size, seed)
+        dots = vectors @ p.T if len(langs) else np.zeros((len(grams), 1))
+        cosine = dots / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
+        best = cosine.argmax(1)
+        for i, g in enumerate(grams):
+            known = len(g) > 0 and len(langs) > 0
+            pred.append(langs[best[i]] if known else UNKNOWN)
+            score.append(float(min(1.0, max(0.0, cosine[i, best[i]]))) if known else 0.0)
+            own = max(float(coherence[best[i]]), 1e-9) if known else 1.0
+            chance = SIGMAS / len(g) ** 0.5 + SIGMAS / kinds[best[i]] ** 0.5 if known else 0.0
+            fit.append(float(dots[i, best[i]] / len(g) + chance) / own if known else 0.0)
         names = [n for n in batch.schema.names if n != "_text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(fit, pa.float64())], [*names, "lang_pred", "score", "fit"])
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -127,17 +166,20 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = 1024, seed: int = 11, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The language of each whole text: ``id, held_out, lang_pred, score`` and the columns in ``keep``.
+    """The language of each whole text: ``id, held_out, lang_pred, score, fit`` and the columns in ``keep``.
 
     Prototypes are learned from the rows that are not held out and name a language; predictions see the text alone.
-    ``score`` is the cosine with the best prototype, no less than 0.
+    ``score`` is the cosine with the best prototype, no less than 0. ``fit`` is the most that the text's trigrams may be like
+    that language, 1 for texts like those it was learned from: the mean inner product of a trigram with the prototype,
+    plus what chance can take from a text of this length and a language learned from so many different trigrams, over the
+    language's own mean.
 
     Cases: null text, and text without a letter, are ``und`` with score 0, as is all text if nothing could be learned; a tie
     goes to the language that sorts first; repeated rows pass through; other columns are not read. Letters that
     differ by a multiple of 37 beyond a-z share a vector.
     """
     ship(docs.sparkSession)
-    langs, prototypes = learn(docs.where(~held_out(id_col)), text_col=text_col, lang_col=lang_col, size=size, seed=seed)
+    langs, prototypes, coherence, kinds = learn(docs.where(~held_out(id_col)), text_col=text_col, lang_col=lang_col, size=size, seed=seed)
     base = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), *keep, F.col(text_col).cast("string").alias("_text"))
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "_text")
-    return base.mapInArrow(lambda it: _predict(it, langs, prototypes, size, seed), f"{out}, lang_pred string, score double")
+    return base.mapInArrow(lambda it: _predict(it, langs, prototypes, coherence, kinds, size, seed), f"{out}, lang_pred string, score double, fit double")

@@ -8,7 +8,7 @@ largest rate is 1: what is kept then has the target marginals in expectation.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Cells that the driver rakes at most (24 bytes of numbers each); their number depends on the labels, not on the rows.
@@ -72,7 +72,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     cell and rakes them; the rates come back as a join, broadcast up to a counted size. A row is kept if
     its draw, 52 bits of MD5 of seed and id, is below its rate: the same rows whatever the order or the cluster.
 
-    Cases: null source or language is the value ``(none)``; null or empty text has no tokens and, if its whole cell has
+    Cases: no rows, no result; null source or language is the value ``(none)``; null or empty text has no tokens and, if its whole cell has
     none, rate 1; a null id draws as empty text; repeated rows draw alike; other columns are not read.
     """
     spark = docs.sparkSession
@@ -92,6 +92,20 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     return base.join(table, ["source", "lang", "topic"]).select(F.col(id_col), "source", "lang", "topic", "n_tokens", F.round("rate", 6).alias("rate"), (draw < F.col("rate")).alias("kept"), *(["_row"] if carry else []))
 
 
+def margins(mixed: DataFrame) -> DataFrame:
+    """How near a mixture comes to its targets: ``dimension, value, tokens, expected, reached`` of each source, language and topic.
+
+    ``tokens`` is the share of all tokens, ``expected`` the share under the rates (the target, as far as raking has met it),
+    ``reached`` that of the rows drawn. ``mixed`` is the result of :func:`mix`; one row for each value, none for no rows.
+    """
+    n, kept = F.col("n_tokens"), F.col("kept").cast("int")
+    cells = mixed.groupBy("source", "lang", "topic").agg(F.sum(n).alias("tokens"), F.sum(n * F.col("rate")).alias("expected"), F.sum(n * kept).alias("reached"))
+    by = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in ("source", "lang", "topic")])).alias("m")
+    sums = cells.select(by, "tokens", "expected", "reached").groupBy("m").agg(*[F.sum(c).alias(c) for c in ("tokens", "expected", "reached")])
+    share = lambda c: (F.col(c) / F.nullif(F.sum(c).over(Window.partitionBy("m.dimension")), F.lit(0))).alias(c)
+    return sums.select("m.dimension", "m.value", share("tokens"), share("expected"), share("reached"))
+
+
 def oracle(exponent: float = 0.8, rounds: int = 25, seed: int = 17) -> str:
     """:func:`mix` of ``documents`` in DuckDB SQL; one step of the recursion is one round over all three dimensions."""
     step = "cells"

@@ -40,7 +40,8 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int, bins: int, rows: int) -
                 bands.append(None)
         ids = batch.column(batch.schema.get_field_index("fetch_id"))
         doc = batch.column(batch.schema.get_field_index("doc_id"))
-        yield pa.RecordBatch.from_arrays([doc, ids, pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "fetch_id", "n_shingles", "set_key", "bands"])
+        texts = batch.column(batch.schema.get_field_index("text_key"))
+        yield pa.RecordBatch.from_arrays([doc, ids, texts, pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "fetch_id", "text_key", "n_shingles", "set_key", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -59,8 +60,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     return both.select("u", "v", "na", "nb", common.alias("common")).where((den + num) * F.col("common") >= num * (F.col("na") + F.col("nb"))).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, bins: int = BINS, rows: int = ROWS) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, bins: int = BINS, rows: int = ROWS, texts: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: ``doc_id, n_shingles, component_id, kept``; with ``texts`` also ``text_key``, a hash
+    of the row's text, and ``group_id``, the same number for all rows of a component (null for empty sets).
 
     Two documents are linked if ``den * |A & B| >= num * |A | B|`` over their sets of distinct ``words``-word
     shingles (A-Z in lower case, words divided by ASCII white space). ``component_id`` is the smallest id
@@ -73,8 +75,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     ship(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    base = base.withColumn("fetch_id", F.coalesce("doc_id", F.xxhash64("text")))
-    sketch = cut(base.mapInArrow(lambda it: _sketches(it, words, bins, rows), "doc_id long, fetch_id long, n_shingles long, set_key binary, bands array<long>"), "sketch")
+    base = base.withColumn("fetch_id", F.coalesce("doc_id", F.xxhash64("text"))).withColumn("text_key", F.xxhash64("text"))
+    sketch = cut(base.mapInArrow(lambda it: _sketches(it, words, bins, rows), "doc_id long, fetch_id long, text_key long, n_shingles long, set_key binary, bands array<long>"), "sketch")
     by_key = sketch.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("fetch_id").alias("fetch_id"), F.any_value("bands").alias("bands"))
     classes = cut(by_key.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
@@ -82,11 +84,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     buckets = cut(members.join(shared, "bucket"), "buckets")
     central = buckets.groupBy("cid").agg(F.sum("size").alias("score"))
-    buckets = cut(buckets.select("bucket", "cid").join(central, "cid"), "buckets")
+    scored = cut(buckets.select("bucket", "cid").join(central, "cid"), "buckets")
+    drop(buckets)
+    buckets = scored
 
     wanted = classes.join(buckets.select("cid").distinct(), "cid", "left_semi").select("cid", "set_key", "fetch_id")
-    texts = base.select("fetch_id", "text").join(wanted, "fetch_id").select("cid", "set_key", "text")
-    found = texts.mapInArrow(lambda it: _sets(it, words), "cid long, items array<long>")
+    fetched = base.select("fetch_id", "text").join(wanted, "fetch_id").select("cid", "set_key", "text")
+    found = fetched.mapInArrow(lambda it: _sets(it, words), "cid long, items array<long>")
     sets = cut(found, "sets")
     if sketch.groupBy("fetch_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         sets = cut(sets.dropDuplicates(["cid"]), "sets")
@@ -105,14 +109,34 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             drop(labels)
             labels = connected_components(links)
         drop(open_)
+    drop(buckets, sets, links)
 
     named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("set_key", "rep", F.coalesce("label", "cid").alias("label"))
     ids = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = named.join(ids, "label").select("set_key", "component_id")
-    out = sketch.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    named = named.join(ids, "label").select("set_key", "component_id", F.col("label").alias("group_id"))
+    out = sketch.select("doc_id", "n_shingles", "set_key", "text_key").join(named, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    more = ["text_key", F.when(F.col("n_shingles") > 0, F.col("group_id")).alias("group_id")] if texts else []
+    kept = F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept, *more)
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that stay if one row of each group of near-duplicates does, whole, whatever their columns are called.
+
+    Of a group the row with the smallest id stays, rows without id last, then by text; decided for rows, not ids: an id that
+    stands on texts of two groups is judged in each. Rows without words stay, and rows equal in id and text become
+    one. ``options`` are those of :func:`near_duplicates`.
+    """
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    found = near_duplicates(docs, texts=True, **options)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("m")
+    stay = found.where("group_id IS NOT NULL").groupBy("group_id").agg(first).select("m.doc_id", "m.text_key")
+    stay = stay.unionByName(found.where("group_id IS NULL").select("doc_id", "text_key")).distinct()
+    stay = stay.select(F.col("doc_id").alias("stay_id"), F.col("text_key").alias("stay_text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.xxhash64(F.col(text_col).cast("string")).alias("row_text"), F.struct(*docs.columns).alias("row"))
+    rows = rows.join(stay, F.col("row_id").eqNullSafe(F.col("stay_id")) & (F.col("row_text") == F.col("stay_text")), "left_semi")
+    return rows.dropDuplicates(["row_id", "row_text"]).select("row.*")
 
 
 def _open_members(buckets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -137,6 +161,7 @@ def _rare_shingle_pairs(members: DataFrame, sets: DataFrame, num: int, den: int)
     apart stands at its front, and members that differ too much from all others meet nobody.
     If the first one shared has ``left`` and ``rest`` shingles from its place on, no more than the smaller of these can
     be common, so the join itself drops pairs for which that is not enough. Of each shingle's holders those outside its most common component are joined to the rest.
+    Both joins by shingle are of written tables, plain shuffles on either side, so that Spark can split those of a hot shingle.
     """
     nodes = members.select("cid", "label").distinct()
     items = sets.join(nodes, "cid").select("cid", "label", F.size("items").alias("n"), F.explode("items").alias("item"))
@@ -146,7 +171,7 @@ def _rare_shingle_pairs(members: DataFrame, sets: DataFrame, num: int, den: int)
     front = cut(front.where((F.col("place") - 1) * den <= (den - num) * F.col("n")).where("often > 1").select("cid", "label", "item", "n", (F.col("n") - F.col("place") + 1).alias("left")), "front")
     per = front.groupBy("item", "label").agg(F.count("*").alias("c"))
     main = per.groupBy("item").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("k")).where("k > 1").select("item", F.col("m.label").alias("main"))
-    shared = front.join(main, "item")
+    shared = cut(front.join(cut(main, "main"), "item"), "shared")
     few = shared.where("label <> main").select("item", F.col("cid").alias("c"), F.col("label").alias("l"), F.col("n").alias("m"), F.col("left").alias("rest"))
     enough = (den + num) * F.least("left", "rest") >= num * (F.col("n") + F.col("m"))
     pairs = shared.join(few, (shared.item == few.item) & (shared.label != few.l) & enough)

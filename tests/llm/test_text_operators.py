@@ -1,6 +1,7 @@
 """Language, fingerprints, licenses, mixing, sharding."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evigraph.llm import license_scan, mixing, sharding
+from evigraph.llm import language_id, license_scan, mixing, sharding
 from evigraph.llm.catalog import oracle_sql, queries
 from evigraph.llm.fingerprints import fingerprints
 from evigraph.llm.language_id import identify
@@ -155,3 +156,72 @@ def test_mixing_cases(spark):
     assert len(got) == len(ODD) and {r["source"] for r in got} == {"a", "b", "(none)"} and all(0 <= r["rate"] <= 1 for r in got)
     assert [r["n_tokens"] for r in got if r["doc_id"] in (1, 2)] == [0, 0] and all(r["_row"]["_row"] == 2 for r in got)
     assert mixing.mix(docs(spark, [])).count() == 0
+
+
+def test_language_vectors_by_brute_force(spark):
+    """Letter vectors bound and bundled one by one, in plain Python, against the operator's predictions and scores."""
+    size, seed = 64, 11
+    letters = language_id._letters(size, seed).astype(int).tolist()
+    place = lambda c: 0 if not c.isalpha() else ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 37
+    roll = lambda v, k: v[-k:] + v[:-k]
+
+    def vector(text):
+        symbols = [0]
+        for c in text.lower():
+            p = place(c)
+            if p or symbols[-1]:
+                symbols.append(p)
+        if symbols[-1]:
+            symbols.append(0)
+        out, n = [0] * size, 0
+        for a, b, c in zip(symbols, symbols[1:], symbols[2:]):
+            bound = [x * y * z for x, y, z in zip(roll(letters[a], 2), roll(letters[b], 1), letters[c])]
+            out, n = [x + y for x, y in zip(out, bound)], n + 1
+            kinds.setdefault(text, set()).add((a, b, c))
+        return out, n
+
+    kinds = {}
+    texts = [(i, t, la) for i, (t, la) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("Übermut, größer!", "de"), ("and then  there\nwere 3 more", "en"), ("le chat été", "fr"), ("one und zwei", None), ("über the", None), ("123", None), ("a", None), (None, "en")] * 3)]
+    total, count, many = {}, {}, {}
+    for i, t, la in texts:
+        if t and la and zlib.crc32(str(i).encode()) % 5:
+            v, n = vector(t)
+            total[la] = [x + y for x, y in zip(total.get(la, [0] * size), v)]
+            count[la] = count.get(la, 0) + n
+            many[la] = many.get(la, set()) | kinds.get(t, set())
+    norm = lambda v: math.sqrt(sum(x * x for x in v))
+    df = spark.createDataFrame([(*t, "z") for t in texts], "doc_id long, text string, lang string, source string")
+    for r in identify(df, size=size, seed=seed).collect():
+        t = texts[r["doc_id"]][1]
+        v, n = vector(t or "")
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        if not n or not any(c.isalpha() for c in t or ""):
+            assert (r["lang_pred"], r["score"], r["fit"]) == ("und", 0.0, 0.0)
+            continue
+        cosine = {la: sum(x * y for x, y in zip(v, w)) / norm(v) / norm(w) if norm(v) else 0.0 for la, w in total.items()}
+        best = max(sorted(cosine), key=cosine.get)
+        assert r["lang_pred"] == best and abs(r["score"] - min(1, max(0, cosine[best]))) < 1e-5
+        own = norm(total[best]) / count[best]
+        assert abs(r["fit"] - (cosine[best] * norm(v) / n + 3 / math.sqrt(n) + 3 / math.sqrt(len(many[best]))) / own) < 1e-4
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGS", 3)
+    df = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(9)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        identify(df)
+
+
+def test_margins_meet_their_targets(spark):
+    """What raking expects is the target within a thousandth, and what is drawn comes near it."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    mixed = mixing.mix(docs)
+    got = {(r["dimension"], r["value"]): r for r in mixing.margins(mixed).collect()}
+    for d in ("source", "lang", "topic"):
+        tokens = {r[0]: r[1] for r in mixed.groupBy(d).agg(F.sum("n_tokens")).collect()}
+        target = {v: n**0.8 for v, n in tokens.items() if n}
+        for v, w in target.items():
+            r = got[d, v]
+            assert abs(r["tokens"] - tokens[v] / sum(tokens.values())) < 1e-9
+            assert abs(r["expected"] - w / sum(target.values())) < 1e-3 and abs(r["reached"] - r["expected"]) < 0.1, (d, v, r)
+    assert mixing.margins(mixing.mix(docs.limit(0))).count() == 0
