@@ -8,17 +8,25 @@ from pyspark.sql import functions as F
 EVIDENCE = 5
 
 
+def _seq(mentions: DataFrame):
+    return F.col("mention_seq") if "mention_seq" in mentions.columns else F.col("sentence_id").cast("long")
+
+
 def contexts(mentions: DataFrame) -> DataFrame:
-    """``entity_a_id, entity_b_id, doc_id, sentence_id, sentence_text, seq`` for each pair of entities in each sentence.
+    """``entity_a_id, entity_b_id, doc_id, sentence_id, seq`` for each pair of entities in each sentence.
 
     A sentence's entities are gathered as a sorted set and paired within it: one shuffle, by sentence, and a pair
-    stands in it once however often it is mentioned. Its text is that of the first mention.
+    stands in it once however often it is mentioned. The sentence's text stays behind (:func:`texts`).
     """
-    seq = F.col("mention_seq") if "mention_seq" in mentions.columns else F.col("sentence_id").cast("long")
-    rows = mentions.groupBy("doc_id", "sentence_id").agg(F.sort_array(F.collect_set("entity_id")).alias("e"), F.min(F.struct(seq.alias("seq"), "sentence_text")).alias("f")).where(F.size("e") > 1)
-    first = rows.select("doc_id", "sentence_id", "f.*", "e", F.posexplode("e").alias("i", "entity_a_id"))
+    rows = mentions.groupBy("doc_id", "sentence_id").agg(F.sort_array(F.collect_set("entity_id")).alias("e"), F.min(_seq(mentions)).alias("seq")).where(F.size("e") > 1)
+    first = rows.select("doc_id", "sentence_id", "seq", "e", F.posexplode("e").alias("i", "entity_a_id"))
     rest = F.slice("e", F.col("i") + 2, F.size("e"))
-    return first.select("entity_a_id", F.explode(rest).alias("entity_b_id"), "doc_id", "sentence_id", "sentence_text", "seq")
+    return first.select("entity_a_id", F.explode(rest).alias("entity_b_id"), "doc_id", "sentence_id", "seq")
+
+
+def texts(mentions: DataFrame) -> DataFrame:
+    """The text of each sentence: that of its first mention."""
+    return mentions.groupBy("doc_id", "sentence_id").agg(F.min(F.struct(_seq(mentions).alias("seq"), "sentence_text"))["sentence_text"].alias("sentence_text"))
 
 
 def counts(ctx: DataFrame) -> DataFrame:
@@ -30,17 +38,20 @@ def counts(ctx: DataFrame) -> DataFrame:
     return per.groupBy("entity_a_id", "entity_b_id").agg(F.sum("n").alias("sent_count"), F.count("*").alias("docs_count"))
 
 
-def evidence(ctx: DataFrame, most: int = EVIDENCE) -> DataFrame:
-    """Sampled sentences of each pair, ``pos`` from 1: each document's first sentence by document id, then the second ones."""
+def evidence(mentions: DataFrame, most: int = EVIDENCE) -> DataFrame:
+    """Sampled sentences of each pair, ``pos`` from 1: each document's first sentence by document id, then the second ones.
+
+    Sentences are chosen by their numbers; texts are joined to the chosen ones alone.
+    """
     within = Window.partitionBy("entity_a_id", "entity_b_id", "doc_id").orderBy("seq", "sentence_id")
-    ranked = ctx.withColumn("turn", F.row_number().over(within)).where(F.col("turn") <= most)
+    ranked = contexts(mentions).withColumn("turn", F.row_number().over(within)).where(F.col("turn") <= most)
     across = Window.partitionBy("entity_a_id", "entity_b_id").orderBy("turn", "doc_id")
-    return ranked.withColumn("pos", F.row_number().over(across)).where(F.col("pos") <= most).select("entity_a_id", "entity_b_id", "pos", "doc_id", "sentence_text")
+    chosen = ranked.withColumn("pos", F.row_number().over(across)).where(F.col("pos") <= most)
+    return chosen.join(texts(mentions), ["doc_id", "sentence_id"]).select("entity_a_id", "entity_b_id", "pos", "doc_id", "sentence_text")
 
 
 def cooccurrences(mentions: DataFrame, most: int = EVIDENCE) -> DataFrame:
     """Pairs with counts and parallel lists of evidence documents and sentences."""
-    ctx = contexts(mentions)
     keys = ["entity_a_id", "entity_b_id"]
-    lists = evidence(ctx, most).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "doc_id", "sentence_text"))).alias("e"))
-    return counts(ctx).join(lists, keys).select(*keys, "sent_count", "docs_count", F.col("e.doc_id").alias("doc_ids_sample"), F.col("e.sentence_text").alias("evidence_sentences"))
+    lists = evidence(mentions, most).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "doc_id", "sentence_text"))).alias("e"))
+    return counts(contexts(mentions)).join(lists, keys).select(*keys, "sent_count", "docs_count", F.col("e.doc_id").alias("doc_ids_sample"), F.col("e.sentence_text").alias("evidence_sentences"))

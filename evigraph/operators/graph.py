@@ -64,15 +64,31 @@ def seeds(g: Graph, term: str, cuis: list[str] | None = None, kind: str | None =
     return (v.where(F.col("entity_type") == kind) if kind else v).select(F.col("id").alias("src"), F.col("name").alias("source_name"))
 
 
+LISTS = ("evidence_sentences", "sample_doc_ids")
+
+
+def _plain_edges(g: Graph, least: int = 0) -> DataFrame:
+    """Edges without their lists, which a scan then does not read; the least number of documents is pushed down."""
+    return g.edges.where(F.col("docs_count") >= least).drop(*LISTS)
+
+
+def _with_lists(g: Graph, rows: DataFrame, src: str, dst: str, prefix: str = "") -> DataFrame:
+    """The lists of the few edges ``src, dst`` of ``rows``."""
+    lists = g.edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), *[F.col(c).alias(f"{prefix}{c}") for c in LISTS])
+    few = F.broadcast(rows)  # no more rows than a question returns
+    return lists.join(few, (F.col("_s") == F.col(src)) & (F.col("_d") == F.col(dst)), "right").drop("_s", "_d")
+
+
 def neighbors(g: Graph, term: str, *, cuis: list[str] | None = None, seed_type: str | None = None, neighbor_type: str | None = None, min_evidence: int = 3, limit: int = 20) -> DataFrame:
     """Neighbours of the matched entities, each by its best edge, by documents; names and ids break ties."""
     v = g.vertices.select(F.col("id").alias("dst"), F.col("name").alias("neighbor_name"), F.col("entity_type").alias("neighbor_type"))
     v = v.where(F.col("neighbor_type") == neighbor_type) if neighbor_type else v
-    hits = g.edges.where(F.col("docs_count") >= min_evidence).join(seeds(g, term, cuis, seed_type), "src")
+    hits = _plain_edges(g, min_evidence).join(seeds(g, term, cuis, seed_type), "src")
     best = Window.partitionBy("dst").orderBy(F.desc("docs_count"), F.desc("sent_count"), "src")
     top = hits.withColumn("_r", F.row_number().over(best)).where("_r = 1").join(v, "dst")
-    out = top.select("source_name", "neighbor_name", "neighbor_type", F.col("dst").alias("neighbor_id"), "docs_count", "sent_count", "evidence_sentences", F.slice("sample_doc_ids", 1, DOC_IDS).alias("sample_doc_ids"))
-    return out.orderBy(F.desc("docs_count"), "neighbor_name", "neighbor_id").limit(limit)
+    order = [F.desc("docs_count"), "neighbor_name", "neighbor_id"]
+    few = top.withColumn("neighbor_id", F.col("dst")).orderBy(*order).limit(limit)
+    return _with_lists(g, few, "src", "dst").select("source_name", "neighbor_name", "neighbor_type", "neighbor_id", "docs_count", "sent_count", "evidence_sentences", F.slice("sample_doc_ids", 1, DOC_IDS).alias("sample_doc_ids")).orderBy(*order)
 
 
 def disease_genes(g: Graph, disease: str, *, cuis: list[str] | None = None, min_evidence: int = 5, limit: int = 20) -> DataFrame:
@@ -87,8 +103,8 @@ def explain(g: Graph, a: str, b: str, *, cuis_a: list[str] | None = None, cuis_b
     """The best edge between two match sets; one row in any case, ``found`` false with counts 0 if there is none."""
     side = lambda s, term, cuis: seeds(g, term, cuis).select(F.col("src").alias(s), F.col("source_name").alias(f"entity_{'a' if s == 'src' else 'b'}_name"))
     types = lambda s: g.vertices.select(F.col("id").alias(s), F.col("entity_type").alias(f"entity_{'a' if s == 'src' else 'b'}_type"))
-    hits = g.edges.join(side("src", a, cuis_a), "src").join(side("dst", b, cuis_b), "dst")
-    best = hits.orderBy(F.desc("docs_count"), F.desc("sent_count"), "src", "dst").limit(1).join(types("src"), "src").join(types("dst"), "dst").withColumn("found", F.lit(True))
+    hits = _plain_edges(g).join(side("src", a, cuis_a), "src").join(side("dst", b, cuis_b), "dst")
+    best = _with_lists(g, hits.orderBy(F.desc("docs_count"), F.desc("sent_count"), "src", "dst").limit(1), "src", "dst").join(types("src"), "src").join(types("dst"), "dst").withColumn("found", F.lit(True))
     empty = F.array().cast("array<string>")
     row = g.vertices.sparkSession.range(1).join(best, F.lit(True), "left")
     return row.select(
@@ -106,14 +122,31 @@ def shared_neighbors(g: Graph, a: str, b: str, *, cuis_a: list[str] | None = Non
 
     def side(term: str, cuis: list[str] | None, s: str) -> DataFrame:
         order = Window.partitionBy("dst").orderBy(F.desc("docs_count"), "src")
-        hits = g.edges.where(F.col("docs_count") >= min_evidence).join(seeds(g, term, cuis), "src").withColumn("_r", F.row_number().over(order)).where("_r <= 2")
-        return hits.select("dst", *[F.col(c).alias(f"{s}_{c}") for c in ("src", "source_name", "docs_count", "sent_count", "evidence_sentences", "sample_doc_ids")])
+        hits = _plain_edges(g, min_evidence).join(seeds(g, term, cuis), "src").withColumn("_r", F.row_number().over(order)).where("_r <= 2")
+        return hits.select("dst", *[F.col(c).alias(f"{s}_{c}") for c in ("src", "source_name", "docs_count", "sent_count")])
 
     both = side(a, cuis_a, "a").join(side(b, cuis_b, "b"), "dst").where("a_src <> b_src").withColumn("docs_count", F.col("a_docs_count") + F.col("b_docs_count"))
     best = Window.partitionBy("dst").orderBy(F.desc("docs_count"), "a_src", "b_src")
     v = g.vertices.select(F.col("id").alias("dst"), F.col("name").alias("neighbor_name"), F.col("entity_type").alias("neighbor_type"))
     v = v.where(F.col("neighbor_type") == neighbor_type) if neighbor_type else v
     lists = lambda c, n: F.concat(F.slice(f"a_{c}", 1, n), F.slice(f"b_{c}", 1, n)).alias(c)
-    top = both.withColumn("_r", F.row_number().over(best)).where("_r = 1").join(v, "dst")
-    out = top.select("neighbor_name", "neighbor_type", F.col("dst").alias("neighbor_id"), F.col("a_source_name").alias("entity_a_name"), F.col("b_source_name").alias("entity_b_name"), "docs_count", (F.col("a_sent_count") + F.col("b_sent_count")).alias("sent_count"), lists("evidence_sentences", SHARED_EVIDENCE), lists("sample_doc_ids", SHARED_DOC_IDS))
-    return out.orderBy(F.desc("docs_count"), "neighbor_name", "neighbor_id").limit(limit)
+    order = [F.desc("docs_count"), "neighbor_name", "neighbor_id"]
+    top = both.withColumn("_r", F.row_number().over(best)).where("_r = 1").join(v, "dst").withColumn("neighbor_id", F.col("dst")).orderBy(*order).limit(limit)
+    top = _with_lists(g, _with_lists(g, top, "a_src", "dst", "a_"), "b_src", "dst", "b_")
+    out = top.select("neighbor_name", "neighbor_type", "neighbor_id", F.col("a_source_name").alias("entity_a_name"), F.col("b_source_name").alias("entity_b_name"), "docs_count", (F.col("a_sent_count") + F.col("b_sent_count")).alias("sent_count"), lists("evidence_sentences", SHARED_EVIDENCE), lists("sample_doc_ids", SHARED_DOC_IDS))
+    return out.orderBy(*order)
+
+
+def between_types(g: Graph, kind_a: str, kind_b: str, *, min_evidence: int = 5, limit: int = 20) -> DataFrame:
+    """The best-supported pairs of two entity types, each pair once."""
+    side = lambda s, kind: g.vertices.where(F.col("entity_type") == kind).select(F.col("id").alias(s), F.col("name").alias("entity_a_name" if s == "src" else "entity_b_name"))
+    rows = _plain_edges(g, min_evidence).join(side("src", kind_a), "src").join(side("dst", kind_b), "dst")
+    rows = rows.where("src < dst") if kind_a == kind_b else rows
+    return rows.select("entity_a_name", "entity_b_name", F.col("src").alias("entity_a_id"), F.col("dst").alias("entity_b_id"), "docs_count", "sent_count").orderBy(F.desc("docs_count"), F.desc("sent_count"), "entity_a_id", "entity_b_id").limit(limit)
+
+
+def named_pair(g: Graph, a: str, b: str) -> DataFrame:
+    """The edges between entities of exactly these names, whatever their case, strongest first."""
+    side = lambda s, name: g.vertices.where(F.lower("name") == name.lower()).select(F.col("id").alias(s))
+    rows = g.edges.join(side("src", a), "src").join(side("dst", b), "dst")
+    return rows.orderBy(F.desc("docs_count"), F.desc("sent_count"), "src", "dst")
\ No newline at end of file

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cooccurrence, graph
 from ..operators.graph import Graph
+from ..sources import store
 
 #: Entity types of the part names' nouns.
 NOUN_TYPES = {"anvil": "gene", "bolt": "disease", "gear": "chemical", "gizmo": "biological_process", "plate": "cell_type", "ring": "anatomy", "rod": "organism", "widget": "cellular_component"}
@@ -43,10 +46,29 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrence.cooccurrences(mentions(spark, sf_dir))
 
 
+def build_knowledge_graph(spark: SparkSession, sf_dir: str, out: str) -> None:
+    """The graph of all pairs, unfiltered, as tables: the questions have thresholds of their own.
+
+    Edges are dealt and sorted by their start, so that a scan for few starts skips most of a file.
+    """
+    store.write(entities(spark, sf_dir), f"{out}/vertices")
+    store.write(graph.symmetric(pairs(spark, sf_dir)).repartition("src").sortWithinPartitions("src", F.desc("docs_count")), f"{out}/edges")
+
+
+#: Stored graphs of this application, by folder of tables.
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def knowledge_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph of all pairs, unfiltered: the questions have thresholds of their own."""
-    v = entities(spark, sf_dir)
-    return Graph(v, graph.symmetric(pairs(spark, sf_dir)), v.limit(0))
+    """The stored graph of a folder's tables; built when an application first asks for it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED or not store.complete(spark, f"{_STORED[key]}/edges"):
+        out = f"{store.work_folder(spark)}/graph-{uuid.uuid4().hex}"
+        build_knowledge_graph(spark, sf_dir, out)
+        store.forget_later(spark, out)
+        _STORED[key] = out
+    v = spark.read.parquet(f"{_STORED[key]}/vertices")
+    return Graph(v, spark.read.parquet(f"{_STORED[key]}/edges"), v.limit(0))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,19 +85,11 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms of the English documents: words of four letters or more that 20 to 200 documents have, each with a model and label."""
-    return _terms(table(spark, sf_dir, "documents").where("lang = 'en'"), "df BETWEEN 20 AND 200")
-
-
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms of all documents: words of four letters or more that 20 documents have, however many more do."""
-    return _terms(table(spark, sf_dir, "documents"), "df >= 20")
-
-
-def _terms(docs: DataFrame, frequent: str) -> DataFrame:
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("term")).where(F.length("term") >= 4)
-    terms = words.groupBy("term").agg(F.count("*").alias("df")).where(frequent)
+    """Terms of all documents: words of four letters or more that 20 documents have, however many more do, each with a model and label."""
+    docs = table(spark, sf_dir, "documents")
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("term")).where(F.length("term") >= 4)
+    terms = words.groupBy("term").agg(F.count("*").alias("df")).where("df >= 20")
     kind = F.length("term") % 3
     label = F.element_at(F.array(F.lit("GGP"), F.lit("DISEASE"), F.lit("CHEBI")), kind + 1)
     return terms.select("term", F.element_at(F.array(F.lit("bionlp"), F.lit("bc5cdr"), F.lit("craft")), kind + 1).alias("source_model"), label.alias("source_label"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from ..config import FilterConfig, LinkerConfig, NerConfig
 from ..functions import text
 from ..operators import cooccurrence, documents, filtering, graph, ids, linking, mentions, metrics
-from ..sources import articles
+from ..sources import articles, store
+from ..streaming import resume
 from . import agent, bindings
 from .bindings import table
 
@@ -85,16 +87,8 @@ def processed_documents(spark, sf):
     return documents.processed(d, bindings.mentions(spark, sf), NerConfig().to_json()).select("id", "journal", "keywords", "extras_json", "entity_count")
 
 
-@query("""SELECT doc_id::VARCHAR AS pmid, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS version FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0""")
-def upsert_documents(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("pmid"), "doc_id")
-    old = d.where("doc_id % 2 = 0").select("pmid", F.lit("old").alias("version"))
-    new = d.where("doc_id % 3 = 0").select("pmid", F.lit("new").alias("version"))
-    return documents.upsert(old, new, "pmid")
-
-
 @query("""SELECT DISTINCT (2 * doc_id)::VARCHAR AS pmid, 'new' AS version FROM documents UNION ALL SELECT doc_id::VARCHAR, 'old' FROM documents WHERE doc_id NOT IN (SELECT 2 * doc_id FROM documents)""")
-def upsert_documents_all(spark, sf):
+def upsert_documents(spark, sf):
     """All documents are the old side; the new side has every id doubled, so it replaces some rows and adds others."""
     d = table(spark, sf, "documents")
     old = d.select(F.col("doc_id").cast("string").alias("pmid"), F.lit("old").alias("version"))
@@ -123,29 +117,20 @@ def xml_article_parse(spark, sf):
 
 
 # ---- annotation --------------------------------------------------------------------------------------------------------------
-@query("""SELECT doc_id::VARCHAR AS doc_id, (i - 1)::INT AS sentence_id, s[i] AS sentence_text FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]+[.!?]*') AS s FROM documents WHERE lang = 'en'), LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i)""")
+@query("""SELECT doc_id::VARCHAR AS doc_id, (i - 1)::INT AS sentence_id, s[i] AS sentence_text FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]+[.!?]*') AS s FROM documents), LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i)""")
 def sentence_split(spark, sf):
-    return mentions.sentence_rows(table(spark, sf, "documents").where("lang = 'en'"))
-
-
-@query("""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents WHERE lang = 'en'),
-t AS (SELECT term, ['bionlp', 'bc5cdr', 'craft'][length(term) % 3 + 1] AS source_model, ['gene', 'disease', 'chemical'][length(term) % 3 + 1] AS entity_type FROM w WHERE length(term) >= 4 GROUP BY term HAVING count(*) BETWEEN 20 AND 200),
-s AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents WHERE lang = 'en')
-SELECT doc_id::VARCHAR AS doc_id, term, source_model, entity_type, count(*) AS mentions FROM s JOIN t USING (term) GROUP BY ALL""")
-def gazetteer_mentions(spark, sf):
-    found = mentions.annotate(table(spark, sf, "documents").where("lang = 'en'"), bindings.gazetteer(spark, sf))
-    return found.groupBy("doc_id", F.lower("text").alias("term"), "source_model", "entity_type").agg(F.count("*").alias("mentions"))
-
-
-@query()
-def sentence_split_all(spark, sf):
     return mentions.sentence_rows(table(spark, sf, "documents"))
 
 
-@query()
-def gazetteer_mentions_all(spark, sf):
+@query("""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents),
+t AS (SELECT term, ['bionlp', 'bc5cdr', 'craft'][length(term) % 3 + 1] AS source_model, ['gene', 'disease', 'chemical'][length(term) % 3 + 1] AS entity_type FROM w WHERE length(term) >= 4 GROUP BY term HAVING count(*) >= 20),
+s AS (SELECT doc_id, regexp_extract_all(text, '[^\\p{L}\\p{N}]*[\\p{L}\\p{N}]+') AS c FROM documents),
+p AS (SELECT doc_id, unnest(c) AS c, unnest(range(len(c))) AS i FROM s),
+e AS (SELECT doc_id, regexp_extract(c, '[\\p{L}\\p{N}]+$') AS text, sum(length(c)) OVER (PARTITION BY doc_id ORDER BY i) AS end_pos FROM p)
+SELECT doc_id::VARCHAR AS doc_id, text, (end_pos - length(text))::INT AS start_pos, end_pos::INT AS end_pos, source_model, entity_type FROM e JOIN t ON t.term = lower(e.text)""")
+def gazetteer_mentions(spark, sf):
     found = mentions.annotate(table(spark, sf, "documents"), bindings.dictionary(spark, sf))
-    return found.groupBy("doc_id", F.lower("text").alias("term"), "source_model", "entity_type").agg(F.count("*").alias("mentions"))
+    return found.select("doc_id", "text", "start_pos", "end_pos", "source_model", "entity_type")
 
 
 @query(f"""{STORE} SELECT doc_id, lower(text) AS name, start_pos // 5 AS bucket, count(*) AS kept FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(text), start_pos // 5 ORDER BY CASE source_model WHEN 'bionlp' THEN 3 WHEN 'craft' THEN 2 ELSE 1 END DESC, sentence_id) AS r FROM found) WHERE r = 1 GROUP BY ALL""")
@@ -231,13 +216,8 @@ def resolve_entity_id(spark, sf):
     return table(spark, sf, "part").select("p_partkey", text.entity_id(of(0, "C"), of(1, "CHEBI:"), F.lit(None).cast("string"), of(2, "D"), name).alias("id"))
 
 
-@query("""SELECT w AS text, count(*) AS mentions FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents WHERE lang = 'en') WHERE length(w) > 2 GROUP BY 1""")
+@query("""SELECT w AS text, count(*) AS mentions FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents) WHERE length(w) > 2 GROUP BY 1""")
 def short_mention_filter(spark, sf):
-    return _usable_words(table(spark, sf, "documents").where("lang = 'en'"))
-
-
-@query()
-def short_mention_filter_all(spark, sf):
     return _usable_words(table(spark, sf, "documents"))
 
 
@@ -255,7 +235,7 @@ def cooccurrence_counts(spark, sf):
 
 @query(f"{KG}, {EVIDENCE} SELECT ea AS entity_a_id, eb AS entity_b_id, pos::INT AS pos, doc_id, st AS sentence_text FROM ev")
 def cooccurrence_evidence_top5(spark, sf):
-    return cooccurrence.evidence(cooccurrence.contexts(bindings.mentions(spark, sf)))
+    return cooccurrence.evidence(bindings.mentions(spark, sf))
 
 
 def _named(spark, sf):
@@ -294,7 +274,7 @@ def filter_kept_removed_split(spark, sf):
     return kept.select("entity_a_id", "entity_b_id", F.lit(True).alias("kept")).unionByName(removed.select("entity_a_id", "entity_b_id", F.lit(False).alias("kept")))
 
 
-@query()
+@query(f"{FILTERED} FROM named ORDER BY md5('42:' || ea || ':' || eb), ea, eb LIMIT 100")
 def relationship_sample(spark, sf):
     return filtering.sample_rows(_named(spark, sf), 100, 42)
 
@@ -484,13 +464,8 @@ def cited_id_filter(spark, sf):
     return c.withColumn("text", ascii_only).select("conv_id", "turn", F.array_join(text.cited_ids(F.col("ids"), F.col("text")), ",").alias("cited"))
 
 
-@query("""SELECT doc_id, replace(replace('see ' || doc_id || ' and ' || (doc_id + 1) || '.', doc_id::VARCHAR || ' ', '[' || doc_id || '](https://pubmed.ncbi.nlm.nih.gov/' || doc_id || ') '), ' ' || (doc_id + 1) || '.', ' [' || (doc_id + 1) || '](https://pubmed.ncbi.nlm.nih.gov/' || (doc_id + 1) || ').') AS linked FROM documents WHERE doc_id > 100000000 OR doc_id > 500""")
-def citation_links(spark, sf):
-    return _cited(table(spark, sf, "documents").where("doc_id > 500"))
-
-
 @query("""SELECT doc_id, 'see [' || doc_id || '](https://pubmed.ncbi.nlm.nih.gov/' || doc_id || ') and [' || (doc_id + 1) || '](https://pubmed.ncbi.nlm.nih.gov/' || (doc_id + 1) || ').' AS linked FROM documents""")
-def citation_links_all(spark, sf):
+def citation_links(spark, sf):
     return _cited(table(spark, sf, "documents"))
 
 
@@ -504,20 +479,42 @@ def question_kinds(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", text.query_kind(F.col("text")).alias("kind"))
 
 
-@query()
+BLOCK = """repeat('━', 52) || chr(10) || 'RESULT ' || pos || ' (ISOLATED - DO NOT MIX WITH OTHER RESULTS)' || chr(10) || repeat('━', 52) || chr(10) || chr(10) || 'ENTITY NAME (use this exact name): ' || neighbor_name || chr(10) || chr(10) || 'Documents: ' || docs_count || chr(10) || 'Sentences: ' || sent_count
+|| chr(10) || 'Document IDs: [' || ids || ']' || chr(10) || chr(10) || 'Evidence (' || shown || ' samples from ' || sent_count || ' co-occurring sentences - describe ONLY what these say):' || chr(10) || quoted || chr(10) || chr(10) || 'END RESULT ' || pos || chr(10)"""
+
+
+@query(f"""{KG}, {EVIDENCE}, {EDGE}, hit AS (SELECT s.id AS sid, n.name AS neighbor_name, n.id AS neighbor_id, g.docs_count, g.sent_count, row_number() OVER (PARTITION BY n.id ORDER BY g.docs_count DESC, g.sent_count DESC, s.id) AS r
+FROM ent s JOIN edge g ON g.src = s.id JOIN ent n ON n.id = g.dst WHERE g.docs_count >= 5 AND contains(lower(s.name), 'blue')),
+top AS (SELECT *, row_number() OVER (ORDER BY docs_count DESC, neighbor_name, neighbor_id) AS pos FROM hit WHERE r = 1 ORDER BY pos LIMIT 20),
+told AS (SELECT top.pos, string_agg(ev.doc_id, ', ' ORDER BY ev.pos) AS ids, count(*) AS shown, string_agg('  ' || ev.pos || '. "' || st || '"', chr(10) ORDER BY ev.pos) AS quoted FROM top JOIN ev ON ea = least(sid, neighbor_id) AND eb = greatest(sid, neighbor_id) GROUP BY 1)
+SELECT pos::INT AS pos, {BLOCK} AS block FROM top JOIN told USING (pos)""")
 def tool_result_blocks(spark, sf):
     rows = graph.neighbors(bindings.knowledge_graph(spark, sf), "blue", min_evidence=5)
     return agent.blocks(rows, [F.desc("docs_count"), "neighbor_name", "neighbor_id"])
 
 
+@query(f"""{KG}, {NAMED} SELECT CASE WHEN ta = 'gene' THEN na ELSE nb END AS entity_a_name, CASE WHEN ta = 'gene' THEN nb ELSE na END AS entity_b_name, CASE WHEN ta = 'gene' THEN ea ELSE eb END AS entity_a_id, CASE WHEN ta = 'gene' THEN eb ELSE ea END AS entity_b_id, docs_count, sent_count
+FROM named WHERE docs_count >= 5 AND ((ta = 'gene' AND tb = 'disease') OR (ta = 'disease' AND tb = 'gene')) ORDER BY docs_count DESC, sent_count DESC, 3, 4 LIMIT 20""")
+def pairs_of_two_types(spark, sf):
+    return graph.between_types(bindings.knowledge_graph(spark, sf), "gene", "disease")
+
+
 @query("""SELECT event_type, count(*) AS events FROM events GROUP BY 1""")
 def incremental_stream_counts(spark, sf):
     """A stream reads the events table to its end; its counts are those of a batch."""
-    import uuid
-
-    from ..streaming.resume import counts_by_type
-
     name = f"stream_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table(spark, sf, "events").schema)
-    return counts_by_type(spark, f"{sf}/events.parquet", schema, name, f"{base.rstrip('/')}/{name}")
+    return resume.counts_by_type(spark, f"{sf}/events.parquet", schema, name, f"{store.work_folder(spark)}/{name}")
+
+
+@query("""SELECT doc_id::VARCHAR AS id, length(coalesce(text, '')) AS size FROM documents""")
+def incremental_documents(spark, sf):
+    """New documents as micro-batches, twice: what the second run finds again is not added again."""
+    out = f"{store.work_folder(spark)}/new-{uuid.uuid4().hex}"
+    store.forget_later(spark, out)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    work = lambda df: df.select("id", F.length(F.coalesce("text", F.lit(""))).alias("size"))
+    for part in (1, 2):
+        store.append(docs.where(F.crc32("id") % 2 < part), f"{out}/in")  # the second run's files repeat the first one's rows
+        resume.process_new(spark, f"{out}/in", "id string, text string", f"{out}/done", f"{out}/mark", work)
+    return spark.read.parquet(f"{out}/done").select("id", F.col("size").cast("long").alias("size"))

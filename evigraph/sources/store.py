@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table_path(folder: str | None = None, url: str | None = None, name: str = "") -> str:
@@ -33,12 +39,31 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Overwrite a table that ``df`` may be read from: written beside it, then moved into its place."""
+    """Overwrite a table that ``df`` may be read from: written beside it, then moved into its place.
+
+    The old table is moved aside before and removed last, so that at any moment one of them is whole; :func:`restore` puts
+    right what a run that broke off between the moves has left.
+    """
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}.new")
-    old, fs = _fs(spark, path)
+    now, fs = _fs(spark, path)
+    old, new = _fs(spark, f"{path}.old")[0], _fs(spark, f"{path}.new")[0]
+    fs.delete(old, True)
+    if fs.exists(now) and not fs.rename(now, old):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(new, now):
+        raise OSError(f"cannot move the new table to {path}")
     fs.delete(old, True)
-    fs.rename(_fs(spark, f"{path}.new")[0], old)
+
+
+def restore(spark: SparkSession, path: str) -> bool:
+    """Put a table back that a broken :func:`replace` has moved aside; whether there is a complete table at ``path``."""
+    now, fs = _fs(spark, path)
+    if not fs.exists(now):
+        for rest in (f"{path}.new", f"{path}.old"):
+            if complete(spark, rest) and fs.rename(_fs(spark, rest)[0], now):
+                break
+    return complete(spark, path)
 
 
 def clear(spark: SparkSession, path: str) -> None:
@@ -46,11 +71,60 @@ def clear(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, by ``spark.checkpoint.dir``; a temporary one where that is unset in local mode."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="evigraph-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/evigraph-tables"
+
+
+def forget_later(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the application ends."""
+    where, fs = _fs(spark, path)
+    fs.deleteOnExit(where)
+
+
+def reachable(spark: SparkSession, path: str) -> bool:
+    """Whether a table can be read."""
+    try:
+        spark.read.parquet(path).limit(1).count()
+        return True
+    except AnalysisException:
+        return False
+
+
 def point(spark: SparkSession, path: str, key: str, value: str) -> dict | None:
     """The row of one key, found by a pushed-down filter."""
-    row = spark.read.parquet(path).where(f"{key} = '{value.replace(chr(39), chr(39) * 2)}'").head()
+    row = spark.read.parquet(path).where(F.col(key) == value).head()
     return row.asDict() if row else None
 
 
+def ordered(spark: SparkSession, path: str, key: str = "pmid") -> DataFrame:
+    """A table in the order of its ids as text."""
+    return spark.read.parquet(path).orderBy(F.col(key).cast("string"))
+
+
+def write_json_array(df: DataFrame, path: str, order: list[str]) -> None:
+    """One JSON array of all rows, in order, in one file: written by one task as rows stream by, an empty array without rows."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = "["
+        for batch in batches:
+            out = []
+            for line in batch.column(0).to_pylist():
+                out.append(mark + line)
+                mark = ","
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if mark == "[" else "]"])], ["value"])
+
+    line = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    rows = df.select(line.alias("value"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(order)]).repartition(1).sortWithinPartitions(*[f"_{i}" for i in range(len(order))])
+    rows.select("value").mapInArrow(lines, "value string").write.mode("overwrite").text(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
