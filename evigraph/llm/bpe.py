@@ -231,7 +231,7 @@ class Splitter:
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         parts = lambda x, name: x[name] if x and x["type"] == "Sequence" else [x]
         self.known = parts(data["normalizer"], "normalizers") == KNOWN_NORMALIZER and parts(data["pre_tokenizer"], "pretokenizers") == KNOWN_SPLITTER
-        self.ascii, self.latin = _latin_words(0x80), _latin_words(0x250)
+        self.ascii, self.latin_1, self.latin = _latin_words(0x80), _latin_words(0x100), _latin_words(0x250)
 
     def words(self, text: str) -> list[str] | None:
         """The words of a text without special tokens, or None if it is for the library to split."""
@@ -239,8 +239,12 @@ class Splitter:
             return None
         if text.isascii():
             return self.ascii(text.lower())
-        if BEYOND_LATIN.search(text):
-            return None
+        try:
+            text.encode("latin-1")
+            return self.latin_1(text.lower())
+        except UnicodeEncodeError:
+            if BEYOND_LATIN.search(text):
+                return None
         low = text.lower()
         return None if BEYOND_LATIN.search(low) else self.latin(low)
 
