@@ -42,13 +42,13 @@ def parser() -> argparse.ArgumentParser:
     command("build-graph", "source", "out", "docs-min", "sents-min")
     command("run-pipeline", "source", "term", "limit", "size", "terms", "aliases", "out", "config")
     command("continue-pipeline", "terms", "aliases", "out", "config")
-    command("ask", "source", "question")
+    command("ask", "source", "question", "aliases")
     return p
 
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
-    from .operators import documents
+    from .operators import documents, linking
     from .plans import agent, pipeline
 
     spark = session()
@@ -69,7 +69,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "continue-pipeline":
         done = pipeline.resume(spark, table(a.terms), table(a.aliases), a.out, config)
     else:
-        done = agent.ask(pipeline.load_graph(spark, a.source), a.question or "", config=AgentConfig())
+        done = agent.ask(pipeline.load_graph(spark, a.source), a.question or "", config=AgentConfig(), concepts=agent.linker(linking.loaded(lambda: table(a.aliases)) if a.aliases else None))
     print(json.dumps(done, indent=1, default=str))
     return 0
 

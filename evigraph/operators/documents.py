@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 PROMOTED = ("journal", "authors", "document_type", "doi", "keywords", "mesh_terms")
 
 
@@ -33,7 +37,7 @@ def processed(docs: DataFrame, mentions: DataFrame, config_json: str) -> DataFra
     counts = mentions.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("entity_count"))
     rest = F.map_filter("extras", lambda k, _: ~k.isin(*PROMOTED))
     promoted = [F.try_element_at("extras", F.lit(c)).alias(c) for c in PROMOTED]
-    rows = docs.select("id", "title", "text", "source", "pub_year", *promoted, F.when(F.size(rest) > 0, F.to_json(rest)).alias("extras_json"), F.lit(config_json).alias("config_json"))
+    rows = docs.select("id", "title", "text", "source", "pub_year", *promoted, F.when(F.size(rest) > 0, F.to_json(rest)).alias("extras_json"), F.lit(config_json).alias("config_json"), F.current_timestamp().alias("processed_at"))
     return rows.join(counts, "id", "left").withColumn("entity_count", F.coalesce("entity_count", F.lit(0)).cast("long"))
 
 
@@ -44,6 +48,32 @@ def restored(stored: DataFrame) -> DataFrame:
     return stored.select("id", "title", "text", "source", "pub_year", extras.alias("extras"))
 
 
+def with_entities(docs: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Documents with their mentions as the list ``entities`` in order of ``mention_seq``, empty where a document has none."""
+    fields = [c for c in mentions.columns if c not in ("doc_id", "mention_seq")]
+    lists = mentions.groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("mention_seq", F.struct(*fields).alias("e")))).alias("l"))
+    joined = docs.join(lists.select("id", F.col("l.e").alias("entities")), "id", "left")
+    kind = joined.schema["entities"].dataType.simpleString()
+    return joined.withColumn("entities", F.coalesce("entities", F.array().cast(kind)))
+
+
+def in_order(rows: DataFrame, asked: DataFrame, key: str = "id") -> DataFrame:
+    """For each of ``asked (pos, key)`` its row, in order of ``pos``; ids that were not found have nulls."""
+    return asked.select("pos", key).join(rows, key, "left").orderBy("pos")
+
+
+def grouped_by_type(mentions: DataFrame) -> DataFrame:
+    """Each document's mention texts by entity type: ``doc_id, entities (map of lists)``, in order of mention."""
+    lists = mentions.groupBy("doc_id", "entity_type").agg(F.sort_array(F.collect_list(F.struct("mention_seq", "text"))).alias("l"))
+    return lists.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("entity_type", F.col("l.text").alias("texts")))).alias("entities"))
+
+
+def source_metadata(docs: DataFrame) -> DataFrame:
+    """Extras of each document beside its source and year, as one map."""
+    own = F.map_filter(F.create_map(F.lit("source"), F.col("source"), F.lit("pub_year"), F.col("pub_year").cast("string")), lambda _, v: v.isNotNull())
+    return docs.select("id", F.map_concat(F.map_filter("extras", lambda k, _: ~k.isin("source", "pub_year")), own).alias("metadata"))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """``old`` with the rows of ``new`` in place of or beside its own; of several new rows of a key the last by ``order``."""
     if order:
@@ -66,9 +96,11 @@ def check_config(stored: DataFrame, config_json: str) -> None:
 
 
 def info(stored: DataFrame) -> dict | None:
-    """Document and entity counts and settings of a store; None if its settings differ between rows."""
-    r = stored.agg(F.count("*").alias("doc_count"), F.coalesce(F.sum("entity_count"), F.lit(0)).alias("entity_count"), F.count_distinct("config_json").alias("k"), F.min("config_json").alias("config_json")).first()
-    return None if r["k"] > 1 else {"doc_count": r["doc_count"], "entity_count": r["entity_count"], "config_json": r["config_json"]}
+    """Document and entity counts, settings and first time of a store; None if it is empty or its settings differ between rows."""
+    r = stored.agg(F.count("*").alias("doc_count"), F.coalesce(F.sum("entity_count"), F.lit(0)).alias("entity_count"), F.count_distinct("config_json").alias("k"), F.min("config_json").alias("config_json"), *([F.min("processed_at").alias("processed_at")] if "processed_at" in stored.columns else [])).first()
+    if r["k"] > 1:
+        log.error("the store holds documents of %d settings", r["k"])
+    return None if r["k"] != 1 else {k: v for k, v in r.asDict().items() if k not in ("k", "processed_at")} | ({"processed_at": r["processed_at"]} if "processed_at" in r else {})
 
 
 def by_type(mentions: DataFrame) -> DataFrame:
@@ -83,3 +115,11 @@ def type_counts(articles: DataFrame) -> DataFrame:
 def missing_ids(asked: DataFrame, found: DataFrame, key: str = "pmid") -> DataFrame:
     """Ids that were asked for and not found."""
     return asked.select(key).distinct().join(found.select(key), key, "left_anti")
+
+
+def shown(ids: DataFrame, part: str = "") -> DataFrame:
+    """Of cited ids ``(pos, id)``, each once at its first place, those that hold ``part``; without one the first alone."""
+    first = ids.groupBy("id").agg(F.min("pos").alias("pos"))
+    if part.strip():
+        return first.where(F.contains("id", F.lit(part.strip()))).orderBy("pos")
+    return first.orderBy("pos").limit(1)

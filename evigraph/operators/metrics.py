@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,3 +107,20 @@ def annotator_rates(found: DataFrame, docs: DataFrame) -> DataFrame:
 def evaluation(runs: DataFrame) -> DataFrame:
     """Of agent runs ``(tool, expected_tool, shown, selected, error)``: routing, selection and error rates."""
     return runs.agg(F.count("*").alias("questions"), rate(F.count_if(F.col("tool") == F.col("expected_tool")), F.count("*")).alias("routing_rate"), rate(F.sum("selected"), F.sum("shown")).alias("selection_rate"), rate(F.count_if("error"), F.count("*")).alias("error_rate"))
+
+
+def benchmark(load: Callable[[], DataFrame], run: Callable[[DataFrame], DataFrame], docs: DataFrame) -> dict:
+    """How an annotator does on ``docs``: seconds to load and to run, mentions and mentions a document, labels."""
+    began = time.perf_counter()
+    terms = load()
+    terms.count()
+    ready = time.perf_counter()
+    r = run(terms).agg(F.count("*").alias("mentions"), F.sort_array(F.collect_set("source_label")).alias("labels")).first()
+    took = time.perf_counter() - ready
+    n = docs.count()
+    return {"load_seconds": ready - began, "run_seconds": took, "documents": n, "mentions": r["mentions"], "per_document": r["mentions"] / max(n, 1), "labels": r["labels"]}
+
+
+def by_length(rows: DataFrame, text: str = "text", limit: int = 10) -> DataFrame:
+    """Distinct texts, the longest first."""
+    return rows.select(text, F.length(text).alias("length")).distinct().orderBy(F.desc("length"), text).limit(limit)

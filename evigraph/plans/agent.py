@@ -8,11 +8,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import AgentConfig
-from ..operators import graph
+from ..config import AgentConfig, LinkerConfig
+from ..operators import graph, linking
 from ..operators.graph import Graph
 from ..schemas import LABEL_TYPES
 
@@ -27,16 +29,23 @@ END = "END RESULT {}"
 NOTHING = "No results found in knowledge graph."
 BAD_PAIR = "Error: name two entities, divided by a comma."
 
-#: Tools by name: what they ask of the graph.
+#: Gives the concepts of a term, none if it is not linked.
+Linker = Callable[[str], list[str]]
+
+#: Tools by name: what they ask of the graph. A term that is linked to a concept is matched by it, others by name.
 TOOLS: dict[str, Callable[..., DataFrame]] = {
-    "FindGenesForDisease": lambda g, c, disease: graph.disease_genes(g, disease, min_evidence=c.min_evidence, limit=c.max_results),
-    "FindDiseasesForGene": lambda g, c, gene: graph.gene_diseases(g, gene, min_evidence=c.min_evidence, limit=c.max_results),
-    "FindEntityNeighbors": lambda g, c, entity, entity_type=None: graph.neighbors(g, entity, neighbor_type=entity_type, min_evidence=c.min_evidence, limit=c.max_results),
-    "ExplainRelationship": lambda g, c, entity_a, entity_b: graph.explain(g, entity_a, entity_b).where("found"),
-    "FindSharedNeighbors": lambda g, c, entity_a, entity_b, neighbor_type=None: graph.shared_neighbors(g, entity_a, entity_b, neighbor_type=neighbor_type, min_evidence=c.min_evidence, limit=c.max_results),
+    "FindGenesForDisease": lambda g, c, k, disease: graph.disease_genes(g, disease, cuis=k(disease), min_evidence=c.min_evidence, limit=c.max_results),
+    "FindDiseasesForGene": lambda g, c, k, gene: graph.gene_diseases(g, gene, cuis=k(gene), min_evidence=c.min_evidence, limit=c.max_results),
+    "FindEntityNeighbors": lambda g, c, k, entity, entity_type=None: graph.neighbors(g, entity, cuis=k(entity), neighbor_type=entity_type, min_evidence=c.min_evidence, limit=c.max_results),
+    "ExplainRelationship": lambda g, c, k, entity_a, entity_b: graph.explain(g, entity_a, entity_b, cuis_a=k(entity_a), cuis_b=k(entity_b)).where("found"),
+    "FindSharedNeighbors": lambda g, c, k, entity_a, entity_b, neighbor_type=None: graph.shared_neighbors(g, entity_a, entity_b, cuis_a=k(entity_a), cuis_b=k(entity_b), neighbor_type=neighbor_type, min_evidence=c.min_evidence, limit=c.max_results),
 }
 
 
+def no_concepts(term: str) -> list[str]:
+    return []
+
+
 def split_pair(text: str) -> tuple[str, str] | None:
     """Two entities divided at the first comma."""
     a, comma, b = text.partition(",")
@@ -102,14 +111,19 @@ def cited(ids: list[str], answer: str) -> list[str]:
     return found or ids
 
 
-def ask(g: Graph, question: str, history: list[dict] | None = None, config: AgentConfig = AgentConfig()) -> dict:
-    """``question, answer, doc_ids, messages``; ``answer, error`` and no messages if the question fails."""
+def linker(aliases: DataFrame | None, config: LinkerConfig = LinkerConfig()) -> Linker:
+    """Terms of questions linked by an alias table."""
+    return lambda term: linking.concepts(term, aliases, config)
+
+
+def ask(g: Graph, question: str, history: list[dict] | None = None, config: AgentConfig = AgentConfig(), concepts: Linker = no_concepts) -> dict:
+    """``question, answer, doc_ids, messages``; ``answer, error`` and no messages if the graph cannot be read."""
     messages = [*(history or [])[-config.max_history_messages :], {"role": "user", "content": question}]
     try:
         tool, arguments = route(question)
-        rows = [r.asDict() for r in TOOLS[tool](g, config, **arguments).collect()]  # as many as a question returns
+        rows = [r.asDict() for r in TOOLS[tool](g, config, concepts, **arguments).collect()]  # as many as a question returns
         output = "\n".join(result_text(i, r, config.max_doc_ids_per_result) for i, r in enumerate(rows, 1)) or NOTHING
-    except Exception as e:
+    except (PySparkException, Py4JError) as e:
         return {"question": question, "answer": f"The question failed: {e}", "doc_ids": [], "error": str(e)}
     ids = list(dict.fromkeys(str(d) for r in rows for d in r["sample_doc_ids"][: config.max_doc_ids_per_result]))
     name = lambda r: r.get("neighbor_name") or r.get("entity_a_name")

@@ -101,6 +101,39 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("pmid"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("abstract"), F.lit("Article").alias("document_type"), F.col("source").alias("journal"), (F.lit(2000) + F.col("doc_id") % 20).cast("int").alias("year"), F.when(F.col("doc_id") % 2 == 0, F.lit("Doe Jane")).otherwise(F.lit("")).alias("authors"), F.lit(None).cast("string").alias("mesh_terms"), F.lit(None).cast("string").alias("doi"), F.col("lang").alias("keywords"))
 
 
+def _escaped(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _tag(name: str, *parts: Column | str, attributes: str = "") -> Column:
+    return F.concat(F.lit(f"<{name}{attributes}>"), *[F.lit(p) if isinstance(p, str) else p for p in parts], F.lit(f"</{name}>"))
+
+
+def chapter_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set of an article and a book chapter for each document; every other chapter has only the book's editors."""
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id").cast("string")
+    person = lambda fore, last: _tag("Author", _tag("LastName", last), *([_tag("ForeName", fore)] if fore else []))
+    own = F.when(F.col("doc_id") % 2 == 1, _tag("AuthorList", person("Bo", "Au"), person("", "Lee"))).otherwise(F.lit(""))
+    book = _tag("Book", _tag("BookTitle", "Book of ", _escaped(F.col("source"))), _tag("PubDate", _tag("Year", (F.lit(2000) + F.col("doc_id") % 20).cast("string"))), _tag("AuthorList", person("Ann", "Ed"), attributes=' Type="editors"'))
+    chapter = _tag("PubmedBookArticle", _tag("BookDocument", _tag("PMID", k), _tag("ArticleTitle", "Chapter ", k), book, own, _tag("Abstract", _tag("AbstractText", _escaped(F.coalesce("text", F.lit("")))))))
+    article = _tag("PubmedArticle", _tag("PMID", "A", k), _tag("Journal", _tag("Title", _escaped(F.col("source")))), _tag("ArticleTitle", "Part one", "<i>two</i>"), _tag("OtherAbstract", _tag("AbstractText", "no interests"), attributes=' Type="COI"'), _tag("Abstract", _tag("AbstractText", "x"), _tag("AbstractText", "y")))
+    return d.select(_tag("PubmedArticleSet", chapter, article, "<Other><PMID>0</PMID></Other>").alias("xml"))
+
+
+def full_text_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full text for each document; ids, titles, journals, years and authors are missing in turn."""
+    d = table(spark, sf_dir, "documents")
+    k, n = F.col("doc_id").cast("string"), F.col("doc_id")
+    pmid = F.when(n % 2 == 0, _tag("article-id", k, attributes=' pub-id-type="pmid"')).otherwise(F.lit(""))
+    title = F.when(n % 5 == 0, F.lit("")).otherwise(_tag("title-group", _tag("article-title", "Title ", k)))
+    journal = F.when(F.col("source").isNull(), F.lit("")).otherwise(_tag("journal-meta", _tag("journal-title", _escaped(F.col("source")))))
+    year = F.when(n % 3 == 0, F.lit("unknown")).otherwise((F.lit(1990) + n % 3).cast("string"))
+    author = F.when(n % 2 == 0, _tag("contrib", _tag("name", _tag("surname", "Doe"), _tag("given-names", "Jo")), attributes=' contrib-type="author"')).otherwise(_tag("contrib", _tag("name", _tag("surname", "Only")), attributes=' contrib-type="author"'))
+    meta = _tag("article-meta", _tag("article-id", "PMC", k, attributes=' pub-id-type="pmc"'), pmid, title, author, _tag("pub-date", _tag("year", year)), _tag("abstract", _tag("p", "Sum ", "<i>up</i>")))
+    return d.select(_tag("article", _tag("front", journal, meta), _tag("body", _tag("p", "Body of ", k))).alias("xml"))
+
+
 def article_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One XML text for each document; every 50th is cut off and so no XML."""
     d = table(spark, sf_dir, "documents")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import FilterConfig, LinkerConfig, NerConfig
@@ -42,6 +42,8 @@ FOUND = """
 found AS (SELECT doc_id, CASE WHEN sentence_id % 2 = 0 THEN upper(m.text) ELSE m.text END AS text, sentence_id * 3 AS start_pos, ['bionlp', 'craft', 'bc5cdr'][sentence_id % 3 + 1] AS source_model, entity_type, b.source_label, sentence_id, sentence_text,
     CASE WHEN umls_cui IS NOT NULL THEN 0.9::DOUBLE END AS linking_confidence, umls_cui, umls_preferred_name
   FROM men m JOIN ent e ON e.id = m.entity_id JOIN (SELECT p_name AS text, min(p_brand) AS source_label FROM part GROUP BY 1) b ON b.text = m.text)"""
+LINKS = f"""WITH {ENTITY}, {FOUND}, texts AS (SELECT DISTINCT text FROM found), al AS (SELECT name AS alias, umls_cui, CASE WHEN length(name) % 2 = 0 THEN 0.95::DOUBLE ELSE 0.45::DOUBLE END AS confidence, CASE WHEN length(name) > 9 THEN umls_preferred_name ELSE upper(name) END AS preferred FROM ent WHERE umls_cui IS NOT NULL),
+links AS (SELECT text, CASE WHEN confidence >= 0.7 THEN umls_cui END AS umls_cui, confidence AS linking_confidence, CASE WHEN confidence >= 0.7 THEN preferred END AS umls_preferred_name FROM texts LEFT JOIN al ON alias = lower(trim(text)))"""
 KG = f"WITH {ENTITY}, {CONTEXT}"
 STORE = f"WITH {ENTITY}, {FOUND}"
 
@@ -116,6 +118,74 @@ def xml_article_parse(spark, sf):
     return articles.articles(bindings.article_xml(spark, sf)).select("pmid", "title", "abstract", "journal", "keywords", "document_type")
 
 
+@query("""SELECT doc_id::VARCHAR AS pmid, 'Chapter ' || doc_id AS title, ltrim(rtrim(coalesce(text, ''))) AS abstract, 'Book of ' || source AS journal, 'BookChapter' AS document_type, CASE WHEN doc_id % 2 = 0 THEN 'Ann Ed' ELSE 'Bo Au, Lee' END AS authors, (2000 + doc_id % 20)::INT AS year FROM documents
+UNION ALL SELECT 'A' || doc_id, 'Part one', 'x y', source, 'Article', NULL, NULL FROM documents""")
+def xml_chapter_parse(spark, sf):
+    """A set of one article and one book chapter for each document; chapter authors come before those of the book."""
+    return articles.articles(bindings.chapter_xml(spark, sf)).select("pmid", "title", "abstract", "journal", "document_type", "authors", "year")
+
+
+@query("""SELECT CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR ELSE 'PMC' || doc_id END AS pmid, CASE WHEN doc_id % 2 = 1 THEN 'PMC' || doc_id END AS pmc_id, CASE WHEN doc_id % 5 = 0 THEN 'No title' ELSE 'Title ' || doc_id END AS title, 'Sum up' || chr(10) || chr(10) || 'Body of ' || doc_id AS abstract,
+coalesce(source, 'Unknown journal') AS journal, CASE WHEN doc_id % 3 > 0 THEN (1990 + doc_id % 3)::INT END AS year, CASE WHEN doc_id % 2 = 0 THEN 'Jo Doe' END AS authors FROM documents""")
+def xml_full_text_parse(spark, sf):
+    return articles.articles(bindings.full_text_xml(spark, sf), full=True).select("pmid", "pmc_id", "title", "abstract", "journal", "year", "authors")
+
+
+@query("""SELECT p_partkey, umls_cui, linking_confidence, types FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN 'C' || p_size END AS umls_cui, CASE WHEN p_partkey % 3 <> 0 THEN 0.8::DOUBLE END AS linking_confidence, CASE WHEN p_partkey % 3 = 1 THEN 'T' || p_size ELSE 'own' END AS types FROM part)""")
+def apply_mappings_kept_types(spark, sf):
+    """Links of which some have no semantic types: these leave a mention's own."""
+    p = table(spark, sf, "part")
+    found = p.select("p_partkey", F.col("p_partkey").cast("string").alias("text"), F.lit("gene").alias("entity_type"), F.lit("old").alias("umls_cui"), F.lit(0.1).alias("linking_confidence"), F.lit("n").alias("umls_preferred_name"), F.array(F.lit("own")).alias("umls_semantic_types"))
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    links = p.where(k % 3 != 0).select(k.cast("string").alias("text"), F.concat(F.lit("C"), size).alias("umls_cui"), F.lit(0.8).alias("linking_confidence"), F.lit("n").alias("umls_preferred_name"), F.when(k % 3 == 1, F.array(F.concat(F.lit("T"), size))).otherwise(F.array().cast("array<string>")).alias("umls_semantic_types"))
+    return linking.apply_links(found, links, keep_types=True).select("p_partkey", "umls_cui", "linking_confidence", F.array_join("umls_semantic_types", ",").alias("types"))
+
+
+@query(f"""{STORE}, e AS (SELECT doc_id, string_agg(text, ',' ORDER BY sentence_id, text) AS texts, count(*) AS n FROM found GROUP BY 1)
+SELECT d.doc_id::VARCHAR AS id, source, coalesce(n, 0) AS entities, coalesce(texts, '') AS texts FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id::VARCHAR""")
+def documents_with_entities(spark, sf):
+    d = documents.from_abstracts(bindings.articles(spark, sf)).select("id", F.try_element_at("extras", F.lit("journal")).alias("source"))
+    rows = documents.with_entities(d, bindings.found(spark, sf).select("doc_id", "text", "mention_seq"))
+    return rows.select("id", "source", F.size("entities").cast("long").alias("entities"), F.array_join("entities.text", ",").alias("texts"))
+
+
+@query("""SELECT row_number() OVER (ORDER BY conv_id DESC, turn) AS pos, conv_id::VARCHAR AS id, c.text IS NOT NULL AS asked, d.source FROM conversations c LEFT JOIN documents d ON d.doc_id = conv_id""")
+def results_in_request_order(spark, sf):
+    c = table(spark, sf, "conversations")
+    asked = c.select(F.row_number().over(Window.orderBy(F.desc("conv_id"), "turn")).cast("long").alias("pos"), F.col("conv_id").cast("string").alias("id"), F.col("text").isNotNull().alias("asked"))
+    rows = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "source")
+    return documents.in_order(rows, asked.select("pos", "id")).join(asked.select("pos", "asked"), "pos").select("pos", "id", "asked", "source")
+
+
+@query("""SELECT text, length(text) AS length FROM (SELECT DISTINCT text FROM conversations) ORDER BY length DESC, text LIMIT 10""")
+def longest_texts(spark, sf):
+    return metrics.by_length(table(spark, sf, "conversations")).select("text", F.col("length").cast("long").alias("length"))
+
+
+@query("""SELECT id, min(pos) AS pos FROM (SELECT l_partkey::VARCHAR AS id, l_orderkey * 10 + l_linenumber AS pos FROM lineitem) WHERE contains(id, '7') GROUP BY 1""")
+def cited_documents_filter(spark, sf):
+    ids_ = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_partkey").cast("string").alias("id"))
+    return documents.shown(ids_, "7").select("id", "pos")
+
+
+@query("""SELECT doc_id::VARCHAR AS id, (CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 3 END + 2)::INT AS entries, source AS journal, 'pubmed' AS source, (2000 + doc_id % 20)::VARCHAR AS pub_year FROM documents""")
+def document_metadata(spark, sf):
+    m = documents.source_metadata(documents.from_abstracts(bindings.articles(spark, sf)))
+    at = lambda k: F.try_element_at("metadata", F.lit(k)).alias(k)
+    return m.select("id", F.size("metadata").alias("entries"), at("journal"), at("source"), at("pub_year"))
+
+
+@query(f"""{STORE} SELECT doc_id, entity_type, count(*) AS entities, count(DISTINCT text) AS texts FROM found GROUP BY ALL""")
+def entities_by_type(spark, sf):
+    return documents.by_type(bindings.found(spark, sf))
+
+
+@query(f"""{LINKS}, known AS (SELECT text, max(umls_cui) AS umls_cui, max(linking_confidence) AS linking_confidence FROM found WHERE sentence_id % 2 = 0 AND linking_confidence IS NOT NULL GROUP BY text)
+SELECT text, umls_cui, linking_confidence FROM known UNION ALL SELECT text, umls_cui, linking_confidence FROM links WHERE text NOT IN (SELECT text FROM known)""")
+def link_with_cache(spark, sf):
+    return linking.link_with_cache(_texts(spark, sf), _store(spark, sf), _aliases(spark, sf)).select("text", "umls_cui", "linking_confidence")
+
+
 # ---- annotation --------------------------------------------------------------------------------------------------------------
 @query("""SELECT doc_id::VARCHAR AS doc_id, (i - 1)::INT AS sentence_id, s[i] AS sentence_text FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]+[.!?]*') AS s FROM documents), LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i)""")
 def sentence_split(spark, sf):
@@ -167,10 +237,6 @@ def _aliases(spark, sf):
     return e.select(F.col("name").alias("alias"), "umls_cui", conf.alias("confidence"), F.when(F.length("name") > 9, F.col("umls_preferred_name")).alias("canonical_name"), F.upper("name").alias("first_alias"), F.array(F.lit("T001")).alias("umls_semantic_types"))
 
 
-LINKS = f"""{STORE}, texts AS (SELECT DISTINCT text FROM found), al AS (SELECT name AS alias, umls_cui, CASE WHEN length(name) % 2 = 0 THEN 0.95::DOUBLE ELSE 0.45::DOUBLE END AS confidence, CASE WHEN length(name) > 9 THEN umls_preferred_name ELSE upper(name) END AS preferred FROM ent WHERE umls_cui IS NOT NULL),
-links AS (SELECT text, CASE WHEN confidence >= 0.7 THEN umls_cui END AS umls_cui, confidence AS linking_confidence, CASE WHEN confidence >= 0.7 THEN preferred END AS umls_preferred_name FROM texts LEFT JOIN al ON alias = lower(trim(text)))"""
-
-
 @query(f"{LINKS} SELECT * FROM links")
 def link_threshold(spark, sf):
     return linking.link(_texts(spark, sf), _aliases(spark, sf), LinkerConfig()).drop("umls_semantic_types")

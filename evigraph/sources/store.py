@@ -116,14 +116,16 @@ def write_json_array(df: DataFrame, path: str, order: list[str]) -> None:
         for batch in batches:
             out = []
             for line in batch.column(0).to_pylist():
-                out.append(mark + line)
-                mark = ","
+                if line is not None:
+                    out.append(mark + line)
+                    mark = ","
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
         yield pa.RecordBatch.from_arrays([pa.array(["[]" if mark == "[" else "]"])], ["value"])
 
     line = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-    rows = df.select(line.alias("value"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(order)]).repartition(1).sortWithinPartitions(*[f"_{i}" for i in range(len(order))])
-    rows.select("value").mapInArrow(lines, "value string").write.mode("overwrite").text(path)
+    rows = df.select(line.alias("value"), F.struct(*order).alias("at"))
+    start = df.sparkSession.range(1).select(F.lit(None).cast("string").alias("value"), F.lit(None).cast(rows.schema["at"].dataType).alias("at"))  # a row there is in any case
+    rows.unionByName(start).repartition(1).sortWithinPartitions("at").select("value").mapInArrow(lines, "value string").write.mode("overwrite").text(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

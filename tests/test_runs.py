@@ -1,9 +1,13 @@
 """Sources, agent and whole runs."""
 
+import json
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
-from evigraph.config import AgentConfig, FilterConfig
+from evigraph.config import AgentConfig, FilterConfig, LinkerConfig
+from evigraph.operators import documents, graph, linking, mentions, metrics
 from evigraph.plans import agent, bindings, pipeline
 from evigraph.sources import articles, literature, store
 from evigraph.streaming import resume
@@ -47,12 +51,26 @@ def test_answers(spark):
     assert r["tool"] == "FindEntityNeighbors" and r["doc_ids"] and len(r["messages"]) == 12
     assert agent.grounding(r["answer"], r["tool_output"])["invented"] == []
     assert agent.grounding("- **Other** -- x", r["tool_output"])["invented"] == ["Other"]
-    rows = agent.TOOLS["FindEntityNeighbors"](g, AgentConfig(min_evidence=2), entity="blue")
+    rows = agent.TOOLS["FindEntityNeighbors"](g, AgentConfig(min_evidence=2), agent.no_concepts, entity="blue")
     listed = agent.blocks(rows, [F.desc("docs_count"), "neighbor_name", "neighbor_id"]).orderBy("pos").collect()
     assert r["tool_output"] == "\n".join(x["block"] for x in listed)
     assert agent.ask(g, "What is nobody related to?")["tool_output"] == "No results found in knowledge graph."
-    broken = agent.ask(g._replace() if hasattr(g, "_replace") else None, "What is blue related to?")
-    assert "messages" not in broken and broken["doc_ids"] == []
+    broken = agent.ask(graph.Graph(g.vertices.drop("name"), g.edges, g.stats), "What is blue related to?")
+    assert "messages" not in broken and broken["doc_ids"] == [] and broken["error"]
+    with pytest.raises(AttributeError):
+        agent.ask(None, "What is blue related to?")  # a fault of the program is no answer
+
+
+def test_questions_by_concept(spark):
+    g = bindings.knowledge_graph(spark, "/root/testdata/sf0.001")
+    one = g.vertices.where("umls_cui IS NOT NULL").orderBy("id").first()
+    aliases = spark.createDataFrame([("my own word", one["umls_cui"], 0.9, "x", "y", None), ("weak", "C9", 0.2, "x", "y", None)], "alias string, umls_cui string, confidence double, canonical_name string, first_alias string, umls_semantic_types array<string>")
+    link = agent.linker(aliases)
+    assert link("My own word") == [one["umls_cui"]] and link("weak") == link("other") == link("") == [] and agent.linker(None)("x") == []
+    r = agent.ask(g, "What is my own word related to?", config=AgentConfig(min_evidence=1), concepts=link)
+    assert r["doc_ids"] and not agent.ask(g, "What is my own word related to?", config=AgentConfig(min_evidence=1))["doc_ids"]
+    assert linking.loaded(lambda: spark.read.parquet("/no/such/table")) is None and linking.loaded(lambda: aliases, LinkerConfig(enabled=False)) is None
+    assert graph.named_pair(g, one["name"].upper(), "nobody").count() == 0
 
 
 def test_run_and_resume(spark, tmp_path):
@@ -89,3 +107,127 @@ def test_stream_resumes(spark, tmp_path):
     spark.createDataFrame([("2", "b"), ("3", "c")], schema).write.mode("append").parquet(folder)
     assert resume.process_new(spark, folder, schema, out, mark, lambda d: d) == 3
     assert resume.process_new(spark, folder, schema, out, mark, lambda d: d) == 3
+
+
+TERMS = [("glucose", "bc5cdr", "CHEMICAL"), ("insulin", "bionlp", "GENE_OR_GENE_PRODUCT"), ("breast cancer", "bc5cdr", "DISEASE"), ("cancer", "bc5cdr", "DISEASE"), ("cancer", "bionlp", "CANCER"), ("TNF-α", "bionlp", "GGP"), ("HER2", "bionlp", "GGP")]
+
+
+@pytest.fixture(scope="module")
+def terms(spark):
+    return spark.createDataFrame(TERMS, "term string, source_model string, source_label string")
+
+
+@pytest.fixture(scope="module")
+def aliases(spark):
+    return spark.createDataFrame([("glucose", "C1", 0.9, "Glucose", "g", ["T1"]), ("her2", "C2", 0.95, "ERBB2", "h", None)], "alias string, umls_cui string, confidence double, canonical_name string, first_alias string, umls_semantic_types array<string>")
+
+
+def test_terms_of_several_words(spark, terms):
+    text = "HER2 in breast  cancer. Cancer, tnf-α and TNF α; HER22 Breast-cancer\nbreast\tCancer cancer"
+    docs = spark.createDataFrame([("d", text)], "doc_id string, text string")
+    rows = mentions.annotate(docs, terms).orderBy("mention_seq", "source_model").collect()
+    assert all(text[r["start_pos"] : r["end_pos"]] == r["text"] for r in rows)
+    assert [r["text"] for r in rows if r["source_model"] == "bc5cdr"] == ["breast  cancer", "Cancer", "cancer", "breast\tCancer", "cancer"]
+    assert [r["text"] for r in rows if r["source_model"] == "bionlp"] == ["HER2", "cancer", "Cancer", "tnf-α", "cancer", "Cancer", "cancer"]
+    assert not [r for r in rows if r["source_model"] == "bc5cdr" and r["text"].lower() == "cancer" and text[: r["start_pos"]].lower().endswith(("breast  ", "breast\t"))]
+    assert mentions.annotator_info(terms)["models"]["bc5cdr"] == {"terms": 3, "labels": ["CHEMICAL", "DISEASE"]}
+
+
+def test_texts_in_request_order(spark, terms, aliases, tmp_path):
+    out = str(tmp_path / "nlp")
+    texts = ["HER2 and glucose.", "nothing here", "Insulin or breast cancer? Glucose."]
+    rows = pipeline.process_texts(spark, texts, terms, aliases, out, ["z", "a", "m"]).collect()
+    assert [(r["pos"], r["id"], dict(r["entities"])) for r in rows] == [(0, "z", {"gene": ["HER2"], "chemical": ["glucose"]}), (1, "a", {}), (2, "m", {"gene": ["Insulin"], "disease": ["breast cancer", "cancer"], "chemical": ["Glucose"]})]
+    assert [r["id"] for r in pipeline.process_texts(spark, [*texts, "glucose"], terms, aliases, out, ["z", "a", "m", "new"]).collect()] == ["z", "a", "m", "new"]
+    assert len({r["id"] for r in pipeline.process_texts(spark, ["x", "x"], terms, None, str(tmp_path / "other")).collect()}) == 2
+    with pytest.raises(ValueError):
+        pipeline.process_texts(spark, texts, terms, aliases, out, ["z"])
+    assert pipeline.process_text(spark, "insulin", terms, None, str(tmp_path / "demo"))["entities"] == {"gene": ["insulin"]}
+    loaded = {r["id"]: r for r in pipeline.load_processed(spark, out).collect()}
+    assert [e["umls_cui"] for e in loaded["z"]["entities"]] == ["C2", "C1"] and loaded["a"]["entities"] == [] and loaded["z"]["extras"] == {}
+    info = documents.info(spark.read.parquet(f"{out}/documents"))
+    assert info["doc_count"] == 4 and info["processed_at"] is not None
+    with pytest.raises(RuntimeError):
+        linking.check_updated(0, 3)
+    linking.check_updated(0, 0)
+    bench = metrics.benchmark(lambda: terms, lambda t: mentions.annotate(spark.createDataFrame([("d", "glucose")], "doc_id string, text string"), t), spark.range(2))
+    assert (bench["mentions"], bench["per_document"], bench["labels"]) == (1, 0.5, ["CHEMICAL"]) and bench["run_seconds"] > 0
+
+
+def test_link_fields_that_are_kept(spark):
+    found = spark.createDataFrame([("d", "a", "gene", "C", 0.1, "n", ["T9"])], "doc_id string, text string, entity_type string, umls_cui string, linking_confidence double, umls_preferred_name string, umls_semantic_types array<string>")
+    links = spark.createDataFrame([("a", "C1", 0.9, "A", [])], "text string, umls_cui string, linking_confidence double, umls_preferred_name string, umls_semantic_types array<string>")
+    assert linking.apply_links(found, links).first()["umls_semantic_types"] is None
+    kept = linking.apply_links(found, links, keep_types=True).first()
+    assert kept["umls_semantic_types"] == ["T9"] and kept["umls_cui"] == "C1"
+
+
+def test_searches(spark, tmp_path):
+    a, b = str(tmp_path / "abstracts"), str(tmp_path / "full")
+    one = "<S><PubmedArticle><PMID>{}</PMID><ArticleTitle>insulin</ArticleTitle></PubmedArticle></S>"
+    spark.createDataFrame([(str(i), f"2024-01-{i % 28 + 1:02d}", one.format(i)) for i in range(60)] * 2, "pmid string, day string, xml string").write.parquet(a)
+    spark.createDataFrame([("5", "2024-01-01", FULL.replace("<pmc>", "<pmc><!-- insulin -->"))], "pmid string, day string, xml string").write.parquet(b)
+    all_ = [r["pmid"] for r in literature.search(spark, a, "Insulin", 60).collect()]
+    assert len(all_) == len(set(all_)) == 60
+    assert [r["pmid"] for r in literature.search(spark, a, "insulin", 7, start=50).collect()] == all_[50:57]
+    assert literature.search(spark, a, "insulin", 40, cap=10, year=2024).count() == 40 and literature.search(spark, a, "nothing", 5).count() == 0
+    assert [w[0] for w in literature.plan(spark, a, "insulin", 40, 20, 2024)] == ["2024-01-01", "2024-01-08", "2024-01-15"]
+    ids = spark.createDataFrame([("3",), ("3",), ("99",)], "pmid string")
+    got = literature.fetch(spark, a, ids)
+    assert [r["pmid"] for r in got.collect()] == ["3"] and [r["pmid"] for r in documents.missing_ids(ids, got).collect()] == ["99"]
+    name, found = literature.first_working(spark, {"gone": ("/no/such/table", True), "empty": (a, True), "full": (b, True), "abstracts": (a, False)}, "insulin")
+    assert name == "full" and found.count() == 2
+    assert literature.first_working(spark, {"gone": ("/no/such/table", True)}, "x") == (None, None)
+
+
+def test_requests(spark):
+    def service(ids):
+        if "bad" in ids:
+            return "<ERROR>no such id</ERROR>"
+        return "<S>" + "".join(f"<PubmedArticle><PMID>{i}</PMID></PubmedArticle>" for i in ids) + "</S>"
+
+    spark.dataSource.register(literature.requests(service))
+    rows = spark.read.format("literature_requests").options(ids="1,2,3,bad,4", batch=2, pause=0, wait=0).load()
+    assert sorted(r["pmid"] for r in articles.articles(rows).collect()) == ["1", "2", "4"]
+    calls = []
+
+    def down():
+        calls.append(1)
+        raise OSError("down")
+
+    assert literature.with_retry(down, 3, 0, "none") == "none" and len(calls) == 3
+
+
+def test_tables(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([("10", 'a"b'), ("9", None), ("1", "ü")], "pmid string, v string")
+    store.write(df, path)
+    assert [r["pmid"] for r in store.ordered(spark, path).collect()] == ["1", "10", "9"] and store.reachable(spark, path) and not store.reachable(spark, path + "x")
+    store.write_json_array(spark.read.parquet(path), path + ".json", ["pmid"])
+    store.write_json_array(spark.read.parquet(path).limit(0), path + ".none", ["pmid"])
+    read = lambda p: json.loads("".join(f.read_text(encoding="utf-8") for f in sorted(Path(p).glob("part-*"))))
+    assert read(path + ".json") == [{"pmid": "1", "v": "ü"}, {"pmid": "10", "v": 'a"b'}, {"pmid": "9", "v": None}] and read(path + ".none") == []
+    store.replace(spark.read.parquet(path).where("pmid <> '9'"), path)
+    assert spark.read.parquet(path).count() == 2
+    Path(path).rename(path + ".old")
+    assert store.restore(spark, path) and spark.read.parquet(path).count() == 2 and not store.restore(spark, path + "y")
+    assert store.point(spark, path, "v", 'a"b')["pmid"] == "10" and store.point(spark, path, "v", "\\' OR 1=1") is None
+    ids = spark.createDataFrame([(0, "12"), (1, "3"), (2, "12"), (3, "412")], "pos int, id string")
+    assert [r["id"] for r in documents.shown(ids, "12").collect()] == ["12", "412"] and [r["id"] for r in documents.shown(ids, " ").collect()] == ["12"] and documents.shown(ids, "x").count() == 0
+    assert [r["v"] for r in metrics.by_length(df, "v").collect()] == ['a"b', "ü", None]
+
+
+def test_merged_graph(spark, tmp_path):
+    kg, out = str(tmp_path / "kg"), str(tmp_path / "graph")
+    vertex = "id string, name string, entity_type string, umls_cui string"
+    pair = "entity_a_id string, entity_b_id string, sent_count long, docs_count long, doc_ids_sample array<string>, evidence_sentences array<string>"
+    store.write(spark.createDataFrame([("a", "a", "gene", None), ("b", "b", "gene", None)], vertex), f"{kg}/entity")
+    store.write(spark.createDataFrame([("a", "b", 5, 5, ["1"], ["s"])], pair), f"{kg}/cooccurrence")
+    pipeline.merge_graph(spark, kg, out)
+    store.write(spark.createDataFrame([("b", "new", "gene", None), ("c", "c", "gene", None)], vertex), f"{kg}/entity")
+    store.write(spark.createDataFrame([("b", "c", 3, 2, ["2"], ["t"])], pair), f"{kg}/cooccurrence")
+    for _ in range(2):
+        pipeline.merge_graph(spark, kg, out)
+    g = pipeline.load_graph(spark, out)
+    assert {r["id"]: r["name"] for r in g.vertices.collect()} == {"a": "a", "b": "new", "c": "c"} and graph.duplicate_ids(g.vertices).count() == 0
+    assert sorted((r["src"], r["dst"], r["docs_count"]) for r in g.edges.collect()) == [("a", "b", 5), ("b", "a", 5), ("b", "c", 2), ("c", "b", 2)]
