@@ -19,7 +19,7 @@ BINS, BITS, WORDS = 256, 8, 5
 #: Looks at drawn bins before an empty bin ranks all filled ones by the same kind of draw.
 TRIES = 8
 #: Rows of one range of ids, and ranges at most.
-RANGE_ROWS, MOST_RANGES = 2000, 4096
+RANGE_ROWS, MOST_RANGES = 2000, 16_384
 
 
 def _draws(seed: int = 5) -> list[list[int]]:
@@ -74,7 +74,7 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, carried: list[str], key: str = "doc_id") -> DataFrame:
     """Each row with the ``carried`` columns of the row that follows it in descending order of ``key``, as ``next_*``.
 
-    After the last row comes the first. Rows are dealt to ranges of keys, whose bounds (4096 at most) the driver gets; the
+    After the last row comes the first. Rows are dealt to ranges of keys, whose bounds (16,384 at most) the driver gets; the
     first row of each range is copied behind the last one of the range before it, so that no task sees all rows. Rows of
     one key follow each other by the hash of their carried columns, null keys come last; if no row has a key, the
     last row's ``next_*`` are null.

@@ -28,7 +28,7 @@ from .tables import cut, drop, rows_of, ship, slices
 LIMIT, STEP = 20, 1024
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
 #: Documents of one range of ids, and ranges at most.
-RANGE_ROWS, MOST_RANGES = 500, 4096
+RANGE_ROWS, MOST_RANGES = 500, 16_384
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -174,14 +174,14 @@ class LibraryIds:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian bytes of :attr:`kind`."""
         parts = [None if t and self.split.has_special(t) else self.split.words(t or "") for t in texts]
-        self._remember({w for p in parts if p is not None for w in p if len(w) <= LONG_WORD} - self.words.keys())
+        known = self.words
+        self._remember([w for w in set().union(*filter(None, parts)) if w not in known and len(w) <= LONG_WORD])
         get = self.words.__getitem__
         return [self._alone(t or "") if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
 
-    def _remember(self, new: set[str]) -> None:
+    def _remember(self, new: list[str]) -> None:
         if len(self.words) + len(new) > self.words.most:
             self.words.clear()  # words of this batch that were known are asked for one by one
-        new = list(new)
         self.words.update(zip(new, self._many(new), strict=True))
 
 
@@ -277,7 +277,7 @@ def _read(batches: Iterator[pa.RecordBatch], ids: bytes, lengths: bytes, digests
 def write_ids(docs: DataFrame, path: str, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> None:
     """Write the ids of all whole texts, each with ``end_id`` behind them, in ascending order of id, to the folder ``path``.
 
-    Only the counts of the vocabulary's ids and the bounds of ranges (4096 at most) reach the driver. Coded documents, not
+    Only the counts of the vocabulary's ids and the bounds of ranges (16,384 at most) reach the driver. Coded documents, not
     ids, are shuffled, by ranges of ids, so that no task sees them all.
 
     Cases: null or empty text is the end id alone; null ids come first; rows repeated under one id are ordered by what they
@@ -306,7 +306,11 @@ def write_ids(docs: DataFrame, path: str, vocab_path: str, *, id_col: str = "doc
 def read_ids(spark: SparkSession, path: str, *, digests: bool = False) -> DataFrame:
     """The documents of a file set: ``doc_id, start, n_tokens, ids``, with ``digests`` ``ids_crc32`` instead of ids.
 
-    ``start`` is the number of ids of all documents before. ``ids_crc32`` is over unsigned little-endian 32-bit ids.
+    ``start`` is the number of ids of all documents before. ``ids_crc32`` is over unsigned little-endian 32-bit ids. The code and one
+    sum for each range reach the driver; a task holds one block.
+
+    Cases: repeated and null ids come back as they were written; a file set without documents gives no rows; a folder that is no
+    file set raises.
     """
     ship(spark)
     code = spark.read.parquet(f"{path}/code").orderBy("id").toPandas()
