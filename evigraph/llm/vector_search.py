@@ -298,7 +298,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", v
     nodes = members.select("node", "embedding", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int").alias("shard"))
     least = -1 if exact else beam
     row = f"shard int, kind int, place long, id long, entry boolean, beam int, embedding array<{number}>, arcs array<int>"
-    graph = cut(nodes.groupBy("shard").applyInPandas(lambda pdf: _built(pdf, k, least), row), "graph")
+    graph = cut(nodes.repartitionById(shards, "shard").groupBy("shard").applyInPandas(lambda pdf: _built(pdf, k, least), row), "graph")
     each = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
     lines = asked.select(each, F.lit(1).alias("kind"), F.col("vec_id").alias("place"), F.col("vec_id").alias("id"), F.lit(False).alias("entry"), F.lit(0).alias("beam"), "embedding", F.array().cast("array<int>").alias("arcs"))
     stream = graph.unionByName(lines).repartitionById(shards, "shard").sortWithinPartitions("shard", "kind", "place")
