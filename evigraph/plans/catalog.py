@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 from ..config import FilterConfig, LinkerConfig, NerConfig
 from ..functions import text
 from ..operators import cooccurrence, documents, filtering, graph, ids, linking, mentions, metrics
+from ..schemas import LABEL_TYPES
 from ..sources import articles, store
 from ..streaming import resume
-from . import agent, bindings
+from . import agent, bindings, pipeline
 from .bindings import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,10 +211,14 @@ def mention_dedup_priority(spark, sf):
     return kept.groupBy("doc_id", F.lower("text").alias("name"), F.floor(F.col("start_pos") / 5).cast("int").alias("bucket")).agg(F.count("*").alias("kept"))
 
 
-@query("""SELECT p_brand AS label, count(*) AS parts, CASE p_brand WHEN 'none' THEN 'x' ELSE 'unknown' END AS entity_type, CASE split_part(p_name, ' ', 2) WHEN 'ring' THEN 'anatomy' WHEN 'rod' THEN 'gene' ELSE 'unknown' END AS mapped FROM part GROUP BY ALL""")
+LABELS = [*LABEL_TYPES, "no such label"]
+
+
+@query(f"""SELECT p_partkey, {LABELS!r}[p_partkey % {len(LABELS)} + 1] AS label, {[*LABEL_TYPES.values(), "unknown"]!r}[p_partkey % {len(LABELS)} + 1] AS entity_type FROM part""")
 def label_type_mapping(spark, sf):
-    label = F.when(F.split_part("p_name", F.lit(" "), F.lit(2)) == "ring", F.lit("ORGAN")).when(F.split_part("p_name", F.lit(" "), F.lit(2)) == "rod", F.lit("GGP")).otherwise(F.lit("other"))
-    return table(spark, sf, "part").groupBy(F.col("p_brand").alias("label"), text.type_of_label(F.col("p_brand")).alias("entity_type"), text.type_of_label(label).alias("mapped")).agg(F.count("*").alias("parts"))
+    """Every label that an annotator may give, and one that none gives."""
+    label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), (F.col("p_partkey") % len(LABELS) + 1).cast("int")).alias("label")
+    return table(spark, sf, "part").select("p_partkey", label).select("p_partkey", "label", text.type_of_label(F.col("label")).alias("entity_type"))
 
 
 @query("""WITH t AS (SELECT p_partkey, p_name || CASE p_partkey % 5 WHEN 0 THEN ' inhibitors' WHEN 1 THEN ' Antibody' WHEN 2 THEN ' syndrome' WHEN 3 THEN ' inhibition pathway' ELSE '' END AS text, ['gene', 'chemical', 'disease', 'amino_acid'][p_partkey % 4 + 1] AS kind FROM part)
@@ -584,3 +590,25 @@ def incremental_documents(spark, sf):
         store.append(docs.where(F.crc32("id") % 2 < part), f"{out}/in")  # the second run's files repeat the first one's rows
         resume.process_new(spark, f"{out}/in", "id string, text string", f"{out}/done", f"{out}/mark", work)
     return spark.read.parquet(f"{out}/done").select("id", F.col("size").cast("long").alias("size"))
+
+
+GAZETTEER = """w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents), t AS (SELECT term FROM w WHERE length(term) >= 4 GROUP BY term HAVING count(*) >= 20)"""
+
+
+@query(f"""WITH {GAZETTEER}, a AS (SELECT doc_id, ltrim(rtrim(text)) AS text FROM documents WHERE doc_id % 50 <> 49),
+s AS (SELECT doc_id, regexp_extract_all(text, '[^\\p{{L}}\\p{{N}}]*[\\p{{L}}\\p{{N}}]+') AS c FROM a), p AS (SELECT doc_id, unnest(c) AS c, unnest(range(len(c))) AS i FROM s),
+e AS (SELECT doc_id, regexp_extract(c, '[\\p{{L}}\\p{{N}}]+$') AS text, sum(length(c)) OVER (PARTITION BY doc_id ORDER BY i) AS end_pos FROM p), hits AS (SELECT doc_id, lower(text) AS name, (end_pos - length(text)) // 5 AS bucket FROM e JOIN t ON t.term = lower(e.text))
+SELECT 'documents' AS what, count(*) AS n FROM a UNION ALL SELECT 'mentions', count(*) FROM (SELECT DISTINCT * FROM hits) UNION ALL SELECT 'entities', count(DISTINCT name) FROM hits UNION ALL SELECT 'vertices', count(DISTINCT name) FROM hits""")
+def whole_run(spark, sf):
+    """All steps of a run over a literature store of the documents: search, parse, annotate, link, tables and graph; then a run with nothing left."""
+    out = f"{store.work_folder(spark)}/run-{uuid.uuid4().hex}"
+    store.forget_later(spark, out)
+    day = F.concat((F.lit(2000) + F.col("doc_id") % 20).cast("string"), F.lit("-01-01"))
+    store.write(bindings.article_xml(spark, sf).select(F.col("doc_id").cast("string").alias("pmid"), day.alias("day"), "xml"), f"{out}/literature")
+    aliases = spark.createDataFrame([], "alias string, umls_cui string, confidence double, canonical_name string, first_alias string, umls_semantic_types array<string>")
+    store.write(bindings.dictionary(spark, sf), f"{out}/terms")
+    terms = spark.read.parquet(f"{out}/terms")
+    pipeline.run(spark, f"{out}/literature", "pubmedarticle", 1 << 60, terms, aliases, out)
+    pipeline.resume(spark, terms, aliases, out)
+    counts = {"documents": "nlp/documents", "mentions": "kg/mention", "entities": "kg/entity", "vertices": "graph/vertices"}
+    return reduce(DataFrame.unionByName, [spark.read.parquet(f"{out}/{t}").agg(F.lit(k).alias("what"), F.count("*").alias("n")).select("what", "n") for k, t in counts.items()])
