@@ -171,7 +171,7 @@ def test_searches(spark, tmp_path):
     assert len(all_) == len(set(all_)) == 60
     assert [r["pmid"] for r in literature.search(spark, a, "insulin", 7, start=50).collect()] == all_[50:57]
     assert literature.search(spark, a, "insulin", 40, cap=10, year=2024).count() == 40 and literature.search(spark, a, "nothing", 5).count() == 0
-    assert [w[0] for w in literature.plan(spark, a, "insulin", 40, 20, 2024)] == ["2024-01-01", "2024-01-08", "2024-01-15"]
+    assert [w[0] for w in literature.plan(literature._per_day(spark.read.parquet(a), "insulin"), 40, 20, 2024)] == ["2024-01-01", "2024-01-08", "2024-01-15"]
     ids = spark.createDataFrame([("3",), ("3",), ("99",)], "pmid string")
     got = literature.fetch(spark, a, ids)
     assert [r["pmid"] for r in got.collect()] == ["3"] and [r["pmid"] for r in documents.missing_ids(ids, got).collect()] == ["99"]
