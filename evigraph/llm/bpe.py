@@ -227,7 +227,8 @@ class Splitter:
         self.specials = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.special = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
         self.begin = os.path.commonprefix(list(self.specials)) if self.specials else ""
-        library = Tokenizer.from_str(spec)
+        data["model"] = {"type": "BPE", "vocab": {}, "merges": []}  # nothing but the normaliser and the splitter is asked of it
+        library = Tokenizer.from_str(json.dumps(data | {"added_tokens": []}))
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         parts = lambda x, name: x[name] if x and x["type"] == "Sequence" else [x]
         self.known = parts(data["normalizer"], "normalizers") == KNOWN_NORMALIZER and parts(data["pre_tokenizer"], "pretokenizers") == KNOWN_SPLITTER
@@ -275,7 +276,7 @@ def _latin_words(below: int):
 class Tokenizer:
     """Encodes and decodes whole texts by the automaton of one vocabulary file's content."""
 
-    def __init__(self, spec: str, word_memo: int = 500_000):
+    def __init__(self, spec: str, word_memo: int = 200_000):
         data = json.loads(spec)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in data["model"]["merges"]]
         self.automaton = Automaton(data["model"]["vocab"], merges)

@@ -95,6 +95,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, most_bytes: int =
         ends = [*cuts[1:], n]
         for a, b in zip(cuts, ends, strict=False):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # workers live on and share an executor's memory
 
 
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
