@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,34 +81,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows()
 
 
-def _bundle(batches: Iterator[pa.RecordBatch], size: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """Partial bundles by language: the sums of the bound vectors of counted trigrams, how many they are, and how many different ones."""
-    total: dict[str, np.ndarray] = {}
-    count: dict[str, list[int]] = {}
-
-    def rows():
-        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.int64())), *(pa.array([count[k][i] for k in total], pa.int64()) for i in (0, 1))], ["lang", "total", "n", "kinds"])
-
-    for batch in slices(batches, 8192):
-        langs = batch.column(0).dictionary_encode()
-        at, grams, n = langs.indices.to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        for i, lang in enumerate(langs.dictionary.to_pylist()):
-            if len(total) >= 64 and lang not in total:
-                yield rows()
-                total, count = {}, {}
-            mine = at == i
-            total[lang] = total.get(lang, 0) + np.rint(n[mine].astype(np.float64) @ bound(grams[mine], size, seed)).astype(np.int64)
-            c = count.setdefault(lang, [0, 0])
-            c[0] += int(n[mine].sum())
-            c[1] += int(mine.sum())
-    if total:
-        yield rows()
+def _bundle(counts: pd.DataFrame, size: int, seed: int) -> pd.DataFrame:
+    """The bundle of one language: the sum of the bound vectors of its counted trigrams, how many they are, and how many different ones."""
+    total = np.zeros(size, np.int64)
+    grams, n = counts["gram"].to_numpy(), counts["n"].to_numpy()
+    for low in range(0, len(grams), 8192):
+        total += np.rint(n[low : low + 8192].astype(np.float64) @ bound(grams[low : low + 8192], size, seed)).astype(np.int64)
+    return pd.DataFrame({"lang": [counts["lang"].iloc[0]], "total": [total], "n": [int(n.sum())], "kinds": [len(grams)]})
 
 
 def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", size: int = 1024, seed: int = 11) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Languages, their unit prototypes, their coherence and how many different trigrams they were learned from, from all rows with a language.
 
-    Trigrams are counted and bundled in the tasks; one vector of ``size`` whole numbers for each language reaches the driver,
+    Trigrams are counted in the tasks and bundled language by language, no more than 64^3 counts of each; one vector of ``size`` whole numbers for each language reaches the driver,
     and :data:`MOST_LANGS` languages at most: what is sent to all tasks is bounded by that, so more are an error. The
     coherence of a language is the mean inner product of its trigrams with its prototype.
 
@@ -116,15 +102,12 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", si
     """
     base = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
     counts = base.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    parts = cut(counts.mapInArrow(lambda it: _bundle(it, size, seed), "lang string, total array<long>, n long, kinds long"), "bundles")
-    found = parts.select("lang").distinct().limit(MOST_LANGS + 1).count()
-    if found > MOST_LANGS:
+    bundles = cut(counts.groupBy("lang").applyInPandas(lambda c: _bundle(c, size, seed), "lang string, total array<long>, n long, kinds long"), "bundles")
+    if bundles.limit(MOST_LANGS + 1).count() > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages: these are not language names")
-    sums = parts.select("lang", F.posexplode("total")).groupBy("lang", "pos").agg(F.sum("col").alias("v"))
-    vectors = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("e")).select("lang", F.col("e.v").alias("v"))
-    rows = vectors.join(parts.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")), "lang").orderBy("lang").collect()
-    drop(parts)
-    totals = np.array([r["v"] for r in rows], np.float64).reshape(len(rows), size)
+    rows = bundles.orderBy("lang").collect()
+    drop(bundles)
+    totals = np.array([r["total"] for r in rows], np.float64).reshape(len(rows), size)
     norms = np.linalg.norm(totals, axis=1)
     return [r["lang"] for r in rows], totals / np.maximum(norms, 1e-12)[:, None], norms / np.maximum([r["n"] for r in rows], 1), np.array([r["kinds"] for r in rows], np.float64)
 
