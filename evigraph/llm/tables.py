@@ -102,8 +102,8 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Components of an undirected graph given as ``u, v`` (long); returns ``node, label`` with the smallest member.
 
     Each round takes the smallest label among neighbours and then jumps to that label's own label, so that
-    the number of rounds grows with the logarithm of the longest path. Joins are of written tables, so that Spark can
-    split the rows of a hot centre or label. Labels stay distributed: only the count of changed rows reaches the driver. Null ends and loops are ignored; no edges give no rows.
+    the number of rounds grows with the logarithm of the longest path. Edges and labels are joined as written tables, so that
+    Spark can split the rows of a hot centre. Labels stay distributed: only the count of changed rows reaches the driver. Null ends and loops are ignored; no edges give no rows.
     """
     both = cut(
         edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
@@ -112,11 +112,11 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least("node", F.min("v")).alias("label")), f"{name}-labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        step = cut(labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was")), f"{name}-step")
+        step = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         roots = step.select(F.col("node").alias("label"), F.col("label").alias("root"))
         new = cut(step.join(roots, "label").select("node", F.least("label", "root").alias("label"), (F.least("label", "root") < F.col("was")).alias("changed")), f"{name}-labels")
         changed = new.where("changed").limit(1).count()
-        drop(labels, step)
+        drop(labels)
         labels = new
         if not changed:
             drop(both)
