@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mixing, sharding
+from . import filter_audit, lexical_search, license_scan, mixing, secret_scan, sharding
 from .bpe import bpe
 from .fingerprints import fingerprints
 from .html_text import main_text
@@ -83,11 +83,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove of every language's documents, in each order."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents that match each benchmark item best."""
+    return lexical_search.search(lexical_search.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, with those that only their targets' names give away."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"), digests=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from corpus_pipeline import run  # it takes the vocabulary from here
 
-    return {"pipeline": run} | {f.__name__: f for f in (op1_sharding, op2_vector_search, op3_near_duplicates, op4_license_scan, op5_language_id, op6_html_text, op7_token_files, op8_fingerprints, op9_bpe, op10_mixing)}
+    return {"pipeline": run} | {f.__name__: f for f in (op1_sharding, op2_vector_search, op3_near_duplicates, op4_license_scan, op5_language_id, op6_html_text, op7_token_files, op8_fingerprints, op9_bpe, op10_mixing, op11_filter_audit, op12_lexical_search, op13_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.oracle(SHARDS, sharding.slots_for(SHARDS)), "op4_license_scan": license_scan.oracle(), "op10_mixing": mixing.oracle()}
+    return {"op1_sharding": sharding.oracle(SHARDS, sharding.slots_for(SHARDS)), "op4_license_scan": license_scan.oracle(), "op10_mixing": mixing.oracle(), "op11_filter_audit": filter_audit.oracle(), "op12_lexical_search": lexical_search.oracle()}
