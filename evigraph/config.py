@@ -37,8 +37,12 @@ class LinkerConfig:
     enabled: bool = True
     core_model: str = "dictionary"
     confidence_threshold: float = 0.7
+    #: Texts without an alias of their own take the concept of the most similar one from here on; None: equal names alone.
+    least_similarity: float | None = None
 
     def __post_init__(self):
+        if self.least_similarity is not None and not 0 < self.least_similarity <= 1:
+            raise ValueError("least_similarity must be above 0 and at most 1")
         if not self.core_model.strip():
             raise ValueError("core_model must not be empty")
         if not 0 <= self.confidence_threshold <= 1:
@@ -48,7 +52,7 @@ class LinkerConfig:
 @dataclass(frozen=True)
 class NerConfig:
     model_priorities: dict[str, int] = field(default_factory=lambda: {"bionlp": 3, "craft": 2, "bc5cdr": 1})
-    linker: LinkerConfig = field(default_factory=LinkerConfig)
+    linker: LinkerConfig = field(default_factory=lambda: LinkerConfig(least_similarity=0.7))
 
     def __post_init__(self):
         if not self.model_priorities:

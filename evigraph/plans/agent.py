@@ -111,8 +111,8 @@ def cited(ids: list[str], answer: str) -> list[str]:
     return found or ids
 
 
-def linker(aliases: DataFrame | None, config: LinkerConfig = LinkerConfig()) -> Linker:
-    """Terms of questions linked by an alias table."""
+def linker(aliases: DataFrame | None, config: LinkerConfig = LinkerConfig(least_similarity=0.7)) -> Linker:
+    """Terms of questions linked by an alias table, also where they are written a little otherwise."""
     return lambda term: linking.concepts(term, aliases, config)
 
 

@@ -95,6 +95,15 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.select("term", F.element_at(F.array(F.lit("bionlp"), F.lit("bc5cdr"), F.lit("craft")), kind + 1).alias("source_model"), label.alias("source_label"))
 
 
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of one to three words: the words of :func:`dictionary`, and runs of two that 12 documents have or of three that six have."""
+    runs = lambda n: F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?=((?<![\p{L}\p{N}])[\p{L}\p{N}]+" + r"[ ][\p{L}\p{N}]+" * (n - 1) + r"(?![\p{L}\p{N}])))"), F.lit(1)))).alias("term")
+    docs, kind = table(spark, sf_dir, "documents"), F.length("term") % 3
+    many = lambda n, least: docs.select("doc_id", runs(n)).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least).select("term")
+    terms = many(1, 20).where(F.length("term") >= 4).unionByName(many(2, 12)).unionByName(many(3, 6))
+    return terms.select("term", F.element_at(F.array(F.lit("bionlp"), F.lit("bc5cdr"), F.lit("craft")), kind + 1).alias("source_model"), F.element_at(F.array(F.lit("GGP"), F.lit("DISEASE"), F.lit("CHEBI")), kind + 1).alias("source_label"))
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as article records."""
     d = table(spark, sf_dir, "documents")
