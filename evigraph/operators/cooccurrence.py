@@ -38,16 +38,37 @@ def counts(ctx: DataFrame) -> DataFrame:
     return per.groupBy("entity_a_id", "entity_b_id").agg(F.sum("n").alias("sent_count"), F.count("*").alias("docs_count"))
 
 
+def _chosen(mentions: DataFrame, most: int) -> DataFrame:
+    within = Window.partitionBy("entity_a_id", "entity_b_id", "doc_id").orderBy("seq", "sentence_id")
+    ranked = contexts(mentions).withColumn("turn", F.row_number().over(within)).where(F.col("turn") <= most)
+    across = Window.partitionBy("entity_a_id", "entity_b_id").orderBy("turn", "doc_id")
+    return ranked.withColumn("pos", F.row_number().over(across)).where(F.col("pos") <= most)
+
+
 def evidence(mentions: DataFrame, most: int = EVIDENCE) -> DataFrame:
     """Sampled sentences of each pair, ``pos`` from 1: each document's first sentence by document id, then the second ones.
 
     Sentences are chosen by their numbers; texts are joined to the chosen ones alone.
     """
-    within = Window.partitionBy("entity_a_id", "entity_b_id", "doc_id").orderBy("seq", "sentence_id")
-    ranked = contexts(mentions).withColumn("turn", F.row_number().over(within)).where(F.col("turn") <= most)
-    across = Window.partitionBy("entity_a_id", "entity_b_id").orderBy("turn", "doc_id")
-    chosen = ranked.withColumn("pos", F.row_number().over(across)).where(F.col("pos") <= most)
-    return chosen.join(texts(mentions), ["doc_id", "sentence_id"]).select("entity_a_id", "entity_b_id", "pos", "doc_id", "sentence_text")
+    return _chosen(mentions, most).join(texts(mentions), ["doc_id", "sentence_id"]).select("entity_a_id", "entity_b_id", "pos", "doc_id", "sentence_text")
+
+
+def partial(mentions: DataFrame, most: int = EVIDENCE) -> DataFrame:
+    """What a batch of whole documents adds to each pair: ``entity_a_id, entity_b_id, sent_count, docs_count, evidence``.
+
+    ``evidence`` has the batch's best ``most`` sentences as ``turn, doc_id, sentence_text``: turns within a document do not depend on
+    others, so the best of all batches are among the best of each.
+    """
+    keys = ["entity_a_id", "entity_b_id"]
+    lists = _chosen(mentions, most).join(texts(mentions), ["doc_id", "sentence_id"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("turn", "doc_id", "sentence_text"))).alias("evidence"))
+    return counts(contexts(mentions)).join(lists, keys)
+
+
+def merged(states: DataFrame, most: int = EVIDENCE) -> DataFrame:
+    """The pairs of all batches from their :func:`partial` states, as :func:`cooccurrences` of all their mentions gives them."""
+    best = F.slice(F.sort_array(F.flatten(F.collect_list("evidence"))), 1, most)  # a few sentences from each batch
+    rows = states.groupBy("entity_a_id", "entity_b_id").agg(F.sum("sent_count").alias("sent_count"), F.sum("docs_count").alias("docs_count"), best.alias("e"))
+    return rows.select("entity_a_id", "entity_b_id", "sent_count", "docs_count", F.col("e.doc_id").alias("doc_ids_sample"), F.col("e.sentence_text").alias("evidence_sentences"))
 
 
 def cooccurrences(mentions: DataFrame, most: int = EVIDENCE) -> DataFrame:

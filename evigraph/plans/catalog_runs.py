@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import astuple
+
 from pyspark.sql import functions as F
 
 from ..config import LinkerConfig
-from ..operators import candidates, linking, mentions
-from . import bindings
+from ..operators import candidates, ids, linking, mentions
+from ..sources import batches, literature, store
+from . import bindings, pipeline
 from .bindings import table
-from .catalog import ENTITY, _aliases, query
+from .catalog import CONTEXT, ENTITY, EVIDENCE, _aliases, query
 
 # ---- near-miss linking ---------------------------------------------------------------------------------------------------------
 #: The trigrams of a name in DuckDB.
@@ -48,3 +52,73 @@ SELECT doc_id::VARCHAR AS doc_id, a::INT AS start_pos, b::INT AS end_pos, ['bion
 def phrase_mentions(spark, sf):
     """Mentions of terms of one, two and three words in all documents; of one model's mentions within each other the longest."""
     return mentions.annotate(table(spark, sf, "documents"), bindings.phrases(spark, sf)).select("doc_id", "start_pos", "end_pos", "source_model")
+
+
+# ---- tables that grow by batches -----------------------------------------------------------------------------------------------
+def _folder(spark, name):
+    out = f"{store.work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    store.forget_later(spark, out)
+    return out
+
+
+def _three_batches(spark, sf):
+    """The annotations of the orders as they come in three batches, each added to the tables of the graph; the tables' folder."""
+    out = _folder(spark, "grown")
+    found = bindings.found(spark, sf)
+    for i in range(3):
+        mine = found.where(F.crc32("doc_id") % 3 == i)
+        batches.write(mine, f"{out}/nlp/entities", batches.numbered(i))
+        batches.write(mine.select(F.col("doc_id").alias("id")).distinct(), f"{out}/nlp/documents", batches.numbered(i))
+        pipeline.extend_kg(spark, f"{out}/nlp", f"{out}/kg")
+    return f"{out}/kg"
+
+
+@query(f"""WITH {ENTITY}, {CONTEXT}, {EVIDENCE} SELECT ea AS entity_a_id, eb AS entity_b_id, sent_count, docs_count, string_agg(doc_id, ',' ORDER BY pos) AS docs, string_agg(st, '|' ORDER BY pos) AS sentences FROM co JOIN ev USING (ea, eb) GROUP BY ALL""")
+def pairs_of_three_batches(spark, sf):
+    """Counts and evidence of all pairs, kept up to date over three batches without a second look at earlier mentions."""
+    rows = spark.read.parquet(f"{_three_batches(spark, sf)}/cooccurrence")
+    return rows.select("entity_a_id", "entity_b_id", "sent_count", "docs_count", F.array_join("doc_ids_sample", ",").alias("docs"), F.array_join("evidence_sentences", "|").alias("sentences"))
+
+
+@query(f"""WITH {ENTITY}, {CONTEXT}, f AS (SELECT entity_id AS id, min(row(doc_id, sentence_id)) AS first_at FROM men GROUP BY 1) SELECT ent.id, name, ent.entity_type, umls_cui FROM ent JOIN f USING (id)""")
+def entities_of_three_batches(spark, sf):
+    """Entities by their first mention, over three batches."""
+    return spark.read.parquet(f"{_three_batches(spark, sf)}/entity").select("id", "name", "entity_type", "umls_cui")
+
+
+# ---- searches ------------------------------------------------------------------------------------------------------------------
+DAYS = """d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN NULL WHEN doc_id % 3 = 0 THEN '2019-06-15' WHEN doc_id % 11 = 0 THEN '2019-06-' || lpad((1 + doc_id % 9)::VARCHAR, 2, '0') ELSE (2000 + doc_id % 20) || '-' || lpad((1 + doc_id % 12)::VARCHAR, 2, '0') || '-' || lpad((1 + doc_id % 28)::VARCHAR, 2, '0') END AS day FROM documents)"""
+CAP = 50
+
+
+def _literature(spark, sf):
+    """The documents as a literature store: a seventh without a day, a third of the others on one day."""
+    out, n = _folder(spark, "literature"), F.col("doc_id")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    plain = F.concat((F.lit(2000) + n % 20).cast("string"), F.lit("-"), two(1 + n % 12), F.lit("-"), two(1 + n % 28))
+    day = F.when(n % 7 == 3, F.lit(None)).when(n % 3 == 0, F.lit("2019-06-15")).when(n % 11 == 0, F.concat(F.lit("2019-06-"), two(1 + n % 9))).otherwise(plain)
+    store.write(bindings.article_xml(spark, sf).select(n.cast("string").alias("pmid"), day.alias("day"), "xml"), out)
+    return out
+
+
+@query(f"WITH {DAYS} SELECT doc_id::VARCHAR AS pmid, day FROM d")
+def search_for_everything(spark, sf):
+    """All records of a term that all have, dated or not, where a request may return 50 and one day has a third."""
+    return literature.search(spark, _literature(spark, sf), "PubMedArticle", 1 << 60, cap=CAP, year=2025).select("pmid", "day")
+
+
+@query(f"WITH {DAYS} SELECT doc_id::VARCHAR AS pmid, day FROM d ORDER BY day DESC NULLS LAST, pmid OFFSET 30 LIMIT 400")
+def search_for_the_newest(spark, sf):
+    """The records from the 31st to the 430th, newest first; the day that has a third of them is cut by pages."""
+    return literature.search(spark, _literature(spark, sf), "PubMedArticle", 400, cap=CAP, year=2025, start=30).select("pmid", "day")
+
+
+@query(f"""WITH {DAYS}, n AS (SELECT day, day[:4] AS y, day[:7] AS m, (day[9:10]::INT - 1) // 7 AS w, count(*) AS n FROM d WHERE day IS NOT NULL GROUP BY 1),
+t AS (SELECT *, sum(n) OVER (PARTITION BY y) AS in_y, sum(n) OVER (PARTITION BY m) AS in_m, sum(n) OVER (PARTITION BY m, w) AS in_w FROM n),
+s AS (SELECT CASE WHEN in_y <= {CAP} THEN y || '-01-01' WHEN in_m <= {CAP} THEN m || '-01' WHEN in_w <= {CAP} THEN m || '-' || lpad((w * 7 + 1)::VARCHAR, 2, '0') ELSE day END AS first_day, sum(n) AS n FROM t GROUP BY 1)
+SELECT first_day, k::BIGINT AS first_hit, least({CAP}, n - k)::BIGINT AS hits FROM s, LATERAL (SELECT unnest(range(0, n::BIGINT, {CAP})) AS k)""")
+def search_windows(spark, sf):
+    """The windows by which the whole store can be fetched: years, months, weeks, days and pages of days, none over 50."""
+    per_day = {d: n for d, n in literature._per_day(spark.read.parquet(_literature(spark, sf)), "pubmedarticle").items() if d is not None}
+    found = ids.windows(lambda a, b: sum(n for d, n in per_day.items() if a <= d <= b), 1 << 60, 2025, CAP)
+    return spark.createDataFrame([astuple(w) for w in found], "first_day string, last_day string, hits long, first_hit long").select("first_day", "first_hit", "hits")

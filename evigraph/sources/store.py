@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -44,8 +44,13 @@ def replace(df: DataFrame, path: str) -> None:
     The old table is moved aside before and removed last, so that at any moment one of them is whole; :func:`restore` puts
     right what a run that broke off between the moves has left.
     """
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{path}.new")
+    swap(df.sparkSession, lambda new: df.write.mode("overwrite").parquet(new), path)
+
+
+def swap(spark: SparkSession, make: Callable[[str], object], path: str) -> None:
+    """Put what ``make`` writes to the folder it is given into the place of the table at ``path``."""
+    clear(spark, f"{path}.new")
+    make(f"{path}.new")
     now, fs = _fs(spark, path)
     old, new = _fs(spark, f"{path}.old")[0], _fs(spark, f"{path}.new")[0]
     fs.delete(old, True)
