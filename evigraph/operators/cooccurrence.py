@@ -6,22 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EVIDENCE = 5
+#: Entities of a sentence that are paired in one piece; larger sentences are cut into blocks of so many.
+BLOCK = 256
 
 
 def _seq(mentions: DataFrame):
     return F.col("mention_seq") if "mention_seq" in mentions.columns else F.col("sentence_id").cast("long")
 
 
-def contexts(mentions: DataFrame) -> DataFrame:
+def contexts(mentions: DataFrame, block: int = BLOCK) -> DataFrame:
     """``entity_a_id, entity_b_id, doc_id, sentence_id, seq`` for each pair of entities in each sentence.
 
     A sentence's entities are gathered as a sorted set and paired within it: one shuffle, by sentence, and a pair
-    stands in it once however often it is mentioned. The sentence's text stays behind (:func:`texts`).
+    stands in it once however often it is mentioned. The sentence's text stays behind (:func:`texts`). The pairs of a sentence of more than ``block``
+    entities are made block by block of its set, and its pairs of blocks are dealt to all tasks.
     """
     rows = mentions.groupBy("doc_id", "sentence_id").agg(F.sort_array(F.collect_set("entity_id")).alias("e"), F.min(_seq(mentions)).alias("seq")).where(F.size("e") > 1)
-    first = rows.select("doc_id", "sentence_id", "seq", "e", F.posexplode("e").alias("i", "entity_a_id"))
-    rest = F.slice("e", F.col("i") + 2, F.size("e"))
-    return first.select("entity_a_id", F.explode(rest).alias("entity_b_id"), "doc_id", "sentence_id", "seq")
+    place = ["doc_id", "sentence_id", "seq"]
+    small = rows.where(F.size("e") <= block).select(*place, F.posexplode("e").alias("i", "entity_a_id"), F.lit(True).alias("same"), F.col("e").alias("f"))
+    of = lambda c: F.slice("e", F.col(c) * block + 1, block)
+    left = rows.where(F.size("e") > block).select(*place, "e", F.explode(F.sequence(F.lit(0), F.ceil(F.size("e") / block).cast("int") - 1)).alias("x"))
+    both = left.select(*place, "e", "x", F.explode(F.sequence(F.col("x"), F.ceil(F.size("e") / block).cast("int") - 1)).alias("y"))
+    tasks = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as few bytes become many pairs
+    dealt = both.select(*place, "x", "y", of("x").alias("e"), of("y").alias("f")).repartition(tasks, *place[:2], "x", "y")
+    large = dealt.select(*place, F.posexplode("e").alias("i", "entity_a_id"), (F.col("x") == F.col("y")).alias("same"), "f")
+    rest = F.when(F.col("same"), F.slice("f", F.col("i") + 2, block)).otherwise(F.col("f"))
+    return small.unionByName(large).select("entity_a_id", F.explode(rest).alias("entity_b_id"), "doc_id", "sentence_id", "seq")
 
 
 def texts(mentions: DataFrame) -> DataFrame:

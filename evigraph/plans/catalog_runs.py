@@ -8,7 +8,7 @@ from dataclasses import astuple
 from pyspark.sql import functions as F
 
 from ..config import LinkerConfig
-from ..operators import candidates, ids, linking, mentions
+from ..operators import candidates, cooccurrence, ids, linking, mentions
 from ..sources import batches, literature, store
 from . import bindings, pipeline
 from .bindings import table
@@ -86,6 +86,13 @@ def entities_of_three_batches(spark, sf):
     return spark.read.parquet(f"{_three_batches(spark, sf)}/entity").select("id", "name", "entity_type", "umls_cui")
 
 
+@query("""WITH s AS (SELECT DISTINCT l_suppkey, l_partkey::VARCHAR AS p FROM lineitem) SELECT a.p AS entity_a_id, b.p AS entity_b_id, count(*) AS sentences FROM s a JOIN s b ON a.l_suppkey = b.l_suppkey AND a.p < b.p GROUP BY ALL HAVING count(*) >= 18""")
+def pairs_in_large_sentences(spark, sf):
+    """Parts that 18 suppliers or more have in common: a supplier's hundreds of parts are one sentence, paired block by block."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("doc_id"), F.lit(0).alias("sentence_id"), F.col("l_partkey").cast("string").alias("entity_id"))
+    return cooccurrence.counts(cooccurrence.contexts(lines)).where("docs_count >= 18").select("entity_a_id", "entity_b_id", F.col("sent_count").alias("sentences"))
+
+
 # ---- searches ------------------------------------------------------------------------------------------------------------------
 DAYS = """d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN NULL WHEN doc_id % 3 = 0 THEN '2019-06-15' WHEN doc_id % 11 = 0 THEN '2019-06-' || lpad((1 + doc_id % 9)::VARCHAR, 2, '0') ELSE (2000 + doc_id % 20) || '-' || lpad((1 + doc_id % 12)::VARCHAR, 2, '0') || '-' || lpad((1 + doc_id % 28)::VARCHAR, 2, '0') END AS day FROM documents)"""
 CAP = 50

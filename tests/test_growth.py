@@ -201,6 +201,20 @@ def test_partial_states_merge_to_the_whole(spark):
     assert sorted(map(str, merged.collect())) == sorted(map(str, cooccurrence.cooccurrences(found).collect()))
 
 
+@pytest.mark.parametrize("block", [2, 3, 7, 100])
+def test_pairs_by_blocks_are_all_pairs(spark, block):
+    rows = [(f"d{n}", 0, f"e{i:03d}") for n in (1, 2, 3, 5, 7, 8, 20) for i in range(n)] * 2
+    found = spark.createDataFrame(rows, "doc_id string, sentence_id int, entity_id string")
+    got = sorted((r["doc_id"], r["entity_a_id"], r["entity_b_id"]) for r in cooccurrence.contexts(found, block).collect())
+    assert got == sorted((f"d{n}", f"e{i:03d}", f"e{j:03d}") for n in (1, 2, 3, 5, 7, 8, 20) for i in range(n) for j in range(i + 1, n))
+
+
+def test_a_large_sentence_is_dealt_to_many_tasks(spark):
+    found = spark.range(6000).select(F.lit("d").alias("doc_id"), F.lit(0).alias("sentence_id"), F.col("id").cast("string").alias("entity_id"))
+    spread = cooccurrence.contexts(found).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert sum(r["count"] for r in spread) == 6000 * 5999 // 2 and max(r["count"] for r in spread) < 6000 * 5999 // 4
+
+
 def test_streams_that_are_run_again(spark, tmp_path, monkeypatch):
     folder, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
     schema, write = "id string, text string", batches.write
