@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,17 @@ CORRECTIONS = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once for each row, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def runs_of(text: Column, n: int) -> Column:
+    """The distinct runs of ``n`` characters of a text, in order; none where it is shorter. Takes time by the text's length."""
+    runs = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*[F.get(c, i + j) for j in range(n)]))
+    return let(F.split(text, ""), lambda c: F.when(F.size(c) >= n, F.array_distinct(runs(c))).otherwise(F.array().cast("array<string>")))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any script at both ends."""
     return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")

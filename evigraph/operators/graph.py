@@ -1,7 +1,7 @@
 """The property graph as two tables, and the questions asked of it.
 
-Edges are stored in both directions. Every question starts from few seeds: their edges are reached by a join that Spark
-broadcasts by size, and the best rows leave through a top-k, so nothing but the result reaches the driver.
+Edges are stored in both directions. Every question starts from few seeds and returns few rows: as long as there are no more than ``FEW`` of them their keys
+go to the scan of the edges as literals, which then skips all others; more seeds are joined. The best rows leave through a top-k.
 """
 
 from __future__ import annotations
@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from ..config import FilterConfig
 from . import filtering
+from .names import holding
 
+#: Seeds and results of a question that may be with the driver.
+FEW = 1000
 DOC_IDS, EVIDENCE = 5, 5
 SHARED_DOC_IDS, SHARED_EVIDENCE = 3, 2
 
@@ -23,6 +26,14 @@ class Graph:
     vertices: DataFrame
     edges: DataFrame
     stats: DataFrame
+    #: Posting lists of the vertices' names (:mod:`operators.names`), if they are stored.
+    names: DataFrame | None = None
+
+
+def _taken(df: DataFrame) -> tuple[DataFrame, list | None]:
+    """A table of few rows as a constant, with its rows; a larger one as it is."""
+    rows = df.limit(FEW + 1).collect()
+    return (df, None) if len(rows) > FEW else (F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), rows)
 
 
 def _list(c: str, df: DataFrame) -> Column:
@@ -60,35 +71,49 @@ def matches(name: Column, cui: Column, term: str, cuis: list[str] | None) -> Col
 
 
 def seeds(g: Graph, term: str, cuis: list[str] | None = None, kind: str | None = None) -> DataFrame:
-    v = g.vertices.where(matches(F.col("name"), F.col("umls_cui"), term, cuis))
+    """``src, source_name`` of the vertices that a term stands for: by posting lists where the graph has them and the term is long enough, else by a scan."""
+    v = g.vertices
+    ids = holding(g.names, term) if g.names is not None and not cuis else None
+    if ids is not None:
+        ids, rows = _taken(ids)
+        v = v.where(F.col("id").isin([r["id"] for r in rows])) if rows is not None else v.join(ids, "id", "left_semi")
+    v = v.where(matches(F.col("name"), F.col("umls_cui"), term, cuis))
     return (v.where(F.col("entity_type") == kind) if kind else v).select(F.col("id").alias("src"), F.col("name").alias("source_name"))
 
 
 LISTS = ("evidence_sentences", "sample_doc_ids")
 
 
-def _plain_edges(g: Graph, least: int = 0) -> DataFrame:
-    """Edges without their lists, which a scan then does not read; the least number of documents is pushed down."""
-    return g.edges.where(F.col("docs_count") >= least).drop(*LISTS)
+def _from(edges: DataFrame, rows: list | None, *columns: str) -> DataFrame:
+    """The edges that start at one of the rows' keys, by literals; all edges if the rows are not known."""
+    return edges if rows is None else edges.where(F.col("src").isin(sorted({r[c] for r in rows for c in columns})))
+
+
+def _seed_edges(g: Graph, term: str, cuis: list[str] | None, kind: str | None = None, least: int = 0) -> DataFrame:
+    """Edges of the matched vertices without their lists, which a scan then does not read; keys and the least number of documents are pushed down."""
+    start, rows = _taken(seeds(g, term, cuis, kind))
+    return _from(g.edges.where(F.col("docs_count") >= least).drop(*LISTS), rows, "src").join(start, "src")
 
 
-def _with_lists(g: Graph, rows: DataFrame, src: str, dst: str, prefix: str = "") -> DataFrame:
-    """The lists of the few edges ``src, dst`` of ``rows``."""
-    lists = g.edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), *[F.col(c).alias(f"{prefix}{c}") for c in LISTS])
-    few = F.broadcast(rows)  # no more rows than a question returns
-    return lists.join(few, (F.col("_s") == F.col(src)) & (F.col("_d") == F.col(dst)), "right").drop("_s", "_d")
+def _with_lists(g: Graph, rows: DataFrame, *pairs: tuple[str, str, str]) -> DataFrame:
+    """The lists of the few edges ``(src, dst, prefix of the lists' names)`` of ``rows``, which a question returns."""
+    few, known = _taken(rows)
+    for src, dst, prefix in pairs:
+        lists = _from(g.edges, known, src).select(F.col("src").alias("_s"), F.col("dst").alias("_d"), *[F.col(c).alias(f"{prefix}{c}") for c in LISTS])
+        few = lists.join(F.broadcast(few), (F.col("_s") == F.col(src)) & (F.col("_d") == F.col(dst)), "right").drop("_s", "_d") if known is not None else few.join(lists, (F.col("_s") == F.col(src)) & (F.col("_d") == F.col(dst)), "left").drop("_s", "_d")
+    return few
 
 
 def neighbors(g: Graph, term: str, *, cuis: list[str] | None = None, seed_type: str | None = None, neighbor_type: str | None = None, min_evidence: int = 3, limit: int = 20) -> DataFrame:
     """Neighbours of the matched entities, each by its best edge, by documents; names and ids break ties."""
     v = g.vertices.select(F.col("id").alias("dst"), F.col("name").alias("neighbor_name"), F.col("entity_type").alias("neighbor_type"))
     v = v.where(F.col("neighbor_type") == neighbor_type) if neighbor_type else v
-    hits = _plain_edges(g, min_evidence).join(seeds(g, term, cuis, seed_type), "src")
+    hits = _seed_edges(g, term, cuis, seed_type, min_evidence)
     best = Window.partitionBy("dst").orderBy(F.desc("docs_count"), F.desc("sent_count"), "src")
     top = hits.withColumn("_r", F.row_number().over(best)).where("_r = 1").join(v, "dst")
     order = [F.desc("docs_count"), "neighbor_name", "neighbor_id"]
     few = top.withColumn("neighbor_id", F.col("dst")).orderBy(*order).limit(limit)
-    return _with_lists(g, few, "src", "dst").select("source_name", "neighbor_name", "neighbor_type", "neighbor_id", "docs_count", "sent_count", "evidence_sentences", F.slice("sample_doc_ids", 1, DOC_IDS).alias("sample_doc_ids")).orderBy(*order)
+    return _with_lists(g, few, ("src", "dst", "")).select("source_name", "neighbor_name", "neighbor_type", "neighbor_id", "docs_count", "sent_count", "evidence_sentences", F.slice("sample_doc_ids", 1, DOC_IDS).alias("sample_doc_ids")).orderBy(*order)
 
 
 def disease_genes(g: Graph, disease: str, *, cuis: list[str] | None = None, min_evidence: int = 5, limit: int = 20) -> DataFrame:
@@ -101,10 +126,10 @@ def gene_diseases(g: Graph, gene: str, *, cuis: list[str] | None = None, min_evi
 
 def explain(g: Graph, a: str, b: str, *, cuis_a: list[str] | None = None, cuis_b: list[str] | None = None) -> DataFrame:
     """The best edge between two match sets; one row in any case, ``found`` false with counts 0 if there is none."""
-    side = lambda s, term, cuis: seeds(g, term, cuis).select(F.col("src").alias(s), F.col("source_name").alias(f"entity_{'a' if s == 'src' else 'b'}_name"))
+    ends = seeds(g, b, cuis_b).select(F.col("src").alias("dst"), F.col("source_name").alias("entity_b_name"))
     types = lambda s: g.vertices.select(F.col("id").alias(s), F.col("entity_type").alias(f"entity_{'a' if s == 'src' else 'b'}_type"))
-    hits = _plain_edges(g).join(side("src", a, cuis_a), "src").join(side("dst", b, cuis_b), "dst")
-    best = _with_lists(g, hits.orderBy(F.desc("docs_count"), F.desc("sent_count"), "src", "dst").limit(1), "src", "dst").join(types("src"), "src").join(types("dst"), "dst").withColumn("found", F.lit(True))
+    hits = _seed_edges(g, a, cuis_a).withColumnRenamed("source_name", "entity_a_name").join(ends, "dst")
+    best = _with_lists(g, hits.orderBy(F.desc("docs_count"), F.desc("sent_count"), "src", "dst").limit(1), ("src", "dst", "")).join(types("src"), "src").join(types("dst"), "dst").withColumn("found", F.lit(True))
     empty = F.array().cast("array<string>")
     row = g.vertices.sparkSession.range(1).join(best, F.lit(True), "left")
     return row.select(
@@ -122,7 +147,7 @@ def shared_neighbors(g: Graph, a: str, b: str, *, cuis_a: list[str] | None = Non
 
     def side(term: str, cuis: list[str] | None, s: str) -> DataFrame:
         order = Window.partitionBy("dst").orderBy(F.desc("docs_count"), "src")
-        hits = _plain_edges(g, min_evidence).join(seeds(g, term, cuis), "src").withColumn("_r", F.row_number().over(order)).where("_r <= 2")
+        hits = _seed_edges(g, term, cuis, least=min_evidence).withColumn("_r", F.row_number().over(order)).where("_r <= 2")
         return hits.select("dst", *[F.col(c).alias(f"{s}_{c}") for c in ("src", "source_name", "docs_count", "sent_count")])
 
     both = side(a, cuis_a, "a").join(side(b, cuis_b, "b"), "dst").where("a_src <> b_src").withColumn("docs_count", F.col("a_docs_count") + F.col("b_docs_count"))
@@ -132,7 +157,7 @@ def shared_neighbors(g: Graph, a: str, b: str, *, cuis_a: list[str] | None = Non
     lists = lambda c, n: F.concat(F.slice(f"a_{c}", 1, n), F.slice(f"b_{c}", 1, n)).alias(c)
     order = [F.desc("docs_count"), "neighbor_name", "neighbor_id"]
     top = both.withColumn("_r", F.row_number().over(best)).where("_r = 1").join(v, "dst").withColumn("neighbor_id", F.col("dst")).orderBy(*order).limit(limit)
-    top = _with_lists(g, _with_lists(g, top, "a_src", "dst", "a_"), "b_src", "dst", "b_")
+    top = _with_lists(g, top, ("a_src", "dst", "a_"), ("b_src", "dst", "b_"))
     out = top.select("neighbor_name", "neighbor_type", "neighbor_id", F.col("a_source_name").alias("entity_a_name"), F.col("b_source_name").alias("entity_b_name"), "docs_count", (F.col("a_sent_count") + F.col("b_sent_count")).alias("sent_count"), lists("evidence_sentences", SHARED_EVIDENCE), lists("sample_doc_ids", SHARED_DOC_IDS))
     return out.orderBy(*order)
 
@@ -140,7 +165,7 @@ def shared_neighbors(g: Graph, a: str, b: str, *, cuis_a: list[str] | None = Non
 def between_types(g: Graph, kind_a: str, kind_b: str, *, min_evidence: int = 5, limit: int = 20) -> DataFrame:
     """The best-supported pairs of two entity types, each pair once."""
     side = lambda s, kind: g.vertices.where(F.col("entity_type") == kind).select(F.col("id").alias(s), F.col("name").alias("entity_a_name" if s == "src" else "entity_b_name"))
-    rows = _plain_edges(g, min_evidence).join(side("src", kind_a), "src").join(side("dst", kind_b), "dst")
+    rows = g.edges.where(F.col("docs_count") >= min_evidence).drop(*LISTS).join(side("src", kind_a), "src").join(side("dst", kind_b), "dst")
     rows = rows.where("src < dst") if kind_a == kind_b else rows
     return rows.select("entity_a_name", "entity_b_name", F.col("src").alias("entity_a_id"), F.col("dst").alias("entity_b_id"), "docs_count", "sent_count").orderBy(F.desc("docs_count"), F.desc("sent_count"), "entity_a_id", "entity_b_id").limit(limit)
 

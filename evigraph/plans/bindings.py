@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cooccurrence, graph
+from ..operators import cooccurrence, graph, names
 from ..operators.graph import Graph
 from ..sources import store
 
@@ -52,6 +52,7 @@ def build_knowledge_graph(spark: SparkSession, sf_dir: str, out: str) -> None:
     Edges are dealt and sorted by their start, so that a scan for few starts skips most of a file.
     """
     store.write(entities(spark, sf_dir), f"{out}/vertices")
+    store.write(names.postings(spark.read.parquet(f"{out}/vertices")), f"{out}/names")
     store.write(graph.symmetric(pairs(spark, sf_dir)).repartition("src").sortWithinPartitions("src", F.desc("docs_count")), f"{out}/edges")
 
 
@@ -68,7 +69,7 @@ def knowledge_graph(spark: SparkSession, sf_dir: str) -> Graph:
         store.forget_later(spark, out)
         _STORED[key] = out
     v = spark.read.parquet(f"{_STORED[key]}/vertices")
-    return Graph(v, spark.read.parquet(f"{_STORED[key]}/edges"), v.limit(0))
+    return Graph(v, spark.read.parquet(f"{_STORED[key]}/edges"), v.limit(0), spark.read.parquet(f"{_STORED[key]}/names"))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import astuple
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LinkerConfig
-from ..operators import candidates, cooccurrence, ids, linking, mentions
+from ..operators import candidates, cooccurrence, graph, ids, linking, mentions, names
 from ..sources import batches, literature, store
 from . import bindings, pipeline
 from .bindings import table
-from .catalog import CONTEXT, ENTITY, EVIDENCE, _aliases, query
+from .catalog import CONTEXT, EDGE, ENTITY, EVIDENCE, KG, _aliases, query
 
 # ---- near-miss linking ---------------------------------------------------------------------------------------------------------
 #: The trigrams of a name in DuckDB.
@@ -129,3 +131,49 @@ def search_windows(spark, sf):
     per_day = {d: n for d, n in literature._per_day(spark.read.parquet(_literature(spark, sf)), "pubmedarticle").items() if d is not None}
     found = ids.windows(lambda a, b: sum(n for d, n in per_day.items() if a <= d <= b), 1 << 60, 2025, CAP)
     return spark.createDataFrame([astuple(w) for w in found], "first_day string, last_day string, hits long, first_hit long").select("first_day", "first_hit", "hits")
+
+
+# ---- questions with their evidence ---------------------------------------------------------------------------------------------
+TOLD = "told AS (SELECT ea, eb, list(doc_id ORDER BY pos) AS docs, list(st ORDER BY pos) AS said FROM ev GROUP BY ALL)"
+
+
+@query(f"""{KG}, {EVIDENCE}, {EDGE}, {TOLD}, hit AS (SELECT s.id AS src, n.id AS neighbor_id, n.name AS neighbor_name, g.docs_count, row_number() OVER (PARTITION BY n.id ORDER BY g.docs_count DESC, g.sent_count DESC, s.id) AS r
+FROM ent s JOIN edge g ON g.src = s.id JOIN ent n ON n.id = g.dst WHERE g.docs_count >= 2 AND contains(lower(s.name), 'lue r')), top AS (SELECT * FROM hit WHERE r = 1 ORDER BY docs_count DESC, neighbor_name, neighbor_id LIMIT 20)
+SELECT neighbor_id, array_to_string(docs[:5], ',') AS docs, array_to_string(said, '|') AS sentences FROM top JOIN told ON ea = least(src, neighbor_id) AND eb = greatest(src, neighbor_id)""")
+def neighbors_with_evidence(spark, sf):
+    """The neighbours of the names that hold *lue r*, found by posting lists, with the lists of their edges."""
+    rows = graph.neighbors(bindings.knowledge_graph(spark, sf), "lue r", min_evidence=2)
+    return rows.select("neighbor_id", F.array_join("sample_doc_ids", ",").alias("docs"), F.array_join("evidence_sentences", "|").alias("sentences"))
+
+
+@query(f"""{KG}, {EVIDENCE}, {EDGE}, {TOLD}, hit AS (SELECT n.id AS neighbor_id, n.name AS neighbor_name, a.id AS a, b.id AS b, g.docs_count + h.docs_count AS docs_count, row_number() OVER (PARTITION BY n.id ORDER BY g.docs_count + h.docs_count DESC, a.id, b.id) AS r
+FROM ent a JOIN edge g ON g.src = a.id JOIN ent n ON n.id = g.dst JOIN edge h ON h.dst = n.id JOIN ent b ON b.id = h.src WHERE contains(lower(a.name), 'blue') AND contains(lower(b.name), 'ring') AND a.id <> b.id AND g.docs_count >= 3 AND h.docs_count >= 3),
+top AS (SELECT * FROM hit WHERE r = 1 ORDER BY docs_count DESC, neighbor_name, neighbor_id LIMIT 20)
+SELECT neighbor_id, array_to_string(list_concat(x.docs[:3], y.docs[:3]), ',') AS docs, array_to_string(list_concat(x.said[:2], y.said[:2]), '|') AS sentences
+FROM top JOIN told x ON x.ea = least(a, neighbor_id) AND x.eb = greatest(a, neighbor_id) JOIN told y ON y.ea = least(b, neighbor_id) AND y.eb = greatest(b, neighbor_id)""")
+def shared_neighbors_with_evidence(spark, sf):
+    """Shared neighbours with the lists of both edges."""
+    rows = graph.shared_neighbors(bindings.knowledge_graph(spark, sf), "blue", "ring")
+    return rows.select("neighbor_id", F.array_join("sample_doc_ids", ",").alias("docs"), F.array_join("evidence_sentences", "|").alias("sentences"))
+
+
+@query(f"""{KG}, {EVIDENCE}, {EDGE}, {TOLD}, best AS (SELECT src, dst, docs_count FROM ent x JOIN edge g ON g.src = x.id JOIN ent y ON y.id = g.dst WHERE contains(lower(x.name), 'blue') AND contains(lower(y.name), 'ring') ORDER BY docs_count DESC, sent_count DESC, src, dst LIMIT 1)
+SELECT docs_count, array_to_string(docs[:5], ',') AS docs, array_to_string(said[:5], '|') AS sentences FROM best JOIN told ON ea = least(src, dst) AND eb = greatest(src, dst)""")
+def explain_with_evidence(spark, sf):
+    """The best edge between two names with its lists."""
+    rows = graph.explain(bindings.knowledge_graph(spark, sf), "blue", "ring")
+    return rows.select("docs_count", F.array_join("sample_doc_ids", ",").alias("docs"), F.array_join("evidence_sentences", "|").alias("sentences"))
+
+
+TERMS = ("Mer#0000001", "#00000", "99", "0012", "no such")
+
+
+@query(f"""SELECT t AS term, c_custkey::VARCHAR AS id FROM customer, (SELECT unnest({list(TERMS)!r}) AS t) WHERE contains(lower(c_name), lower(t))""")
+def names_that_hold(spark, sf):
+    """Customers by part of the name, over posting lists; a term shorter than a trigram takes the scan."""
+    v = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.lit("x").alias("entity_type"), F.lit(None).cast("string").alias("umls_cui"))
+    out = _folder(spark, "names")
+    store.write(names.postings(v), out)
+    g = graph.Graph(v, v.limit(0), v.limit(0), spark.read.parquet(out))
+    found = [graph.seeds(g, t).select(F.lit(t).alias("term"), F.col("src").alias("id")) for t in TERMS]
+    return reduce(DataFrame.unionByName, found)
