@@ -4,7 +4,7 @@ Tokens of a page are its elements, told apart by their place (the path of names
 its texts, told apart by path and hash. Each token's occurrences over the pages of a host form a vector; tokens
 with equal vectors form an equivalence class. Vectors are summed to fingerprints where pages are read, so that no
 host's pages ever meet in one task. Classes whose tokens stand once on each of their pages make up the host's template:
-those on nearly every page, and those on fewer that have elements of their own, as another form of page has. Elements
+those on nearly every page, and those on fewer that have elements of their own, as another form of page has, and none of running text. Elements
 of the template that stand in elements of the template are nested; what remains between its tokens are slots. The deepest
 nested container that holds most of what the slots of the host hold is the main slot: a page's text is what this page has
 in it, less the template's texts. Names of elements and classes only break ties: parts that say of themselves that they are a menu,
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,15 +28,15 @@ from .tables import cut, drop, rows_of, ship, slices
 
 #: Elements that never hold article text, and words in class or id names of such parts.
 APART = frozenset("head nav header footer aside form script style noscript template iframe svg button select option textarea menu dialog object canvas audio video title".split())
-APART_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|nav\w*|menu\w*|breadcrumb\w*|header|masthead|topbar|footer\w*|foot|bottom|comment\w*|disqus\w*|replies|respond|reader-?\w*|cookie\w*|consent|notice\w*|alert|popup|modal|overlay|newsletter|subscribe\w*|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|widget\w*|pagination|pager|toolbar|skip\w*|legal|copyright|disclaimer|tags?|taxonomy|search\w*|form)(?=$|[\s_-])", re.IGNORECASE)
+APART_WORD = re.compile(r"ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|nav\w*|menu\w*|breadcrumb\w*|header|masthead|topbar|footer\w*|foot|bottom|comment\w*|disqus\w*|replies|respond|reader\w*|cookie\w*|consent|notice\w*|alert|popup|modal|overlay|newsletter|subscribe\w*|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|widget\w*|pagination|pager|toolbar|skip\w*|legal|copyright|disclaimer|tags?|taxonomy|search\w*|form", re.IGNORECASE)
+SEPARATORS = re.compile(r"[\s_-]+")
 #: Names that are wholly of such words set an element apart. A name with such a word among others does so only to elements that
 #: neither hold the main article nor lie inside one. Names of headings, and ids of other elements than these, are often made from article text and count
 #: as the latter do.
-NAME = re.compile(rf"(?:{APART_NAMES.pattern})+", re.IGNORECASE)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ID_HOLDERS = frozenset("div ul ol table".split())
-#: Words that set an element apart inside an article too. The others there may well name a part of the article.
-PLAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|sidebar\w*|nav\w*|menu\w*|breadcrumb\w*|comment\w*|disqus\w*|cookie\w*|consent|popup|modal|overlay|newsletter|subscribe\w*|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|pagination|pager|toolbar)(?=$|[\s_-])", re.IGNORECASE)
+#: Words that set an element apart inside an article too, if one of them is a word of its name. Others may well name a part of the article.
+PLAIN_WORDS = frozenset("ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos sidebar sidebars nav navbar menu menus breadcrumb breadcrumbs comment comments disqus cookie cookies consent popup modal overlay newsletter subscribe signup share sharing social related recommended recommendations pagination pager toolbar".split())
 APART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript textarea title iframe template".split())
@@ -44,10 +45,11 @@ HOLDER = frozenset("article body div main section td center".split())
 CLOSES_P = BLOCK - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("html body table article section div main ul ol dl nav aside header footer form blockquote td th li".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+MARKUP = re.compile(r"<(?:(!--)|(!\[CDATA\[)|[!?]|(/?)([a-zA-Z][^\s/<>]*))")
+IN_TAG = re.compile(r"[<>\"']")
 NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 #: A class belongs to the template if it is on this part of a host's pages; if on no more than a form's part of them, only with
-#: elements of its own. Classes and hosts with fewer pages show no template.
+#: elements of its own and none of running text. Classes and hosts with fewer pages show no template.
 SUPPORT, FORM, LEAST_PAGES = 0.9, 0.1, 4
 #: Tokens of a class at least.
 LEAST_TOKENS = 3
@@ -57,11 +59,19 @@ MAIN_PART, MOST_LINKS = 0.6, 0.5
 COPY_PART = 0.25
 #: Templates of up to so many texts in all (8 bytes each, and 64 bytes a host) are broadcast.
 BROADCAST_TEXTS = 2_000_000
-ELEMENT, HOLDER_ELEMENT, TEXT, PAGE = range(4)
+ELEMENT, HOLDER_ELEMENT, TEXT, PAGE, PROSE_ELEMENT = range(5)
+#: Elements of running text: a class with one of them may be a passage that articles share, and is no advert.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre figure table".split())
+#: Elements at which a search for an open paragraph, item or cell looks; end tags reach no further than these.
+STOPS = SCOPE | {"p"}.union(*SAME.values())
+FENCES = frozenset(("article", "main", "body"))
+OUTER = FENCES | {"html"}
 
 
 class Element:
-    __slots__ = ("apart", "depth", "hidden", "inside", "kids", "link", "loose", "name", "parent", "path", "seen", "spot", "text", "within")
+    """An element, with the nearest of its line (itself included) that is told apart by name, ends a search, or can hold a text."""
+
+    __slots__ = ("apart", "depth", "hidden", "holder", "inside", "kids", "link", "loose", "name", "odd", "parent", "path", "seen", "spot", "stop", "text", "within")
 
     def __init__(self, name: str, label: str, parent: Element | None, apart: bool, loose: bool = False):
         self.name, self.parent, self.apart, self.loose = name, parent, apart, loose
@@ -69,10 +79,16 @@ class Element:
         self.hidden = False
         self.kids: list[Element | str] = []
         self.seen: dict[str, int] | None = None
+        self.odd: Element | None = self
+        self.stop = self.holder = self
         if parent is None:
             self.path = self.spot = self.depth = 0
             self.inside = self.within = False
+            self.odd = None
         else:
+            self.odd = self if apart or loose else parent.odd
+            self.stop = self if name in STOPS else parent.stop
+            self.holder = self if name in HOLDER else parent.holder
             if parent.seen is None:
                 parent.seen = {}
             k = parent.seen[label] = parent.seen.get(label, -1) + 1
@@ -93,10 +109,12 @@ def _apart(name: str, attributes: str, inside: bool) -> tuple[bool, bool, str]:
         for key, *values in NAMES.findall(attributes):
             value, key = "".join(values), key.lower()
             if key in ("class", "id"):
-                if name not in ("body", "html", "article", "main") and APART_NAMES.search(value):
-                    loose = True
-                    if name not in HEADINGS and (key == "class" or name in ID_HOLDERS):
-                        apart |= any(NAME.fullmatch(n) and (not inside or PLAIN_NAMES.search(n)) for n in value.split())
+                if name not in ("body", "html", "article", "main"):
+                    for words in (SEPARATORS.split(n.lower()) for n in value.split()):
+                        told = [bool(APART_WORD.fullmatch(w)) for w in words if w]
+                        loose |= any(told)
+                        if all(told) and told and name not in HEADINGS and (key == "class" or name in ID_HOLDERS):
+                            apart |= not inside or not PLAIN_WORDS.isdisjoint(words)
                 if value and key == "class":
                     label = f"{name}.{value.split()[0]}" if value.split() else name
             elif key == "role":
@@ -106,57 +124,108 @@ def _apart(name: str, attributes: str, inside: bool) -> tuple[bool, bool, str]:
     return apart, loose and not apart, label
 
 
+class Tags:
+    """Ends of tags: the first ``>`` outside quotes. What was found to have none is not looked at again, so all searches together take time by the page's length."""
+
+    def __init__(self, page: str):
+        self.page, self.endless = page, set()
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+
+    def end(self, at: int) -> int:
+        """The place of the end of a tag whose name ends at ``at``; -1 if there is none."""
+        page, passed = self.page, [at]
+        while at <= self.last[">"]:
+            m = IN_TAG.search(page, at)
+            c, at = m[0], m.end()
+            if c == ">":
+                return m.start()
+            if c == "<":
+                if at in self.endless:
+                    break
+                passed.append(at)
+            elif at > self.last[c]:
+                break
+            else:
+                at = page.index(c, at) + 1
+        self.endless.update(passed)
+        return -1
+
+
 def parse(page: str) -> Element:
-    """The tree of a page; unknown or unclosed markup never fails. Character references are decoded."""
+    """The tree of a page; unknown or unclosed markup never fails. Character references are decoded. Takes time by the page's length, whatever it holds."""
     root = now = Element("", "", None, False)
-    at, n = 0, len(page)
+    tags, last_close = Tags(page), {}
+    opened = [Counter()]  # names that an end tag may close, by the articles and the like around it
+    at = begin = 0
+    n = len(page)
+
+    def back_to(e: Element) -> None:
+        nonlocal now
+        while now is not e:
+            if now.name in FENCES:
+                opened.pop()
+            opened[-1][now.name] -= 1
+            now = now.parent
+
+    def closed_later(name: str) -> bool:
+        if name not in last_close:
+            last_close[name] = page.rfind(f"</{name}")
+        return last_close[name] >= at
+
     while at < n:
-        m = TOKEN.search(page, at)
-        end = m.start() if m else n
-        if end > at:
-            now.kids.append(html.unescape(page[at:end]))
+        m = MARKUP.search(page, at)
         if not m:
             break
-        at = m.end()
-        name = (m[2] or "").lower()
+        start, name = m.start(), (m[4] or "").lower()
+        if name:
+            end = tags.end(m.end())
+            if end < 0:
+                at = start + 1
+                continue
+        else:
+            close = "-->" if m[1] else "]]>" if m[2] else ">"
+            end = page.find(close, m.end())
+        if start > begin:
+            now.kids.append(html.unescape(page[begin:start]))
         if not name:
-            if page.startswith("<![CDATA[", end):
-                now.kids.append(page[end + 9 : at - 3])
+            at = begin = n if end < 0 else end + len(close)
+            if m[2]:
+                now.kids.append(page[m.end() : n if end < 0 else end])
             continue
-        if m[1]:
-            up = now
-            while up.parent and up.name != name and not (up.name in ("article", "main", "body") and name not in ("html", "body", "article", "main")):
-                up = up.parent
-            if up.parent and up.name == name:
-                now = up.parent
+        attributes = page[m.end() : end]
+        at = begin = end + 1
+        if m[3]:
+            level = opened if name in OUTER else opened[-1:]
+            if any(o[name] > 0 for o in level):
+                up = now
+                while up.name != name:
+                    up = up.parent
+                back_to(up.parent)
             continue
-        if name in ("article", "main"):  # an unclosed part that is set apart does not swallow the article
-            up = now
-            while up.parent and not up.apart and not up.loose:
-                up = up.parent
-            if up.parent and up.name not in ("aside", "nav", "footer") and not _closed_later(page, at, up.name):
-                now = up.parent
+        if name in ("article", "main") and (up := now.odd) and up.name not in ("aside", "nav", "footer") and not closed_later(up.name):
+            back_to(up.parent)  # an unclosed part that is set apart does not swallow the article
         if name in CLOSES_P or name in SAME:
-            up = now
-            while up.parent and up.name not in SCOPE and up.name != "p" and up.name not in SAME.get(name, ()):
-                up = up.parent
-            if up.parent and ((up.name == "p" and name in CLOSES_P) or up.name in SAME.get(name, ())):
-                now = up.parent
-        apart, loose, label = _apart(name, m[3] or "", now.inside or now.name in ("article", "main"))
+            up, same = now.stop, SAME.get(name, ())
+            while up.parent and up.name not in SCOPE and up.name != "p" and up.name not in same:
+                up = up.parent.stop
+            if up.parent and ((up.name == "p" and name in CLOSES_P) or up.name in same):
+                back_to(up.parent)
+        apart, loose, label = _apart(name, attributes, now.inside or now.name in ("article", "main"))
         child = Element(name, label, now, apart, loose)
         now.kids.append(child)
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
-            at = close.end() if close else n
-        elif name not in VOID and not (m[3] or "").rstrip().endswith("/"):
+            at = begin = close.end() if close else n
+        elif name not in VOID and not attributes.rstrip().endswith("/"):
             now = child
+            opened[-1][name] += 1
+            if name in FENCES:
+                opened.append(Counter())
+    if begin < n:
+        now.kids.append(html.unescape(page[begin:]))
     return root
 
 
-def _closed_later(page: str, at: int, name: str) -> bool:
-    return page.find(f"</{name}", at) >= 0
-
-
 def measure(e: Element, apart: bool = False, link: bool = False) -> None:
     """Sets on each element whether it is in a part set apart, and the characters of article-like text and of links below it."""
     stack = [(e, apart, link, False)]
@@ -210,10 +279,7 @@ def settle(root: Element) -> None:
         held.add(id(main))
         main = main.parent
     for e in elements:
-        up = e.parent
-        while up and up.name not in ("article", "main"):
-            up = up.parent
-        e.apart = not (up or id(e) in held or (not articles and 2 * e.text >= root.text > 0))
+        e.apart = not (e.inside or id(e) in held or (not articles and 2 * e.text >= root.text > 0))
     measure(root)
 
 
@@ -222,29 +288,42 @@ def text_token(path: int, text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), path) >> 1
 
 
-def blocks(main: Element, template: frozenset[int]) -> list[str]:
-    """Texts of the blocks below ``main`` in page order, without parts set apart and texts of the template.
+def blocks(main: Element, template: frozenset[int], forms: frozenset[int] = frozenset()) -> list[str]:
+    """Texts of the blocks below ``main`` in page order, without parts set apart and texts of ``forms``.
 
-    Of a header inside an article the headings stay.
+    Blocks of nothing but the template's texts are cut before the first other block and behind the last, never between others; headings
+    that stand right before the first other block are its own. Of a header inside an article the headings stay.
     """
-    out: list[str] = []
+    out: list[tuple[str, bool, bool]] = []  # text, whether the template's, whether a heading
     line: list[str] = []
+    own = False
+    around = [False]
 
     def flush() -> None:
+        nonlocal own
         text = " ".join("".join(line).split())
         line.clear()
         if text:
-            out.append(text)
+            out.append((text, not own, around[-1]))
+        own = False
 
     stack: list[Element | tuple[int, str] | None] = [main]
     while stack:
         x = stack.pop()
         if x is None:
             flush()
+            around.pop()
         elif isinstance(x, tuple):
             owner, text = x
-            if not template or text_token(owner, " ".join(text.split())) not in template:
-                line.append(text)
+            if template or forms:
+                plain = " ".join(text.split())
+                token = text_token(owner, plain)
+                if token in forms:
+                    continue
+                own = own or (plain != "" and token not in template)
+            else:
+                own = True
+            line.append(text)
         elif x.apart and x is not main:
             line.append(" ")
             if x.name == "header" and x.inside:
@@ -252,13 +331,19 @@ def blocks(main: Element, template: frozenset[int]) -> list[str]:
         elif x.name == "br":
             line.append("\n")
         else:
-            block = x.name in BLOCK
-            if block:
+            if x.name in BLOCK:
                 flush()
                 stack.append(None)
+                around.append(x.name in HEADINGS)
             stack += [(x.path, k) if isinstance(k, str) else k for k in reversed(x.kids)]
     flush()
-    return out
+    others = [i for i, (_, fixed, _) in enumerate(out) if not fixed]
+    if not others:
+        return []
+    first = others[0]
+    while first and out[first - 1][2]:
+        first -= 1
+    return [text for text, _, _ in out[first : others[-1] + 1]]
 
 
 def tokens_of(root: Element) -> dict[tuple[int, int], list[int]]:
@@ -267,7 +352,7 @@ def tokens_of(root: Element) -> dict[tuple[int, int], list[int]]:
     for e, text in walk(root):
         if text is None:
             if e.parent:
-                own[e.spot, HOLDER_ELEMENT if e.name in HOLDER else ELEMENT] = [e.parent.spot, e.depth, 1, e.text, e.link]
+                own[e.spot, HOLDER_ELEMENT if e.name in HOLDER else PROSE_ELEMENT if e.name in PROSE else ELEMENT] = [e.parent.spot, e.depth, 1, e.text, e.link]
         elif t := " ".join(text.split()):
             x = own.setdefault((text_token(e.path, t), TEXT), [e.spot, e.depth, 0, 0, 0])
             x[0] = min(x[0], e.spot)
@@ -351,7 +436,8 @@ def template(tokens: list[tuple[int, ...]], pages: int) -> tuple[int, list[int],
         t = place[p]
         if t[1] == HOLDER_ELEMENT and rest[p] >= MAIN_PART * whole and rest[p] > 0 and t[8] <= MOST_LINKS * t[7] and t[3] > depth:
             best, depth = p, t[3]
-    return best, sorted(t[0] for t in fixed if t[4] >= SUPPORT * pages), sorted(t[0] for t in fixed if t[4] < SUPPORT * pages)
+    prose = {t[4:7] for t in valid if t[1] == PROSE_ELEMENT}
+    return best, sorted(t[0] for t in fixed if t[4] >= SUPPORT * pages), sorted(t[0] for t in fixed if t[4] < SUPPORT * pages and t[4:7] not in prose)
 
 
 def main_parts(root: Element, spot: int) -> list[Element]:
@@ -367,7 +453,7 @@ def main_parts(root: Element, spot: int) -> list[Element]:
     if at:
         if at.name == "article":
             return [e for e in articles if e.parent is at.parent and not e.loose] or [at]
-        inner = [e for e in articles if _below(e, at)]
+        inner = [e for e, text in walk(at) if text is None and e.name == "article" and e.text and not e.within and not e.hidden]
         return inner if sum(e.text for e in inner) >= MAIN_PART * at.text else [at]
     if articles:
         return articles
@@ -377,23 +463,13 @@ def main_parts(root: Element, spot: int) -> list[Element]:
     own: dict[int, int] = {}
     for e in elements:
         if e.name == "p" or e.name in HOLDER:
-            up = e.parent if e.name == "p" else e
-            while up.parent and up.name not in HOLDER:
-                up = up.parent
+            up = e.parent.holder if e.name == "p" else e
             direct = e.text - e.link if e.name == "p" else sum(len(k.strip()) for k in e.kids if isinstance(k, str))
             own[id(up)] = own.get(id(up), 0) + direct
     holders = [e for e in elements if own.get(id(e))]
     return [max(holders, key=lambda e: own[id(e)])] if holders else [root] if root.text else []
 
 
-def _below(e: Element | None, top: Element) -> bool:
-    while e:
-        if e is top:
-            return True
-        e = e.parent
-    return False
-
-
 def extract(page: str | None, spot: int = 0, texts: frozenset[int] = frozenset(), forms: frozenset[int] = frozenset()) -> str:
     """Main text of one page under a host's template.
 
@@ -410,7 +486,7 @@ def extract(page: str | None, spot: int = 0, texts: frozenset[int] = frozenset()
                     e.apart = False
     out = [b for m in mains for b in blocks(m, texts)]
     if forms:
-        less = [b for m in mains for b in blocks(m, texts | forms)]
+        less = [b for m in mains for b in blocks(m, texts, forms)]
         if sum(map(len, less)) >= COPY_PART * sum(map(len, out)):
             out = less
     if not out and any(m.name in ("article", "main") for m in mains):
