@@ -110,9 +110,10 @@ def document_type_counts(spark, sf):
     return documents.type_counts(table(spark, sf, "documents").withColumnRenamed("lang", "document_type"))
 
 
-@query("""SELECT doc_id AS pmid FROM labels EXCEPT SELECT doc_id FROM documents WHERE lang = 'en'""")
+@query("""SELECT doc_id * 2 AS pmid FROM labels EXCEPT SELECT doc_id FROM documents""")
 def missing_ids(spark, sf):
-    return documents.missing_ids(table(spark, sf, "labels").withColumnRenamed("doc_id", "pmid"), table(spark, sf, "documents").where("lang = 'en'").withColumnRenamed("doc_id", "pmid"))
+    """Twice the ids of all labels, of which part are no documents' ids."""
+    return documents.missing_ids(table(spark, sf, "labels").select((F.col("doc_id") * 2).alias("pmid")), table(spark, sf, "documents").withColumnRenamed("doc_id", "pmid"))
 
 
 @query("""SELECT doc_id::VARCHAR AS pmid, 'Document ' || doc_id AS title, ltrim(rtrim(text)) AS abstract, source AS journal, lang AS keywords, 'Article' AS document_type FROM documents WHERE doc_id % 50 <> 49""")
@@ -151,10 +152,10 @@ def documents_with_entities(spark, sf):
     return rows.select("id", "source", F.size("entities").cast("long").alias("entities"), F.array_join("entities.text", ",").alias("texts"))
 
 
-@query("""SELECT row_number() OVER (ORDER BY conv_id DESC, turn) AS pos, conv_id::VARCHAR AS id, c.text IS NOT NULL AS asked, d.source FROM conversations c LEFT JOIN documents d ON d.doc_id = conv_id""")
+@query("""SELECT turn - 1000000 * conv_id AS pos, conv_id::VARCHAR AS id, c.text IS NOT NULL AS asked, d.source FROM conversations c LEFT JOIN documents d ON d.doc_id = conv_id""")
 def results_in_request_order(spark, sf):
     c = table(spark, sf, "conversations")
-    asked = c.select(F.row_number().over(Window.orderBy(F.desc("conv_id"), "turn")).cast("long").alias("pos"), F.col("conv_id").cast("string").alias("id"), F.col("text").isNotNull().alias("asked"))
+    asked = c.select((F.col("turn") - 1_000_000 * F.col("conv_id")).alias("pos"), F.col("conv_id").cast("string").alias("id"), F.col("text").isNotNull().alias("asked"))
     rows = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "source")
     return documents.in_order(rows, asked.select("pos", "id")).join(asked.select("pos", "asked"), "pos").select("pos", "id", "asked", "source")
 

@@ -9,12 +9,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import LinkerConfig
-from ..operators import candidates, cooccurrence, graph, ids, linking, mentions, names
-from ..sources import batches, literature, store
+from ..config import FilterConfig, LinkerConfig, NerConfig
+from ..operators import candidates, cooccurrence, documents, graph, ids, linking, mentions, metrics, names
+from ..sources import articles, batches, literature, store
 from . import bindings, pipeline
 from .bindings import table
-from .catalog import CONTEXT, EDGE, ENTITY, EVIDENCE, KG, _aliases, query
+from .catalog import CONTEXT, EDGE, ENTITY, EVIDENCE, GAZETTEER, KG, ORACLE, _aliases, query
 
 # ---- near-miss linking ---------------------------------------------------------------------------------------------------------
 #: The trigrams of a name in DuckDB.
@@ -177,3 +177,116 @@ def names_that_hold(spark, sf):
     g = graph.Graph(v, v.limit(0), v.limit(0), spark.read.parquet(out))
     found = [graph.seeds(g, t).select(F.lit(t).alias("term"), F.col("src").alias("id")) for t in TERMS]
     return reduce(DataFrame.unionByName, found)
+
+
+# ---- stored runs ---------------------------------------------------------------------------------------------------------------
+HITS = f"""WITH {GAZETTEER}, s AS (SELECT doc_id, regexp_extract_all(text, '[^\\p{{L}}\\p{{N}}]*[\\p{{L}}\\p{{N}}]+') AS c FROM documents), p AS (SELECT doc_id, unnest(c) AS c, unnest(range(len(c))) AS i FROM s),
+e AS (SELECT doc_id, regexp_extract(c, '[\\p{{L}}\\p{{N}}]+$') AS text, sum(length(c)) OVER (PARTITION BY doc_id ORDER BY i) AS end_pos FROM p),
+h AS (SELECT doc_id::VARCHAR AS doc_id, text, (end_pos - length(text))::INT AS start_pos, CASE WHEN length(text) % 2 = 0 THEN 'C' || length(text) END AS umls_cui FROM e JOIN t ON t.term = lower(e.text) QUALIFY row_number() OVER (PARTITION BY doc_id, lower(text), (end_pos - length(text)) // 5 ORDER BY end_pos) = 1)"""
+_RUNS: dict[tuple[str, str], str] = {}
+
+
+def _annotated(spark, sf):
+    """The folder of a run over all documents, annotated with the dictionary and linked where a term has an even number of letters; made once."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RUNS or not store.complete(spark, f"{_RUNS[key]}/documents"):
+        out, terms = _folder(spark, "annotated"), bindings.dictionary(spark, sf)
+        n = F.length("term")
+        aliases = terms.where(n % 2 == 0).select(F.col("term").alias("alias"), F.concat(F.lit("C"), n.cast("string")).alias("umls_cui"), F.lit(0.9).alias("confidence"), F.lit(None).cast("string").alias("canonical_name"), F.upper("term").alias("first_alias"), F.lit(None).cast("array<string>").alias("umls_semantic_types"))
+        pipeline.annotate_and_link(spark, documents.from_abstracts(bindings.articles(spark, sf)), terms, aliases, out, NerConfig(linker=LinkerConfig()))
+        _RUNS[key] = out
+    return _RUNS[key]
+
+
+@query(f"{HITS} SELECT doc_id, text, start_pos, umls_cui FROM h")
+def annotated_run(spark, sf):
+    """All mentions of a run's store, one of each text within five characters, with their concepts."""
+    return batches.read(spark, f"{_annotated(spark, sf)}/entities").select("doc_id", "text", "start_pos", "umls_cui")
+
+
+@query(f"{HITS}, n AS (SELECT doc_id, count(*) AS n, string_agg(text, ' ' ORDER BY start_pos, length(text)) AS texts FROM h GROUP BY 1) SELECT d.doc_id::VARCHAR AS id, source AS journal, coalesce(n, 0) AS entities, coalesce(texts, '') AS texts FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id::VARCHAR")
+def loaded_run(spark, sf):
+    """The documents of a run's store with their metadata and entities."""
+    rows = pipeline.load_processed(spark, _annotated(spark, sf))
+    return rows.select("id", F.try_element_at("extras", F.lit("journal")).alias("journal"), F.size("entities").cast("long").alias("entities"), F.array_join("entities.text", " ").alias("texts"))
+
+
+@query(f"{HITS} SELECT (SELECT count(*) FROM documents) AS documents, count(*) AS mentions, count(umls_cui) AS linked FROM h")
+def run_info(spark, sf):
+    """What the store tells of itself, beside its linked mentions."""
+    told = documents.info(batches.read(spark, f"{_annotated(spark, sf)}/documents"))
+    linked = batches.read(spark, f"{_annotated(spark, sf)}/entities").agg(F.count("umls_cui").alias("linked"))
+    return linked.select(F.lit(told["doc_count"]).cast("long").alias("documents"), F.lit(told["entity_count"]).cast("long").alias("mentions"), "linked")
+
+
+@query(ORACLE["whole_run"])
+def continued_run(spark, sf):
+    """A run that stopped behind its corpus, continued to the end: its tables have the rows of a whole run."""
+    out = _folder(spark, "continued")
+    day = F.concat((F.lit(2000) + F.col("doc_id") % 20).cast("string"), F.lit("-01-01"))
+    store.write(bindings.article_xml(spark, sf).select(F.col("doc_id").cast("string").alias("pmid"), day.alias("day"), "xml"), f"{out}/literature")
+    aliases = spark.createDataFrame([], "alias string, umls_cui string, confidence double, canonical_name string, first_alias string, umls_semantic_types array<string>")
+    terms = bindings.dictionary(spark, sf)
+    pipeline.run(spark, f"{out}/literature", "pubmedarticle", 1 << 60, terms, aliases, out, steps=["corpus"])
+    pipeline.resume(spark, terms, aliases, out)
+    counts = {"documents": "nlp/documents", "mentions": "kg/mention", "entities": "kg/entity", "vertices": "graph/vertices"}
+    return reduce(DataFrame.unionByName, [spark.read.parquet(f"{out}/{t}").agg(F.lit(k).alias("what"), F.count("*").alias("n")).select("what", "n") for k, t in counts.items()])
+
+
+# ---- merges, records, requests -------------------------------------------------------------------------------------------------
+@query(f"""{KG} SELECT id, CASE WHEN length(name) % 2 = 0 THEN upper(name) ELSE name END AS name, entity_type FROM ent""")
+def merged_vertices(spark, sf):
+    """A graph to which the entities of even names are merged again under new names."""
+    out, e = _folder(spark, "merged"), bindings.entities(spark, sf)
+    store.write(bindings.pairs(spark, sf), f"{out}/kg/cooccurrence")
+    store.write(e, f"{out}/kg/entity")
+    pipeline.merge_graph(spark, f"{out}/kg", f"{out}/graph", FilterConfig(stopwords_enabled=False))
+    store.replace(spark.read.parquet(f"{out}/kg/entity").where("length(name) % 2 = 0").withColumn("name", F.upper("name")), f"{out}/kg/entity")
+    pipeline.merge_graph(spark, f"{out}/kg", f"{out}/graph", FilterConfig(stopwords_enabled=False))
+    return pipeline.load_graph(spark, f"{out}/graph").vertices.select("id", "name", "entity_type")
+
+
+@query(f"""{KG}, {EVIDENCE}, {EDGE}, {TOLD} SELECT src, dst, CASE WHEN docs_count % 3 = 0 THEN '' ELSE array_to_string(docs, ',') END AS docs FROM edge JOIN told ON ea = least(src, dst) AND eb = greatest(src, dst)""")
+def edges_from_json(spark, sf):
+    """Edges of pairs whose lists are JSON texts, a third of them none that can be read."""
+    good = F.to_json("doc_ids_sample")
+    rows = bindings.pairs(spark, sf).withColumn("doc_ids_sample", F.when(F.col("docs_count") % 6 == 0, F.lit(None)).when(F.col("docs_count") % 3 == 0, F.concat(F.lit("no list: "), good)).otherwise(good))
+    return graph.symmetric(rows).select("src", "dst", F.array_join("sample_doc_ids", ",").alias("docs"))
+
+
+@query("""SELECT CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR ELSE 'PMC' || doc_id END AS id, CASE WHEN doc_id % 5 = 0 THEN 'No title' ELSE 'Title ' || doc_id END AS title, 'Sum up' || chr(10) || chr(10) || 'Body of ' || doc_id AS text, 'pmc' AS source,
+CASE WHEN doc_id % 3 > 0 THEN (1990 + doc_id % 3)::INT END AS pub_year, nullif(coalesce(source, 'Unknown journal'), '') AS journal, CASE WHEN doc_id % 2 = 0 THEN 'Jo Doe' END AS authors FROM documents""")
+def full_text_documents(spark, sf):
+    """Full texts as documents; metadata that is not empty is among the extras."""
+    rows = documents.from_full_texts(articles.articles(bindings.full_text_xml(spark, sf), full=True))
+    return rows.select("id", "title", "text", "source", "pub_year", *[F.try_element_at("extras", F.lit(c)).alias(c) for c in ("journal", "authors")])
+
+
+@query(f"""WITH {ENTITY} SELECT id, name || coalesce(' (' || umls_preferred_name || ')', '') AS label FROM ent""")
+def preview_labels(spark, sf):
+    return bindings.entities(spark, sf).select("id", metrics.preview_label().alias("label"))
+
+
+@query("""SELECT doc_id::VARCHAR AS pmid, 'Title ' || doc_id AS title FROM documents""")
+def requested_in_batches(spark, sf):
+    """An article for each document's id, asked of a service in batches of 50 of which each fails once."""
+    tried = set()
+
+    def service(ids):
+        if ids[0] not in tried:
+            tried.add(ids[0])
+            if len(tried) % 2:
+                raise OSError("no connection")
+            return "<ERROR>too busy</ERROR>"
+        return "<PubmedArticleSet>" + "".join(f"<PubmedArticle><PMID>{i}</PMID><ArticleTitle>Title {i}</ArticleTitle></PubmedArticle>" for i in ids) + "</PubmedArticleSet>"
+
+    wanted = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("pmid"))
+    return articles.articles(literature.request_all(wanted, service, size=50, wait=0, pause=0)).select("pmid", "title")
+
+
+@query(f"""WITH {ENTITY}, a AS (SELECT name, umls_cui, length(name) % 2 = 0 AS sure FROM ent WHERE umls_cui IS NOT NULL ORDER BY name LIMIT 4) SELECT name AS term, CASE WHEN sure THEN umls_cui END AS cui FROM a UNION ALL SELECT 'nothing like it', NULL""")
+def concepts_of_terms(spark, sf):
+    """The concept of a question's term: of four names, and of one that no name is like."""
+    aliases = _aliases(spark, sf)
+    terms = [r["alias"] for r in aliases.select("alias").orderBy("alias").limit(4).collect()] + ["nothing like it"]
+    return spark.createDataFrame([(t, (linking.concepts(t, aliases) or [None])[0]) for t in terms], "term string, cui string")
