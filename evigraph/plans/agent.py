@@ -1,6 +1,7 @@
 """Questions in words: a rule-based router to the graph questions, text blocks of results, answers with cited documents.
 
-There is no language model: the route follows the question's words, the answer is put together from the result blocks.
+There is no language model: the route follows the question's words, and where that finds nothing the names of the graph that stand in it; the answer is put
+together from the result blocks.
 """
 
 from __future__ import annotations
@@ -76,6 +77,31 @@ def route(question: str) -> tuple[str, dict]:
     return "FindEntityNeighbors", {"entity": entity, "entity_type": kind}
 
 
+#: Words of the longest name that is looked for in a question.
+NAME_WORDS = 6
+
+
+def recognised(g: Graph, question: str) -> list[str]:
+    """Names of the graph that stand in a question as runs of its words, in order; the longest where some overlap."""
+    words = re.findall(r"[^\s?!.,;:\"()]+", question.lower())
+    runs = {" ".join(words[i:j]): (i, j) for i in reversed(range(len(words))) for j in range(i + 1, min(i + NAME_WORDS, len(words)) + 1)}
+    rows = g.vertices.where(F.lower("name").isin(list(runs))).select(F.lower("name").alias("name")).distinct().collect()  # no more than runs
+    taken: list[tuple[int, int]] = []
+    for i, j in sorted((runs[r["name"]] for r in rows), key=lambda x: (x[0] - x[1], x[0])):
+        if all(j <= a or b <= i for a, b in taken):
+            taken.append((i, j))
+    return [" ".join(words[i:j]) for i, j in sorted(taken)]
+
+
+def route_by_names(g: Graph, question: str) -> tuple[str, dict] | None:
+    """The tool for a question by the names of the graph that it holds, however it is phrased; None if it holds none."""
+    names, kind = recognised(g, question), _type_in(question)
+    if len(names) > 1:
+        shared = kind or re.search(r"(?i)\b(both|share[sd]?|common|between them|connect\w*)\b", question)
+        return ("FindSharedNeighbors", {"entity_a": names[0], "entity_b": names[1], "neighbor_type": kind}) if shared else ("ExplainRelationship", {"entity_a": names[0], "entity_b": names[1]})
+    return ("FindEntityNeighbors", {"entity": names[0], "entity_type": kind}) if names else None
+
+
 def _filled(template: str, *values: Column) -> Column:
     return F.format_string(template.replace("{}", "%s"), *values)
 
@@ -116,12 +142,19 @@ def linker(aliases: DataFrame | None, config: LinkerConfig = LinkerConfig(least_
     return lambda term: linking.concepts(term, aliases, config)
 
 
+def _run(g: Graph, config: AgentConfig, concepts: Linker, tool: str, arguments: dict) -> list[dict]:
+    return [r.asDict() for r in TOOLS[tool](g, config, concepts, **arguments).collect()]  # as many as a question returns
+
+
 def ask(g: Graph, question: str, history: list[dict] | None = None, config: AgentConfig = AgentConfig(), concepts: Linker = no_concepts) -> dict:
     """``question, answer, doc_ids, messages``; ``answer, error`` and no messages if the graph cannot be read."""
     messages = [*(history or [])[-config.max_history_messages :], {"role": "user", "content": question}]
     try:
         tool, arguments = route(question)
-        rows = [r.asDict() for r in TOOLS[tool](g, config, concepts, **arguments).collect()]  # as many as a question returns
+        rows = _run(g, config, concepts, tool, arguments)
+        if not rows and (other := route_by_names(g, question)) and other != (tool, arguments):
+            tool, arguments = other
+            rows = _run(g, config, concepts, tool, arguments)
         output = "\n".join(result_text(i, r, config.max_doc_ids_per_result) for i, r in enumerate(rows, 1)) or NOTHING
     except (PySparkException, Py4JError) as e:
         return {"question": question, "answer": f"The question failed: {e}", "doc_ids": [], "error": str(e)}

@@ -11,7 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from evigraph.operators import graph, names
-from evigraph.plans import bindings, pipeline
+from evigraph.__main__ import log_to, parser
+from evigraph.config import AgentConfig
+from evigraph.plans import agent, bindings, pipeline
 from evigraph.sources import service, store
 from evigraph.workers import ship
 
@@ -154,3 +156,31 @@ def test_stored_graphs_have_a_name_index(spark, tmp_path, monkeypatch):
     g = pipeline.load_graph(spark, out)
     assert g.names is not None and g.vertices.count() == pipeline.MOST_DELTAS + 4 and g.edges.count() == 2 * (pipeline.MOST_DELTAS + 3)
     assert [r["src"] for r in graph.seeds(g, f"name {pipeline.MOST_DELTAS + 2}").collect()] == ["a"] and graph.seeds(g, "name 0").count() == 0
+
+
+def test_questions_phrased_otherwise(spark):
+    g = bindings.knowledge_graph(spark, "/root/testdata/sf0.001")
+    a, b = (r["name"] for r in g.edges.orderBy(F.desc("docs_count"), "src", "dst").limit(1).join(g.vertices, (F.col("id") == F.col("src")) | (F.col("id") == F.col("dst"))).orderBy("name").collect())
+    assert agent.recognised(g, f"Does {a.upper()} say anything of {b}?") == [a, b] and agent.recognised(g, "nothing known") == []
+    config = AgentConfig(min_evidence=1)
+    one = agent.ask(g, f"I wonder why {a} keeps meeting {b}, please", config=config)
+    assert one["tool"] == "ExplainRelationship" and one["doc_ids"]
+    two = agent.ask(g, f"{a}, who are its companions?", config=config)
+    assert two["tool"] == "FindEntityNeighbors" and two["doc_ids"]
+    assert agent.route_by_names(g, f"what do {a} and {b} share")[0] == "FindSharedNeighbors" and agent.route_by_names(g, "hm") is None
+    assert agent.ask(g, "who knows?", config=config)["tool_output"] == agent.NOTHING
+
+
+def test_log_of_the_command_line(tmp_path):
+    import logging
+
+    path = tmp_path / "run.log"
+    for _ in range(2):
+        log_to(str(path))
+    logging.getLogger("evigraph.test").warning("once")
+    assert path.read_text(encoding="utf-8").count("WARNING evigraph.test: once") == 1
+    log = logging.getLogger("evigraph")
+    for h in list(log.handlers):
+        log.removeHandler(h)
+        h.close()
+    assert parser().parse_args(["extend-kg", "--source", "a", "--out", "b", "--log", "c"]).log == "c"
