@@ -2,7 +2,7 @@
 
 import pytest
 
-from evigraph.plans import catalog
+from evigraph.plans import catalog, catalog_runs  # noqa: F401  (both register queries)
 
 FOLDER = "/root/testdata/sf0.001"
 
