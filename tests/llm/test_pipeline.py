@@ -37,7 +37,7 @@ def test_stages(spark, tmp_path):
 
 def test_registered():
     names = list(queries())
-    assert "pipeline" in names and [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0])) and len(names) == 11
+    assert "pipeline" in names and [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0])) and len(names) == 14
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "mixing", "bpe"]
 
 
