@@ -12,6 +12,7 @@ packed into blocks. A file set is a folder with two Parquet tables:
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import LONG_WORD, Memo, Splitter
+from .bpe import Splitter
 from .native import constants, range_bounds, range_of
 from .tables import cut, drop, rows_of, ship, slices
+from .word_ids import BLOCK, WordIds, pieces, plain
 
 LIMIT, STEP = 20, 1024
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
@@ -135,11 +137,11 @@ class Code:
 class LibraryIds:
     """Ids of texts from the ``tokenizers`` library.
 
-    Each text goes to the library as a whole, but for texts of which :class:`Splitter` knows the words as the library would
-    cut them: of these the library encodes each distinct word once, for as long as it is remembered.
+    Each text goes to the library as a whole, but for texts without special tokens that are Latin where the vocabulary file states
+    the known splitter: of these the library encodes each distinct word once, for as long as :class:`WordIds` remembers it.
     """
 
-    def __init__(self, spec: str, word_memo: int = 700_000):
+    def __init__(self, spec: str, word_memo: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
@@ -151,7 +153,7 @@ class LibraryIds:
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
         self.split = Splitter(spec)
-        self.words: dict[str, bytes] = Memo(self._alone, word_memo)
+        self.words = WordIds(self._many, self.kind, word_memo)
 
     def _alone(self, part: str) -> bytes:
         return np.array(self.library.encode(part, add_special_tokens=False).ids, self.kind).tobytes()
@@ -173,16 +175,29 @@ class LibraryIds:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian bytes of :attr:`kind`."""
-        parts = [None if t and self.split.has_special(t) else self.split.words(t or "") for t in texts]
-        known = self.words
-        self._remember([w for w in set().union(*filter(None, parts)) if w not in known and len(w) <= LONG_WORD])
-        get = self.words.__getitem__
-        return [self._alone(t or "") if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
-
-    def _remember(self, new: list[str]) -> None:
-        if len(self.words) + len(new) > self.words.most:
-            self.words.clear()  # words of this batch that were known are asked for one by one
-        self.words.update(zip(new, self._many(new), strict=True))
+        out: list[list[bytes]] = [[] for _ in texts]
+        block, owners, size = [], [], 0
+
+        def flush():
+            for i, ids in zip(owners, self.words.encode(block), strict=True):
+                out[i].append(ids)
+            block.clear()
+            owners.clear()
+
+        for i, text in enumerate(texts):
+            low = plain(text or "") if self.split.known and not self.split.has_special(text or "") else None
+            if low is None:
+                out[i].append(self._alone(text or ""))
+                continue
+            for piece in pieces(low):
+                block.append(piece)
+                owners.append(i)
+                size += len(piece)
+                if size >= BLOCK:
+                    flush()
+                    size = 0
+        flush()
+        return [b"".join(x) for x in out]
 
 
 @lru_cache(2)
@@ -196,6 +211,7 @@ def _code(ids: bytes, lengths: bytes) -> Code:
 
 
 def _tokenised(batches: Iterator[pa.RecordBatch], spec: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core
     lib = library(spec)
     end = np.array([end_id], lib.kind).tobytes()
     for batch in slices(batches):

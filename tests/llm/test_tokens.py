@@ -146,6 +146,20 @@ def test_library_words():
             assert np.frombuffer(raw, lib.kind).tolist() == LIBRARY.encode(t, add_special_tokens=False).ids, t
 
 
+def test_library_words_in_blocks(monkeypatch):
+    odd = ["", " ", "'", "''s", "'s's", "x'll've", "'re", "'r", "5's", "--'s", "'sand 'tis 'd", "a1b22c", "\u00e9t\u00e9's \u00df\u00a0\u0131x", "\x85a\x1cb\x0bc", "q" * 64 + " " + "q" * 65 + "r " + "q" * 66, "-" * 300 + "'s", "Ab\n\nC", "\u0130 dot", "\u4e2d"]
+    rng = random.Random(4)
+    odd += ["".join(rng.choice("ab'stdrevlm1. \u00e9-") for _ in range(rng.randrange(40))) for _ in range(400)]
+    monkeypatch.setattr("evigraph.llm.word_ids.BLOCK", 300)
+    monkeypatch.setattr("evigraph.llm.token_files.BLOCK", 300)
+    odd += [" ".join(odd[20:120]), "w" * 2000, "w " * 2000]
+    for memo in (3, 5000):
+        lib = LibraryIds(SPEC, memo)
+        for t, raw in zip(odd, lib.encode(odd), strict=True):
+            assert np.frombuffer(raw, lib.kind).tolist() == LIBRARY.encode(t, add_special_tokens=False).ids, t
+        assert lib.encode([]) == [] and lib.encode([None]) == [b""]
+
+
 def test_files(spark, tmp_path):
     rng = random.Random(8)
     rows = [(i * 7 - 50, rng.choice(texts(50))) for i in range(1300)] + [(5, None), (6, ""), (9, "same"), (9, "same"), (None, "no id"), (10**12, "far " * 20_000)]
