@@ -102,6 +102,34 @@ def test_ranges(spark):
     assert [tuple(r) for r in constants(spark, a=[1, 2], b=[3, 4]).orderBy("a").collect()] == [(1, 3), (2, 4)]
 
 
+def test_many_licenses(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(900)]
+    templates = {f"t{i}": " ".join(rng.choices(vocabulary, k=rng.choice([5, 9, 30, 150]))) for i in range(300)} | {"twin": ""}
+    templates["twin"] = templates["t7"]
+    texts = [" ".join(rng.choices(vocabulary, k=40))]
+    for i in range(60):
+        parts = rng.sample(sorted(templates), 2)
+        words = " ".join(f"{rng.choice(vocabulary)} {templates[p]}" for p in parts).split()
+        for _ in range(i % 4):
+            words[rng.randrange(len(words))] = "worn"
+        texts.append(" ".join(words))
+
+    def runs(t):
+        w = t.split()
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+    want = set()
+    for d, t in enumerate(texts):
+        have = runs(t)
+        for name, text in templates.items():
+            both = set(runs(text)) & set(have)
+            if len(both) >= 0.8 * len(set(runs(text))):
+                want.add((d, name, len(set(runs(text))), len(both), min(map(have.index, both)) + 1))
+    got = license_scan.scan(docs(spark, [(d, t, "", "") for d, t in enumerate(texts)]), templates=templates).collect()
+    assert {(r["doc_id"], r["license"], r["n_shingles"], r["n_common"], r["at_word"]) for r in got} == want and len(got) == len(want) > 50
+
+
 def test_license_cases(spark):
     rng = random.Random(2)
     filler = lambda n: " ".join(f"f{rng.randrange(10**5)}" for _ in range(n))
