@@ -261,5 +261,15 @@ def test_searches_lose_nothing(spark, tmp_path, cap):
     assert [r["pmid"] for r in literature.search(spark, path, "insulin", 40, cap=cap, year=2100, start=20).collect()] == everything[20:60]
 
 
+def test_a_search_for_the_newest_takes_the_last_weeks_of_a_month(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = [(f"{d:02d}{i}", f"2023-12-{d:02d}", "<x>insulin</x>") for d in range(1, 32) for i in range(3)] + [("later", "2099-01-01", "<x>insulin</x>")]
+    spark.createDataFrame(rows, "pmid string, day string, xml string").write.parquet(path)
+    want = ["later"] + [f"{d:02d}{i}" for d in range(31, 0, -1) for i in range(3)]
+    for cap in (2, 10):
+        assert [r["pmid"] for r in literature.search(spark, path, "insulin", 7, cap=cap, year=2025).collect()] == want[:7]
+        assert [r["pmid"] for r in literature.search(spark, path, "insulin", 7, cap=cap, year=2025, start=5).collect()] == want[5:12]
+
+
 def test_default_settings_link_near_names():
     assert NerConfig().linker.least_similarity == 0.7 and LinkerConfig().least_similarity is None
