@@ -184,3 +184,16 @@ def test_log_of_the_command_line(tmp_path):
         log.removeHandler(h)
         h.close()
     assert parser().parse_args(["extend-kg", "--source", "a", "--out", "b", "--log", "c"]).log == "c"
+
+
+def test_a_trigram_of_all_names_is_dealt_to_many_tasks(spark):
+    named = spark.range(20_000).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("Customer#"), F.col("id").cast("string")).alias("name"))
+    index = names.postings(named)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        held = [r["count"] for r in names.postings(named).withColumn("task", F.spark_partition_id()).where("gram = 'mer'").groupBy("task").count().collect()]
+        per = [r["count"] for r in names.postings(named.select("id", F.lit("Mer").alias("name"))).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(held) == 20_000 and index.where("gram = 'mer'").count() == 20_000
+    assert sum(per) == 20_000 and max(per) < 10_000
