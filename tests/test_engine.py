@@ -11,6 +11,7 @@ from evigraph.functions import text
 from evigraph.operators import cooccurrence, documents, filtering, graph, ids, linking, mentions, metrics
 from evigraph.operators.graph import Graph
 from evigraph.schemas import ARTICLE, ENTITY, EXTRACTED, LABEL_TYPES, LINK, MENTION, PAIR, STOPWORDS
+from evigraph.sources import articles, store
 
 
 def values(spark, *strings, fn):
@@ -232,3 +233,24 @@ def test_metrics_of_nothing(spark):
     e = found(spark, [])
     assert metrics.totals(spark.createDataFrame([], "id string"), e).first()["umls_rate"] == 0
     assert metrics.link_coverage(e).first()["mention_rate"] == 0
+
+
+def test_rows_are_numbered_over_all_ranges(spark, tmp_path):
+    rows = [(k % 7 if k % 11 else None, k if k % 5 else None) for k in range(200)]
+    got = store.numbered(spark.createDataFrame(rows, "a long, b long").repartition(5), str(tmp_path / "n"), F.desc_nulls_last("a"), F.asc_nulls_last("b"))
+    want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is None, r[1] or 0))
+    assert [(r["pos"], r["a"], r["b"]) for r in got.orderBy("pos").collect()] == [(i + 1, *r) for i, r in enumerate(want)]
+    assert store.numbered(spark.createDataFrame([], "a long, b long"), str(tmp_path / "none"), F.asc("a")).count() == 0
+
+
+def test_results_in_request_order_are_numbered_without_gaps(spark):
+    from evigraph.plans import catalog
+
+    pos = sorted(r["pos"] for r in catalog.queries()["results_in_request_order"](spark, "/root/testdata/sf0.001").collect())
+    assert pos == [*range(1, len(pos) + 1)]
+
+
+def test_articles_leave_a_task_in_portions():
+    text = lambda i: f"<s><PubmedArticle><PMID>{i}</PMID><Abstract><AbstractText>{'x' * 1000}</AbstractText></Abstract></PubmedArticle></s>"
+    got = list(articles.portions([text(0), None, "no xml", *map(text, range(1, 100))], articles.parse_abstracts, 5000))
+    assert [a["pmid"] for p in got for a in p] == [str(i) for i in range(100)] and max(map(len, got)) == 5 and got[-1]
