@@ -238,6 +238,25 @@ def test_streams_that_are_run_again(spark, tmp_path, monkeypatch):
     assert run() == 4
 
 
+def test_pairs_read_their_mentions_once(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(f"d{rng.randrange(9)}", s := rng.randrange(4), f"e{rng.randrange(6)}", f"text {s}", k) for k in range(300)]
+    spark.createDataFrame(rows, "doc_id string, sentence_id int, entity_id string, sentence_text string, mention_seq long").write.parquet(str(tmp_path / "found"))
+    found, kept = spark.read.parquet(str(tmp_path / "found")), []
+    for make in (cooccurrence.cooccurrences, cooccurrence.partial, cooccurrence.evidence):
+        rows = make(found, keep=lambda df: kept.append(df) or store.cut(df))
+        assert len(kept) == 1 and not [f for f in rows.inputFiles() if f"{tmp_path}/found" in f]
+        assert sorted(map(str, rows.collect())) == sorted(map(str, make(found).collect()))
+        kept.clear()
+
+
+def test_filters_of_counts_take_no_texts(spark):
+    from evigraph.plans import catalog
+
+    for name in ("filter_thresholds", "filter_stopwords"):
+        assert "sentence_text" not in catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
 # ---- searches --------------------------------------------------------------------------------------------------------------------
 def test_windows_stay_within_the_cap():
     rng = random.Random(9)
