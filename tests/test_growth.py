@@ -88,6 +88,14 @@ def test_trie_and_join_agree(spark, monkeypatch):
     assert one == sorted(map(str, mentions.annotate(docs, terms).collect())) and one
 
 
+def test_a_dictionary_of_many_words_moves_no_text(spark):
+    docs = spark.createDataFrame([("1", "w7 and W149999 x"), ("2", "none")], "doc_id string, text string")
+    terms = spark.range(150_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("term"), F.lit("x").alias("source_model"), F.lit("GGP").alias("source_label"))
+    found = mentions.annotate(docs, terms)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r["doc_id"], r["text"], r["start_pos"], r["end_pos"]) for r in found.orderBy("start_pos").collect()] == [("1", "w7", 0, 2), ("1", "W149999", 7, 14)]
+
+
 def test_trie_costs_the_same_for_long_terms():
     import time
 
