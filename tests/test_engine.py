@@ -254,3 +254,10 @@ def test_articles_leave_a_task_in_portions():
     text = lambda i: f"<s><PubmedArticle><PMID>{i}</PMID><Abstract><AbstractText>{'x' * 1000}</AbstractText></Abstract></PubmedArticle></s>"
     got = list(articles.portions([text(0), None, "no xml", *map(text, range(1, 100))], articles.parse_abstracts, 5000))
     assert [a["pmid"] for p in got for a in p] == [str(i) for i in range(100)] and max(map(len, got)) == 5 and got[-1]
+
+
+def test_applied_links_are_counted_behind_the_shuffle(spark):
+    from evigraph.plans import catalog
+
+    plan = catalog.queries()["apply_links"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert 0 <= plan.index("partial_count(1)") < plan.index("Exchange hashpartitioning(doc_id")
